@@ -59,7 +59,7 @@ def note_events(notes: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("start_tick").alias("tick"), F.lit(0).alias("is_off"), F.col("velocity").alias("velocity")), F.struct(F.col("end_tick").alias("tick"), F.lit(1).alias("is_off"), F.lit(0).alias("velocity")))
     rows = notes.select("file_id", "track", "note_id", "pitch", F.explode(both).alias("e")).select("file_id", "track", "note_id", "pitch", "e.*")
     order = Window.partitionBy("file_id", "track").orderBy("tick", "is_off", "note_id")
-    return rows.select("*", F.row_number().over(order).alias("seq"), (F.col("tick") - F.lag("tick", 1, 0).over(order)).alias("delta"))
+    return rows.select("*", F.row_number().over(order).cast("long").alias("seq"), (F.col("tick") - F.lag("tick", 1, 0).over(order)).alias("delta"))
 
 
 def roundtrip(notes: DataFrame) -> DataFrame:

@@ -38,4 +38,4 @@ def messages(rows: DataFrame) -> DataFrame:
     tempo = F.when(F.col("m.kind") == "set_tempo", (400_000 + F.col("note_id") % 100 * 2_000).cast("int"))
     out = out.select("note_id", "file_id", "track", "channel", "pitch", "velocity", "m.*", tempo.alias("tempo"))
     order = Window.partitionBy("file_id", "track").orderBy("abs_tick", "ord", "note_id")
-    return out.withColumn("seq", F.row_number().over(order)).withColumn("delta", F.col("abs_tick") - F.lag("abs_tick", 1, 0).over(order)).drop("ord")
+    return out.withColumn("seq", F.row_number().over(order).cast("long")).withColumn("delta", F.col("abs_tick") - F.lag("abs_tick", 1, 0).over(order)).drop("ord")

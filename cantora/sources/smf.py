@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 META = {0x03: "track_name", 0x2F: "end_of_track", 0x51: "set_tempo", 0x58: "time_signature", 0x59: "key_signature"}
@@ -69,15 +70,15 @@ def parse(content: bytes) -> Iterator[dict]:
 
 def messages(files: DataFrame) -> DataFrame:
     """Messages of rows (file_id, content)."""
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
-                rows = pd.DataFrame(list(parse(bytes(content))), columns=columns).assign(file_id=file_id)
-                yield rows.astype({c: "Int64" for c in columns if c not in ("kind", "text")})
+            for file_id, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_pylist([{"file_id": file_id} | row for row in parse(content)], schema)
 
-    return files.select("file_id", "content").mapInPandas(run, SCHEMA)
+    return files.select("file_id", "content").mapInArrow(run, SCHEMA)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
