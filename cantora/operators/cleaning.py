@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantora.functions import music as M
@@ -83,7 +83,7 @@ def pitch_class_histogram(notes: DataFrame) -> DataFrame:
     return notes.groupBy("file_id").agg(F.array(*(F.count_if(pc == k) / n for k in range(12))).alias("hist"))
 
 
-def correlation(x: F.Column, y: F.Column) -> F.Column:
+def correlation(x: Column, y: Column) -> Column:
     """Pearson's r of two arrays, 0 if one is constant."""
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-TRACK = Window.partitionBy("file_id", "track").orderBy("seq")
-PITCH = Window.partitionBy("file_id", "track", "pitch").orderBy("seq")
+
+def by_track() -> WindowSpec:
+    return Window.partitionBy("file_id", "track").orderBy("seq")
+
+
+def by_pitch() -> WindowSpec:
+    return Window.partitionBy("file_id", "track", "pitch").orderBy("seq")
 
 
 def absolute_ticks(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("abs_tick", F.sum("delta").over(TRACK.rowsBetween(Window.unboundedPreceding, 0)))
+    return messages.withColumn("abs_tick", F.sum("delta").over(by_track().rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def is_on() -> F.Column:
+def is_on() -> Column:
     """A note_on of velocity 0 is a note_off."""
     return (F.col("kind") == "note_on") & (F.col("velocity") > 0)
 
@@ -24,7 +29,7 @@ def _played(messages: DataFrame) -> DataFrame:
 
 def pair_last_on_wins(messages: DataFrame) -> DataFrame:
     """An off closes the message before it if that is an on; struck again, a pitch forgets its first on; open notes are dropped."""
-    rows = _played(messages).select("*", F.lag("on").over(PITCH).alias("p_on"), F.lag("abs_tick").over(PITCH).alias("start_tick"), F.lag("velocity").over(PITCH).alias("p_velocity"), F.lag("channel").over(PITCH).alias("p_channel"))
+    rows = _played(messages).select("*", F.lag("on").over(by_pitch()).alias("p_on"), F.lag("abs_tick").over(by_pitch()).alias("start_tick"), F.lag("velocity").over(by_pitch()).alias("p_velocity"), F.lag("channel").over(by_pitch()).alias("p_channel"))
     rows = rows.where(~F.col("on") & F.col("p_on"))
     return rows.select("file_id", "track", F.col("p_channel").alias("channel"), "pitch", F.col("p_velocity").alias("velocity"), "start_tick", F.col("abs_tick").alias("end_tick"), (F.col("abs_tick") - F.col("start_tick")).alias("dur_ticks"), F.col("seq").alias("emit_seq"))
 
@@ -32,7 +37,7 @@ def pair_last_on_wins(messages: DataFrame) -> DataFrame:
 def pair_retrigger(messages: DataFrame) -> DataFrame:
     """Every on is a note, up to the next message of its pitch, or to the end of its track, then on channel 0."""
     end = F.max("abs_tick").over(Window.partitionBy("file_id", "track"))
-    rows = _played(messages.withColumn("track_end", end)).select("*", F.lead("abs_tick").over(PITCH).alias("next_tick"), F.lead("channel").over(PITCH).alias("next_channel"), F.lead("on").over(PITCH).alias("next_on"))
+    rows = _played(messages.withColumn("track_end", end)).select("*", F.lead("abs_tick").over(by_pitch()).alias("next_tick"), F.lead("channel").over(by_pitch()).alias("next_channel"), F.lead("on").over(by_pitch()).alias("next_on"))
     how = F.when(F.col("next_on"), "retrigger").when(~F.col("next_on"), "off").otherwise("flush")
     return rows.where("on").select("file_id", "track", F.coalesce("next_channel", F.lit(0)).alias("channel"), "pitch", "velocity", F.col("abs_tick").alias("start_tick"), F.coalesce("next_tick", "track_end").alias("end_tick"), F.col("seq").alias("emit_seq"), how.alias("closed_by"))
 
@@ -44,14 +49,14 @@ def first_tempo(messages: DataFrame, default: int = 500_000) -> DataFrame:
 
 def last_seen_tempo(messages: DataFrame, default: int = 500_000) -> DataFrame:
     """The tempo last set in the same track."""
-    return messages.withColumn("tempo", F.coalesce(F.last("tempo", ignorenulls=True).over(TRACK.rowsBetween(Window.unboundedPreceding, 0)), F.lit(default)))
+    return messages.withColumn("tempo", F.coalesce(F.last("tempo", ignorenulls=True).over(by_track().rowsBetween(Window.unboundedPreceding, 0)), F.lit(default)))
 
 
 def mapped_seconds(messages: DataFrame, tpb: int = 220, default: int = 500_000) -> DataFrame:
     """Seconds by integrating the tempo map of the track."""
-    before = F.coalesce(F.last("tempo", ignorenulls=True).over(TRACK.rowsBetween(Window.unboundedPreceding, -1)), F.lit(default))
+    before = F.coalesce(F.last("tempo", ignorenulls=True).over(by_track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(default))
     rows = messages.withColumn("_part", F.col("delta") * before)
-    return rows.withColumn("seconds", F.sum("_part").over(TRACK.rowsBetween(Window.unboundedPreceding, 0)).cast("double") / F.lit(tpb * 1e6)).drop("_part")
+    return rows.withColumn("seconds", F.sum("_part").over(by_track().rowsBetween(Window.unboundedPreceding, 0)).cast("double") / F.lit(tpb * 1e6)).drop("_part")
 
 
 def note_events(notes: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def kept_meta(messages: DataFrame, kinds: tuple[str, ...] = ("set_tempo", "time_
     """Meta messages moved to tick 0; first_only keeps the first of a track."""
     rows = messages.where(F.col("kind").isin(*kinds)).withColumn("abs_tick", F.lit(0).cast("long"))
     if first_only:
-        rows = rows.withColumn("_nth", F.row_number().over(TRACK)).where("_nth = 1").drop("_nth")
+        rows = rows.withColumn("_nth", F.row_number().over(by_track())).where("_nth = 1").drop("_nth")
     return rows
 
 
