@@ -108,7 +108,7 @@ def _levels(group: pd.DataFrame) -> pd.DataFrame:
     for level in range(BITS + 1):
         begin, end = _ranges(keys, at, np.maximum(level, depth))
         out[:, level] = end - begin
-    return pd.DataFrame({"cid": asks.cid.to_numpy(), "counts": list(out)})
+    return pd.DataFrame({"cid": asks.cid.to_numpy(), "counts": pd.Series(list(out), dtype=object)})
 
 
 def nearest(vectors: np.ndarray, cids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
