@@ -1,11 +1,16 @@
 """Nearest neighbours by a hash-prefix forest.
 
 Each of ``trees`` trees gives a vector a string of 48 bits: the side of a random plane through the middle of the data, whose
-direction joins two sample vectors. Rows are kept sorted by their string within leaves: prefixes that hold at most
-``leaf`` rows by a sample of ``fit_rows`` vectors, so that every leaf is one bounded sorted array. A query descends to its longest
-match in each tree; then all trees ascend together, a bit at a time, until they hold ``want`` candidates or stand at their
-leaves. Distances are exact; every vector is indexed. A query that finds fewer rows than it must is compared with all
-vectors, in blocks of queries.
+direction joins two sample vectors. Rows are kept sorted by their string within leaves, which are prefixes. A query descends to
+its longest match in each tree; then all trees ascend together, a bit at a time, until they hold enough candidates or stand
+at their leaves. Distances are exact; every vector is indexed. A query that finds fewer rows than it must is compared with
+all vectors, in blocks of queries.
+
+How many candidates are enough is fitted on a sample of ``fit_rows`` vectors, by brute force for ``probes`` of them: the share
+of all rows at the deepest level where the trees together hold ``recall`` of the true neighbours. At an equal share, recall
+grows with the table, as true neighbours come closer. Vectors without any structure need a large share. Leaves are no deeper
+than two levels above that and hold ``leaf`` rows by the sample; larger ones are dealt out in parts of that size, each of which
+sees the leaf's queries, so that no task holds more.
 
 Vectors that are equal form one class with its k + 1 smallest ids, so a vector that fills a third of the table is one entry; queries
 with equal vectors are searched once.
@@ -17,6 +22,7 @@ k a query returns them all; without rows there are no results. Extra columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cantora.llm.common import Scratch, table
+from cantora.llm.common import Scratch, slices, table
 
-K, TREES, BITS = 10, 10, 48
-WANT, LEAF, FIT_ROWS = 6_000, 4_096, 20_000
+K, TREES, BITS = 10, 24, 48
+LEAF, FIT_ROWS, PROBES, RECALL = 4_096, 20_000, 300, 0.92
 BLOCK = 1_000
 
 
@@ -37,8 +43,10 @@ BLOCK = 1_000
 class Forest:
     planes: np.ndarray  # trees x bits x dims
     middles: np.ndarray  # trees x bits
+    share: float  # of all rows, summed over trees
     starts: list[np.ndarray]  # first key of each leaf
     depths: list[np.ndarray]
+    parts: list[np.ndarray]
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """trees x rows."""
@@ -46,28 +54,52 @@ class Forest:
         return np.stack([((x @ p.T > m) * weights).sum(axis=1, dtype=np.uint64) for p, m in zip(self.planes, self.middles, strict=True)])
 
 
-def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF) -> Forest:
-    """Planes from a sample of the vectors, and leaves of about so many of all rows."""
+def _enough(sample: np.ndarray, keys: np.ndarray, k: int, probes: int, recall: float) -> tuple[int, float]:
+    """The deepest level at which the trees hold so much of the true neighbours, and the mean share of rows they hold there."""
+    n = len(sample)
+    probe = np.arange(0, n, max(1, n // probes))
+    top = np.zeros((len(probe), min(k, n - 1)), np.int64)  # bits that a neighbour shares in its best tree
+    for row, i in enumerate(probe):
+        apart = ((sample - sample[i]) ** 2).sum(axis=1)
+        apart[i] = np.inf
+        near = np.argsort(apart, kind="stable")[: top.shape[1]]
+        differ = keys[:, near] ^ keys[:, i : i + 1]
+        top[row] = (BITS - np.frexp(differ.astype(np.float64))[1]).max(axis=0)
+    level = next((x for x in range(BITS, 0, -1) if (top >= x).mean() >= recall), 0)
+    ordered, share = np.sort(keys, axis=1), 0.0
+    for mine, tree in zip(keys, ordered, strict=True):
+        begin, end = _ranges(tree, mine[probe], np.full(len(probe), level))
+        share += (end - begin).mean() / n
+    return level, share
+
+
+def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, k: int = K, probes: int = PROBES, recall: float = RECALL) -> Forest:
+    """Planes, the share of rows that is enough, and leaves, from a sample of the vectors."""
     rng = np.random.default_rng(48)
     n, dims = sample.shape
     one, two = rng.integers(0, n, (2, trees, BITS))
     planes = sample[one] - sample[two] + 1e-3 * rng.standard_normal((trees, BITS, dims))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True)
     middles = np.stack([np.median(sample @ p.T, axis=0) for p in planes])
-    forest = Forest(planes, middles, [], [])
-    for keys in np.sort(forest.keys(sample), axis=1):
-        starts, depths, todo = [], [], [(0, 0)]
+    forest = Forest(planes, middles, 0.0, [], [], [])
+    keys = forest.keys(sample)
+    level, forest.share = _enough(sample, keys, k, probes, recall)
+    for tree in np.sort(keys, axis=1):
+        starts, depths, parts, todo = [], [], [], [(0, 0)]
         while todo:
             prefix, depth = todo.pop()
             low = prefix << (BITS - depth)
-            inside = np.searchsorted(keys, np.array([low, low + (1 << (BITS - depth))], np.uint64))
-            if (inside[1] - inside[0]) * rows / n <= leaf or depth == BITS:
+            inside = np.searchsorted(tree, np.array([low, low + (1 << (BITS - depth))], np.uint64))
+            size = (inside[1] - inside[0]) * rows / n
+            if size <= leaf or depth >= max(level - 2, 0):
                 starts.append(low)
                 depths.append(depth)
+                parts.append(max(1, round(size / leaf)))
             else:
                 todo += [(2 * prefix + 1, depth + 1), (2 * prefix, depth + 1)]
         forest.starts.append(np.array(starts, np.uint64))
         forest.depths.append(np.array(depths))
+        forest.parts.append(np.array(parts))
     return forest
 
 
@@ -76,18 +108,22 @@ def _matrix(column) -> np.ndarray:
 
 
 def _spread(forest: Forest, with_vectors: bool):
-    """A row for each tree: its leaf and key."""
+    """A row for each tree: its leaf, part and key. Queries (level >= 0) go to all parts of their leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = forest.keys(_matrix(batch.column(2)))
-            for t, key in enumerate(keys):
+        for batch in slices(batches, 1024):
+            asks = batch.column(1).to_numpy() >= 0
+            for t, key in enumerate(forest.keys(_matrix(batch.column(2)))):
                 leaf = np.searchsorted(forest.starts[t], key, side="right") - 1
-                columns = [pa.array(np.full(len(key), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(forest.depths[t][leaf].astype(np.int32)), pa.array(key.astype(np.int64)), batch.column(0), batch.column(1)]
-                names = ["tree", "leaf", "depth", "key", "cid", "level"]
-                yield pa.RecordBatch.from_arrays(columns + [batch.column(2)] * with_vectors, names + ["v"] * with_vectors)
+                parts = forest.parts[t][leaf]
+                times = np.where(asks, parts, 1)
+                at = np.repeat(np.arange(len(key)), times)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                part = np.where(asks[at], nth, batch.column(0).to_numpy()[at] % 1_000_003 % parts[at])
+                rows = pa.array(at)
+                columns = [pa.array(np.full(len(at), t, np.int32)), pa.array(leaf[at].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(forest.depths[t][leaf[at]].astype(np.int32)), pa.array(key[at].astype(np.int64))]
+                columns += [batch.column(k).take(rows) for k in range(3 if with_vectors else 2)]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "part", "depth", "key", "cid", "level", "v"][: len(columns)])
 
     return run
 
@@ -162,12 +198,14 @@ def _scan(asks: list[tuple[int, np.ndarray]], k: int):
 _FOUND = "query long, cid long, score double"
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES, want: int = WANT, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, trees: int = TREES, leaf: int = LEAF, fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) that is_query names, against all others."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     usual = valid.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if usual is None:
         return empty
@@ -181,19 +219,20 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, trees:
     if not rows:
         return empty
     sample = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(fit_rows).collect()
-    forest = grow(np.array([r["v"] for r in sample]), rows, trees, leaf)
+    forest = grow(np.array([r["v"] for r in sample], np.float64), rows, trees, leaf, k, recall=recall)
+    want = math.ceil(forest.share * rows)
 
     asked = scratch.keep(valid.where("asks").join(classes.select("v", "cid"), "v").select("cid", F.col("vec_id").alias("query_id")), "asked")
     query = asked.select("cid").distinct().join(classes.select("cid", "v"), "cid")
     indexed = classes.select("cid", F.lit(-1).alias("level"), "v")
-    schema = "tree int, leaf int, depth int, key long, cid long, level int"
+    schema = "tree int, leaf int, part int, depth int, key long, cid long, level int"
     light = indexed.unionByName(query.select("cid", F.lit(0).alias("level"), "v")).mapInArrow(_spread(forest, False), schema)
-    counts = light.groupBy("tree", "leaf").applyInPandas(_levels, "cid long, counts array<long>")
+    counts = light.groupBy("tree", "leaf", "part").applyInPandas(_levels, "cid long, counts array<long>")
     counts = counts.select("cid", F.posexplode("counts").alias("level", "n")).groupBy("cid", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= want)
     stop = query.select("cid").join(counts.groupBy("cid").agg(F.max("level").alias("level")), "cid", "left").select("cid", F.coalesce("level", F.lit(0)).alias("level"))
     asks = query.join(stop, "cid").select("cid", "level", "v")
-    full = indexed.unionByName(asks).mapInArrow(_spread(forest, True), schema + ", v array<double>")
-    found = full.groupBy("tree", "leaf").applyInPandas(_search(k + 1), _FOUND)
+    full = indexed.unionByName(asks).mapInArrow(_spread(forest, True), f"{schema}, v {kind}")
+    found = full.groupBy("tree", "leaf", "part").applyInPandas(_search(k + 1), _FOUND)
     best = Window.partitionBy("query").orderBy("score", "cid")
     found = found.distinct().select("*", F.row_number().over(best).alias("nth")).where(F.col("nth") <= k + 1).drop("nth")
     found = scratch.keep(found, "found")
@@ -205,7 +244,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, trees:
     last = None
     while block := (short if last is None else short.where(F.col("nth") > last)).orderBy("nth").limit(BLOCK).collect():
         last = block[-1]["nth"]
-        scanned = classes.select("cid", "v").mapInArrow(_scan([(r["query"], np.array(r["v"])) for r in block], k + 1), _FOUND)
+        scanned = classes.select("cid", "v").mapInArrow(_scan([(r["query"], np.array(r["v"], np.float64)) for r in block], k + 1), _FOUND)
         found = found.unionByName(scratch.keep(scanned.select("*", F.row_number().over(best).alias("nth")).where(F.col("nth") <= k + 1).drop("nth"), "scanned")).distinct()
 
     near = found.join(ids, "cid").select("query", "score", F.explode("ids").alias("vec_id"))
