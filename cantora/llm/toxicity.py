@@ -194,7 +194,7 @@ def choose(counts: list[tuple[str, int, int, int]], toxic: int, clean: int, leas
     def odds(a: int, b: int) -> float:
         return math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
 
-    good = {e: (a, b) for e, a, b, around in counts if odds(a, b) > 1.5 and g2(a, b) >= least and around >= min(0.5 * a, 32)}
+    good = {e: (a, b) for e, a, b, around in counts if odds(a, b) > 1.5 and a >= 0.7 * (a + b) and g2(a, b) >= least and around >= min(0.75 * a, 48)}
     below = defaultdict(list)
     for e in good:
         for n in range(3, len(e.rstrip("*")) + 1):
@@ -205,6 +205,8 @@ def choose(counts: list[tuple[str, int, int, int]], toxic: int, clean: int, leas
         stem = e.rstrip("*")
         if e in taken or any(stem[:n] + "*" in chosen for n in range(3, len(stem))):
             continue
+        if e[-1] == "*" and sum(good[x][0] for x in below[stem] if x in chosen) >= 0.7 * good[e][0]:
+            continue
         best = max((x for x in below[stem] if good[x][0] >= 0.95 * good[e][0] and (e[-1] == "*" or x == e)), key=lambda x: (len(x.rstrip("*")), x[-1] != "*"))
         chosen[best] = min(odds(*good[best]), 6.0)
         taken.update(below[stem])
