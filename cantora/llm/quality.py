@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from cantora.llm.common import Scratch, held_out, slices, table, texts
 
 MAX_LABELLED, MAX_UNLABELLED = 6_000, 4_000
-ROUNDS, SURE, PER_ROUND, CUT = 4, 0.97, 300, 0.5
+ROUNDS, SURE, PER_ROUND, CUT = 4, 0.97, 300, 0.3
 META_BUCKETS = 32
 
 _CLASSES = np.zeros(256, np.int64)

@@ -306,7 +306,7 @@ def test_quality(spark):
     scored = quality.score_quality(docs_of(spark, rows + [(700, None), (701, ""), (None, "x"), (1, rows[1][1])]).withColumn("score", F.lit(0)), spark.createDataFrame(labels, LABELS)).collect()
     assert len(scored) == 604 and all(0 <= r["_quality"] <= 1 for r in scored)
     new = [r for r in scored if r["doc_id"] is not None and 450 <= r["doc_id"] < 600]
-    assert sum((r["_quality"] >= 0.5) == (r["doc_id"] % 4 > 0) for r in new) >= 0.97 * len(new)
+    assert sum((r["_quality"] >= quality.CUT) == (r["doc_id"] % 4 > 0) for r in new) >= 0.97 * len(new)
     none = spark.createDataFrame([], LABELS)
     assert [r["_quality"] for r in quality.score_quality(docs_of(spark, rows[:2]), none).collect()] == [1.0, 1.0]
 
