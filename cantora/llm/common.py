@@ -55,6 +55,10 @@ class Scratch:
         out._cantora_path = path
         return out
 
+    def bounded(self, df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+        """df written, then as bounded() gives it."""
+        return bounded(self.keep(df, name), rows)
+
     def free(self, *tables: DataFrame) -> None:
         for df in tables:
             path = getattr(df, "_cantora_path", None)

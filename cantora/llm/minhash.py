@@ -6,9 +6,10 @@ no band with a probability of 1.3e-6. Candidates of a bucket are compared in bat
 as the posterior probability (uniform prior) that its similarity reaches the threshold is below ``miss``. Survivors are
 compared on their full sets.
 
-Large buckets are not expanded into pairs: two rounds pair each member with one leader of its bucket, connected classes
-are merged after each, and only pairs of different components are compared in the end, so that no link between components
-is lost while a group of near copies costs about one comparison a member.
+Buckets are not expanded into pairs: each member is paired with the head of its bucket, and connected classes are merged.
+Then only buckets that still hold several components are compared, members of different components only, in
+blocks of at most ``BLOCK`` rows inside a task, which puts out survivors as lists; their exact comparison meets the sets of a
+block of documents at a time. So no link between components is lost, and no row is made for a pair.
 
 Nulls and empties: a null or blank text has an empty set and is linked with nothing; a null doc_id takes part by its text
 and sorts after all others, so it names a component only if no other id is there. Repeated rows are equal sets. Rows that
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ BANDS, ROWS, BATCH = 50, 5, 25
 MISS = 1e-6
 WORDS = 5
 CACHE = 400_000
+BLOCK = 2_000
+BLOCK_MB = 2
+LOCAL_EDGES = 1_000_000
 
 
 class _WordHash(dict):
@@ -101,13 +106,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket of each band, from rows of min-hashes."""
+    sig = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
+    for k in range(ROWS):
+        key = _mix(key * _MIX[0] + sig[:, :, k])
+    return key.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 4096):
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
-        for k in range(ROWS):
-            key = _mix(key * _MIX[0] + sig[:, :, k])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(key.reshape(-1).view(np.int64))], ["node", "bucket"])
+        key = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(key.reshape(-1))], ["node", "bucket"])
 
 
 @lru_cache(8)
@@ -143,6 +154,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in texts(batch)], pa.binary())], ["node", "shingles"])
 
 
+def _with_block(blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(_block(batch.column(0).to_numpy(), blocks)), *batch.columns], ["block", "node", "shingles"])
+
+    return run
+
+
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -157,12 +176,104 @@ def _exact(percent: int):
     return run
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of the links (a, b): the smallest node that can be reached, by alternating stars.
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of equal leading columns, from sorted rows."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for _, group in groupby(rows, key=lambda r: r[:keys]):
+        yield list(group)
+
+
+def _block(node: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mix(node.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _within(threshold: float, miss: float, blocks: int):
+    """Partners of each member of a bucket's pair of blocks (bucket, i, j, mine, node, component, sig) that belong to another
+    component and survive, where this bucket is the first that both are in: (node, block of the partners, partners)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 3):
+            bucket, i, j = group[0][:3]
+            mine, node, component = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5))
+            sig = np.frombuffer(b"".join(r[6] for r in group), np.uint16).reshape(len(group), -1)
+            if component.min() == component.max():
+                continue
+            here = np.argmax(band_keys(sig[:1])[0] == bucket) * ROWS  # all of a bucket share the band
+            bands = sig[:, :here].reshape(len(sig), -1, ROWS)
+            out = []
+            for x in np.flatnonzero(mine == i):
+                y = np.flatnonzero((component > component[x]) if i == j else (component != component[x]) & (mine == j))
+                matches = np.zeros(len(y), np.int64)
+                for k, least in enumerate(least_matches(sig.shape[1], threshold, miss)):
+                    at = slice(k * BATCH, (k + 1) * BATCH)
+                    matches += (sig[y, at] == sig[x, at]).sum(axis=1)
+                    y, matches = y[matches >= least], matches[matches >= least]
+                    if not len(y):
+                        break
+                if len(y):
+                    y = y[~(bands[y] == bands[x]).all(axis=2).any(axis=1)]
+                    to = _block(node[y], blocks)
+                    out += [(node[x], b, node[y[to == b]]) for b in np.unique(to)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], ["node", "block", "partners"])
+
+    return run
 
-    Each round sends a node's neighbours to its smallest one; edges, never whole neighbourhoods, are the rows."""
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+
+def _exact_blocks(percent: int):
+    """Links from rows (block, asks, node, shingles, partners), sorted: the sets of a block, then what is compared with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sets = None, {}
+        for batch in slices(batches, 512):
+            found = []
+            for block, asks, node, raw, partners in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != current:
+                    current, sets = block, {}
+                one = np.frombuffer(raw, np.uint64)
+                if not asks:
+                    sets.setdefault(node, []).append(one)
+                    continue
+                for other in partners:
+                    for two in sets.get(other, ()):
+                        if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
+                            shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+                            if 100 * shared >= percent * (len(one) + len(two) - shared):
+                                found.append((node, other))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find of a partition's edges: each of its nodes with the smallest one it reaches here."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+
+
+def components(links: DataFrame, scratch: Scratch, local: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component) for every node of the links (a, b): the smallest node that can be reached.
+
+    Partitions of at most ``local`` edges are contracted to stars first; if there is more than one, alternating large and small
+    stars join them, with edges, never whole neighbourhoods, as rows."""
+    edges = scratch.keep(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
+    parts = -(-edges.count() // local) or 1
+    old, edges = edges, scratch.keep((edges.coalesce(1) if parts == 1 else edges.repartition(parts)).mapInArrow(_local_stars, "u long, v long"), "stars")
+    scratch.free(old)
+    if parts == 1:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    edges, seen = edges.where("u <> v"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -170,8 +281,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         large = scratch.keep(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        old, edges = edges, scratch.keep(small, "small")
-        scratch.free(old, large)
+        edges = scratch.keep(small, "small")
+        scratch.free(large)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.hash("u", "v").cast("long"))).first())
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -180,52 +291,54 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.keep(docs.mapInArrow(_sign, _SIGNED), "signed")
     last = (1 << 63) - 1
     named = F.coalesce("doc_id", F.lit(last))
     classes = scratch.keep(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(named).alias("node"), F.first("sig").alias("sig")), "classes")
-    buckets = scratch.keep(classes.select("node", "sig").mapInArrow(_bands, "node long, bucket long").where("node is not null"), "bands")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    old, buckets = buckets, scratch.keep(buckets.join(bounded(shared), "bucket", "left_semi"), "buckets")
-    scratch.free(old)
-
-    tested = links = sets = None
-    merged = buckets.select("node").limit(0).withColumn("component", F.col("node"))
-    for leader in (F.min, F.max, None):
-        at = buckets.join(merged, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        if leader is None or links is not None:
-            mixed = at.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-            at = at.join(bounded(mixed), "bucket", "left_semi")
-        if leader is not None:
-            head = at.groupBy("bucket").agg(leader(F.struct("component", "node")).alias("head")).select("bucket", F.col("head.node").alias("b"), F.col("head.component").alias("cb"))
-        else:
-            head = at.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-        apart = F.col("component") < F.col("cb") if leader is None else F.col("component") != F.col("cb")
-        pairs = at.join(head, "bucket").where(apart).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).where("a <> b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        sig = classes.select("node", "sig")
-        both = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "one"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "two"}), "b").select("a", "b", "one", "two")
-        alive = scratch.keep(both.mapInArrow(_prune(percent / 100, miss), "a long, b long"), "alive")
-        wanted = alive.select(F.col("a").alias("node")).unionByName(alive.select(F.col("b").alias("node"))).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        text = docs.select(named.alias("node"), "text").join(bounded(wanted), "node", "left_semi")
-        more = scratch.keep(text.mapInArrow(_sets, "node long, shingles binary").where("octet_length(shingles) > 0"), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        full = alive.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b").select("a", "b", "one", "two")
-        found = scratch.keep(full.mapInArrow(_exact(percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        if leader is None and not found.take(1):
-            break
-        merged = components(links, scratch)
-
-    merged = classes.select("h1", "h2", "node").join(merged, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    sig = classes.select("node", "sig")
+    bands = scratch.keep(sig.mapInArrow(_bands, "node long, bucket long"), "bands")
+    heads = scratch.bounded(bands.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head"), "heads")
+    buckets = scratch.keep(bands.join(heads, "bucket"), "buckets")
+    scratch.free(bands)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        text = docs.select(named.alias("node"), "text").join(scratch.bounded(nodes, "nodes"), "node", "left_semi")
+        return scratch.keep(text.mapInArrow(_sets, "node long, shingles binary").where("octet_length(shingles) > 0"), "sets")
+
+    # each member with its bucket's head
+    pairs = scratch.keep(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    both = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "one"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "two"}), "b").select("a", "b", "one", "two")
+    alive = scratch.keep(both.mapInArrow(_prune(percent / 100, miss), "a long, b long"), "alive")
+    sets = sets_of(alive.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    full = alive.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b").select("a", "b", "one", "two")
+    links = scratch.keep(full.mapInArrow(_exact(percent), "a long, b long"), "links")
+    scratch.free(sets, alive, pairs)
+    merged = components(links, scratch)
+
+    # members of different components, in blocks
+    at = buckets.join(bounded(merged), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    at = scratch.keep(at.join(scratch.bounded(mixed.select("bucket", F.ceil(F.col("size") / BLOCK).alias("parts")), "mixed"), "bucket"), "at")
+    sets = sets_of(at.select("node").distinct())
+    size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    blocks = 1 + int(size // (BLOCK_MB << 20))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    at = at.select("bucket", "node", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with")).join(sig, "node")
+    at = at.select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine", "node", "component", "sig")
+    at = at.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    alive = at.mapInArrow(_within(percent / 100, miss, blocks), "node long, block long, partners array<long>")
+    asks = alive.groupBy("node", "block").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    asks = asks.join(sets, "node").select("block", F.lit(1).alias("asks"), "node", "shingles", "partners")
+    held = sets.mapInArrow(_with_block(blocks), "block long, node long, shingles binary").select("block", F.lit(0).alias("asks"), "node", "shingles", F.lit(None).cast("array<long>").alias("partners"))
+    both = held.unionByName(asks).repartition("block").sortWithinPartitions("block", "asks")
+    found = scratch.keep(both.mapInArrow(_exact_blocks(percent), "a long, b long"), "links")
+    scratch.free(sets)
+    if found.take(1):
+        merged = components(links.unionByName(found), scratch)
+
+    merged = classes.select("h1", "h2", "node").join(bounded(merged), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     name = F.when(F.col("component") == last, F.lit(None).cast("long")).otherwise(F.col("component"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(merged, ["h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(name).alias("component_id"))
