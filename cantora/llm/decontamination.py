@@ -71,7 +71,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
         mine = items.where(F.col("k") == k)
         parts = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("w")).where(F.size("w") >= k)
         places = parts.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode(F.expr(_shingles(k))).alias("at", "h"))
-        known = bounded(mine.select("item_id", F.explode(F.array_distinct("item_shingles")).alias("h")))
+        known = scratch.bounded(mine.select("item_id", F.explode(F.array_distinct("item_shingles")).alias("h")), "known")
         anchors = places.join(known, "h").groupBy("doc_id", "text_key", "item_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("at")).alias("at"))
         anchors = anchors.join(bounded(mine.select("item_id", "n", "m", "need")), "item_id").where("size(at) >= need")
         last = "greatest(size - n, 0)"
