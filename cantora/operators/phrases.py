@@ -14,13 +14,13 @@ from cantora.functions import music as M
 def frames(notes: DataFrame, shortest: int = 8, longest: int = 20, step: int | None = None, transposed: bool = False) -> DataFrame:
     """file_id, pos, len, ivs, rhythm, p0 of every window of so many notes (fewer than all). Above 500 notes every second
     place counts, unless ``step`` says otherwise; transposed patterns forget the start pitch."""
-    rows = notes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_tick", "note_id", "pitch"))).alias("a"))
-    rows = rows.select("file_id", F.transform("a", lambda x: x["pitch"]).alias("p"), F.transform("a", lambda x: x["start_tick"]).alias("s"), F.size("a").alias("n"))
-    rows = rows.withColumn("step", F.lit(step) if step else F.when(F.col("n") > 500, 2).otherwise(1))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(shortest), F.lit(longest))).alias("len")).where(F.col("len") < F.col("n"))
-    rows = rows.select("*", F.explode(F.expr("sequence(0, n - len, step)")).alias("pos"))
-    p, s = F.slice("p", F.col("pos") + 1, F.col("len")), F.slice("s", F.col("pos") + 1, F.col("len"))
-    rows = rows.select("file_id", "pos", "len", p.alias("p"), s.alias("s"))
+    order = Window.partitionBy("file_id").orderBy("start_tick", "note_id")
+    ahead, whole = order.rowsBetween(0, longest - 1), Window.partitionBy("file_id")
+    rows = notes.select("file_id", (F.row_number().over(order) - 1).alias("pos"), F.count("*").over(whole).alias("n"), F.collect_list("pitch").over(ahead).alias("p"), F.collect_list("start_tick").over(ahead).alias("s"))
+    by = F.lit(step) if step else F.when(F.col("n") > 500, 2).otherwise(1)
+    rows = rows.where((F.col("pos") % by == 0) & (F.size("p") >= shortest))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(shortest), F.size("p"))).alias("len")).where(F.col("len") < F.col("n"))
+    rows = rows.select("file_id", "pos", "len", F.slice("p", F.lit(1), F.col("len")).alias("p"), F.slice("s", F.lit(1), F.col("len")).alias("s"))
     diff = lambda a: F.zip_with(F.slice(a, F.lit(2), F.size(a) - 1), F.slice(a, F.lit(1), F.size(a) - 1), lambda y, x: (y - x).cast("int"))
     rows = rows.select("file_id", "pos", "len", diff(F.col("p")).alias("ivs"), diff(F.col("s")).alias("ioi"), F.element_at("p", 1).alias("p0"))
     unit = F.when(F.array_min("ioi") > 0, F.array_min("ioi")).otherwise(F.lit(1))

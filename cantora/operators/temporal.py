@@ -5,8 +5,11 @@ Interval and nearest joins are unions and running windows, so they cost a sort o
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def islands(df: DataFrame, keys: list[str], order: list, linked: Column, name: str = "island") -> DataFrame:
@@ -45,7 +48,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str = "file_id", at: str = "
     other = right.select(key, F.col(at).alias("_x"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(at).cast(left.schema[at].dataType).alias("_there")).distinct()
     w = Window.partitionBy(key).orderBy("_x")
     before = F.last("_there", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_there", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(key).orderBy(F.desc("_x"))  # a running frame from the other end; frames up to the end cost a square
+    after = F.last("_there", ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0))
     out = rows.unionByName(other).withColumn("_b", before).withColumn("_a", after).where("_row is not null")
     pick = F.when(F.col("_a").isNull() | ((F.col("_x") - F.col("_b")) <= (F.col("_a") - F.col("_x"))), F.col("_b")).otherwise(F.col("_a"))
     out = out.select("_row.*", pick.alias(name))
@@ -69,17 +73,20 @@ def drop_short(events: DataFrame, least: float, order: str = "t") -> DataFrame:
 
 
 def anchor_groups(df: DataFrame, within: int, keys: list[str], at: str, tie: str) -> DataFrame:
-    """(keys, at, tie, group): a group holds the rows within so many ticks of its first row. A fold over each key's sorted rows."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), F.col(tie).cast("long").alias("tie")))).alias("rows"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("gid"), F.array().cast("array<int>").alias("gids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["anchor"].isNull() | (x["at"] - acc["anchor"] > within)
-        gid = F.when(fresh, acc["gid"] + 1).otherwise(acc["gid"])
-        return F.struct(F.when(fresh, x["at"]).otherwise(acc["anchor"]).alias("anchor"), gid.alias("gid"), F.concat(acc["gids"], F.array(gid)).alias("gids"))
-
-    folded = rows.select(*keys, "rows", F.aggregate("rows", start, step)["gids"].alias("gids"))
-    return folded.select(*keys, F.explode(F.arrays_zip("rows", "gids")).alias("z")).select(*keys, F.col("z.rows.at").alias(at), F.col("z.rows.tie").alias(tie), F.col("z.gids").alias("group"))
+    """(keys, at, tie, group): a group holds the rows within so many ticks of its first row, which is where the last group ended:
+    a jump from anchor to anchor over each key's sorted rows."""
+    rows = df.select(*keys, F.col(at).cast("long").alias(at), F.col(tie).cast("long").alias(tie))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([at, tie])
+        t = group[at].to_numpy()
+        starts, i = np.zeros(len(t), np.int32), 0
+        while i < len(t):
+            starts[i] = 1
+            i = int(np.searchsorted(t, t[i] + within, side="right"))
+        return group.assign(group=np.cumsum(starts))
+
+    return rows.groupBy(*keys).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("group", T.IntegerType())]))
 
 
 def wasserstein(a: DataFrame, b: DataFrame, key: str = "file_id", value: str = "v") -> DataFrame:
