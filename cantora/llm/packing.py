@@ -6,7 +6,7 @@ cut every ``length`` ids: neighbours on the curve share sequences and only the l
 the stream is its place in its range plus the lengths of the ranges before, of which the driver sees one number a range.
 
 Token ids equal those of the tokenizer for the whole text: it never joins characters across white space, so ids are kept
-for words, in a bounded cache; words of ASCII letters and their closing marks go to the model itself, all others through
+for words, in a bounded cache; words of Latin letters and their closing marks go to the model itself, all others through
 the whole tokenizer, and a text with separators that only Python counts as white space (U+001C to U+001F) is encoded whole.
 
 A null or empty text is the end id alone. Copies have equal keys and are spread by their row; repeated rows are packed
@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,10 +31,13 @@ from cantora.llm.common import Scratch, slices, table, texts
 
 END = 2
 LENGTH = 4096
-CACHE = 700_000
+CACHE = 1_000_000
 BUCKETS, DIMS, BITS = 256, 4, 15
 _ODD = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?)\"*$%&#]*)")
+_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?)\"*$%&#]*)")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The printable stand-ins of bytes in byte-level vocabularies.
+_STAND = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordIds(dict):
@@ -50,18 +54,21 @@ class WordIds(dict):
         assert self.whole.get_vocab_size() <= 1 << 16
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         ids = None
         if self.model is not None and (plain := _PLAIN.fullmatch(word)):
-            low, marks = plain[1].lower(), plain[2]
-            if marks or low != word:
-                ids = self[low] + (self[marks] if marks else b"")
-            else:
-                ids = np.array([t.id for t in self.model.tokenize(low)], "<u2").tobytes()
+            letters, marks = plain[1], plain[2]
+            if letters.isascii() or (letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters):
+                low = letters.lower()
+                if marks or low != word:
+                    ids = self[low] + (self[marks] if marks else b"")
+                else:
+                    shown = low if low.isascii() else "".join(map(_STAND.__getitem__, low.encode()))
+                    ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if ids is None:
             ids = self.encode(word)
         self[word] = ids
