@@ -7,8 +7,10 @@ stands in ``min_docs`` documents or more is recurring: its lines are dropped fro
 doc_id, so that nothing is lost altogether.
 
 Only leaves that ``min_docs`` documents reach can hold such a template, and a leaf of one distinct line is its own template, so few
-lines' texts are needed; a frequent line is one row there. Leaves of more than ``wide`` distinct lines are split by their next
-three tokens, and if they are still so large, by eight more.
+lines' texts are needed; a frequent line is one row there. A leaf has one set of templates whatever its size: a line is compared
+only with templates that agree with it on one of several runs of places, one of which any template that is similar enough must
+share. A caller that gives ``wide`` splits leaves of more distinct lines by their next three tokens, and if they are still so
+large, by eight more; lines that differ there then never meet. No query does.
 
 Lines need ``min_tokens`` constant tokens to take part, so tables of numbers don't. Null and empty texts have no such line and stay as they are; a null
 doc_id never counts as the smallest, unless all are null; repeated rows count as documents and get the same text; other columns
@@ -17,8 +19,10 @@ pass through, whatever their names; no rows give no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from functools import cache
+from itertools import combinations, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cantora.llm.common import Scratch, bounded, table
 
-MIN_DOCS, MIN_TOKENS, SIMILAR, WIDE = 10, 3, 0.8, 5_000
+MIN_DOCS, MIN_TOKENS, SIMILAR = 10, 3, 0.8
 LEAD = 3
 VARIABLE = r"(?<!\S)(?:(?:https?://|www\.)\S+|[^\s\d@]*+[\d@]\S*)"  # possessive, so that a word is read once
 
@@ -58,6 +62,24 @@ def _marks(text: Column, min_tokens: int) -> Column:
     return F.transform(_masked_lines(text), lambda m: _mark(m, min_tokens))
 
 
+@cache
+def _runs(n: int, similar: float) -> list[list[int]]:
+    """Places of a line of n tokens: two such lines of a leaf that are similar enough agree on all places of one of these.
+
+    The places after the leading ones are cut into one piece more than may differ, and if few may, into two more, of which two agree."""
+    differ = 0
+    while n - differ - 1 >= similar * n:
+        differ += 1
+    pick = 2 if differ <= 4 else 1
+    first, pieces = min(LEAD, n), differ + pick
+    cuts = [first + (n - first) * k // pieces for k in range(pieces + 1)]
+    return [[i for k in some for i in range(cuts[k], cuts[k + 1])] for some in combinations(range(pieces), pick)]
+
+
+def _keys(tokens: list[str], similar: float) -> list[int]:
+    return [hash((k, *[tokens[i] for i in places])) for k, places in enumerate(_runs(len(tokens), similar))]
+
+
 def _templates(similar: float):
     """(leaf, line) -> template, from rows (group, leaf, line, n, text) that are sorted by group and n."""
 
@@ -66,22 +88,30 @@ def _templates(similar: float):
         out: list[tuple] = []
         for group, lines in groupby(rows, key=lambda r: r[0]):
             found: list[list[str]] = []
+            index: dict[int, list[int]] = defaultdict(list)
             for _, leaf, line, _, text in lines:
                 tokens = text.split(" ")
+                keys = _keys(tokens, similar)
                 best, most = -1, 0
-                for i, template in enumerate(found):
-                    same = sum(map(str.__eq__, template, tokens)) if len(template) == len(tokens) else 0
-                    if same > most:
+                for i in {i for key in keys for i in index.get(key, ())}:
+                    same = sum(map(str.__eq__, found[i], tokens)) if len(found[i]) == len(tokens) else 0
+                    if same > most or (same == most > 0 and i < best):
                         best, most = i, same
-                if most >= similar * len(tokens):
-                    found[best] = [a if a == b else "<*>" for a, b in zip(found[best], tokens, strict=True)]
+                if best >= 0 and most >= similar * len(tokens):
+                    if most < len(tokens):
+                        old = _keys(found[best], similar)
+                        found[best] = [a if a == b else "<*>" for a, b in zip(found[best], tokens, strict=True)]
+                        for key in set(_keys(found[best], similar)).difference(old):
+                            index[key].append(best)
                 else:
                     best = len(found)
                     found.append(tokens)
+                    for key in keys:
+                        index[key].append(best)
                 out.append((leaf, line, group, best))
-            if len(out) >= 10_000:
-                yield _table(out)
-                out = []
+                if len(out) >= 10_000:
+                    yield _table(out)
+                    out = []
         yield _table(out)
 
     def _table(out: list[tuple]) -> pa.RecordBatch:
@@ -91,7 +121,7 @@ def _templates(similar: float):
     return run
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens: int, similar: float, wide: int) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens: int, similar: float, wide: int | None) -> tuple[DataFrame, DataFrame]:
     """Every document's distinct lines (doc_id, text_key, leaf, line), and the recurring (leaf, line, first: smallest doc_id)."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(_marks(F.col("text"), min_tokens))).alias("x")).where("x is not null")
     lines = scratch.keep(lines.select("doc_id", "text_key", "x.leaf", "x.line"), "lines")
@@ -105,10 +135,12 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens
     texts = docs.select(F.explode(_masked_lines(F.col("text"))).alias("text")).select("text", _mark(F.col("text"), min_tokens).alias("x")).where("x is not null")
     texts = texts.select("x.leaf", "x.line", "text").join(wanted, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.min("text").alias("text"))
     texts = scratch.keep(several.join(texts, ["leaf", "line"]), "texts")
-    tokens = F.split("text", " ")
-    texts = texts.withColumn("group", F.when(F.col("lines") > wide, F.xxhash64("leaf", F.slice(tokens, LEAD + 1, 3))).otherwise(F.col("leaf")))
-    size = texts.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > wide)
-    texts = texts.join(scratch.bounded(size, "size"), "group", "left").withColumn("group", F.when(F.col("size").isNotNull(), F.xxhash64("group", F.slice(tokens, LEAD + 4, 8))).otherwise(F.col("group")))
+    texts = texts.withColumn("group", F.col("leaf"))
+    if wide is not None:
+        tokens = F.split("text", " ")
+        texts = texts.withColumn("group", F.when(F.col("lines") > wide, F.xxhash64("leaf", F.slice(tokens, LEAD + 1, 3))).otherwise(F.col("leaf")))
+        size = texts.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > wide)
+        texts = texts.join(scratch.bounded(size, "size"), "group", "left").withColumn("group", F.when(F.col("size").isNotNull(), F.xxhash64("group", F.slice(tokens, LEAD + 4, 8))).otherwise(F.col("group")))
     texts = texts.select("group", "leaf", "line", "n", "text").repartition("group").sortWithinPartitions("group", F.desc("n"), "line")
     template = scratch.keep(texts.mapInArrow(_templates(similar), "leaf long, line long, group long, nth long"), "templates")
     likely = several.join(template, ["leaf", "line"]).groupBy("group", "nth").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
@@ -119,7 +151,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens
     return lines, scratch.keep(alone.unionByName(shared), "recurring")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, wide: int = WIDE) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, wide: int | None = None) -> DataFrame:
     """docs with recurring lines taken out of text, and _n_lines and _n_dropped."""
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

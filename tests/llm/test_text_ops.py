@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,32 @@ def test_line_splits(spark):
     assert {r["doc_id"] for r in split.where("_n_dropped > 0").collect()} == set(range(2, 40))
 
 
+def test_wide_leaf_has_one_template_set(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, f"Thanks for reading {name(i)} we hope you like this page") for i in range(5_200)]
+    cleaned = lines.drop_recurring_lines(docs_of(spark, rows))
+    assert [r["doc_id"] for r in cleaned.where("_n_dropped = 0").collect()] == [0]
+
+
+def test_templates_equal_all_comparisons():
+    rng = random.Random(12)
+    rows = []
+    for leaf, n in enumerate((4, 5, 6, 9, 10, 14, 19, 24, 25, 40, 60)):
+        base = [words(rng, n - 3, 30) for _ in range(6)]
+        texts = {" ".join(["a", "b", "c"] + [f"x{rng.randrange(3)}" if rng.random() < 0.15 else w for w in rng.choice(base)]) for _ in range(150)}
+        rows += [(leaf, leaf, k, 1, t) for k, t in enumerate(sorted(texts, key=lambda t: (len(t) % 7, t)))]
+    wanted, found = [], {}
+    for group, _, line, _, text in rows:
+        tokens, known = text.split(" "), found.setdefault(group, [])
+        same = [sum(a == b for a, b in zip(t, tokens, strict=True)) for t in known]
+        best = same.index(max(same)) if same and max(same) >= 0.8 * len(tokens) else len(known)
+        known[best:best + 1] = [[a if a == b else "<*>" for a, b in zip(known[best] if best < len(known) else tokens, tokens, strict=True)]]
+        wanted.append((group, line, best))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["group", "leaf", "line", "n", "text"])
+    got = [(r["group"], r["line"], r["nth"]) for b in lines._templates(0.8)(iter([batch])) for r in b.to_pylist()]
+    assert got == wanted and any(len(found[g]) > 1 for g in found)
+
+
 def neighbours(rows, k=10):
     """Exact results of the same rules."""
     ok = {}
