@@ -1,4 +1,7 @@
-"""Frame features of recordings in numpy, a batch of recordings at a time, and rendering of notes.
+"""Frame features of recordings in numpy, a chunk of a recording at a time, and rendering of notes.
+
+Audio is rows of whole recordings (file_id, sr, y) or of their chunks of at most CHUNK frames: file_id, sr, hop, first (frame), lead,
+samples, y. A chunk's own samples are y[lead : lead + samples]; y has besides what its frames and the one before its first read.
 
 The recording's onset strength, tempo and chroma are plain spectral approximations, not those of any audio library.
 """
@@ -9,27 +12,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SR, HOP, N_FFT = 22_050, 512, 2048
+SR, HOP, N_FFT, CHUNK = 22_050, 512, 2048, 512
+_CHUNK = "file_id int, sr int, hop int, first long, lead int, samples long, y array<float>"
 
 
-def stft(y: np.ndarray, n_fft: int = N_FFT, hop: int = HOP) -> np.ndarray:
-    """Magnitudes, bins x frames, of a centred Hann window."""
-    y = np.pad(np.asarray(y, np.float64), n_fft // 2)
+def stft(y: np.ndarray, n_fft: int = N_FFT, hop: int = HOP, padded: bool = False) -> np.ndarray:
+    """Magnitudes, bins x frames, of a centred Hann window. A padded y has half a window on both sides already."""
+    y = np.asarray(y, np.float64) if padded else np.pad(np.asarray(y, np.float64), n_fft // 2)
     n = 1 + (len(y) - n_fft) // hop
     frames = np.lib.stride_tricks.sliding_window_view(y, n_fft)[::hop][:n]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
     return np.abs(np.fft.rfft(frames * window, axis=1)).T
 
 
-def features(y: np.ndarray, sr: int = SR, hop: int = HOP) -> dict[str, np.ndarray]:
+def features(y: np.ndarray, sr: int = SR, hop: int = HOP, padded: bool = False) -> dict[str, np.ndarray]:
     """rms, env (positive flux), centroid and rolloff of each frame, and chroma (12 x frames, largest 1)."""
-    mag = stft(y, hop=hop)
+    y = np.asarray(y, np.float64) if padded else np.pad(np.asarray(y, np.float64), N_FFT // 2)
+    mag = stft(y, hop=hop, padded=True)
     freq = np.fft.rfftfreq(N_FFT, 1 / sr)
-    padded = np.pad(np.asarray(y, np.float64), N_FFT // 2)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::hop][: mag.shape[1]]
+    windows = np.lib.stride_tricks.sliding_window_view(y, N_FFT)[::hop][: mag.shape[1]]
     total = mag.sum(axis=0) + 1e-12
     flux = np.maximum(0, np.diff(mag, axis=1, prepend=mag[:, :1])).sum(axis=0)
     rolled = np.cumsum(mag, axis=0) >= 0.85 * total
@@ -52,21 +56,29 @@ def tempo(env: np.ndarray, sr: int = SR, hop: int = HOP) -> float:
     return float(bpm[fit][np.argmax(corr[1:][fit] * np.exp(-0.5 * (np.log2(bpm[fit] / 120)) ** 2))]) if fit.any() else 120.0
 
 
-def synthesise(notes: pd.DataFrame, length: int, sr: int = SR) -> np.ndarray:
-    """Sines with a linear attack of 10 ms and release of 50 ms (a quarter of a note at most), then scaled to a peak of 1."""
-    y = np.zeros(length)
+def _mix(notes: pd.DataFrame, length: int, first: int, last: int, sr: int) -> np.ndarray:
+    """Samples first to last of a recording of ``length`` samples, 0 outside it, before they are scaled."""
+    y = np.zeros(last - first)
     for pitch, velocity, start, end in zip(notes["pitch"], notes["velocity"], notes["start_s"], notes["end_s"], strict=True):
         begin, stop = int(start * sr), min(int(end * sr), length)
         n = stop - begin
-        if n <= 0:
+        i, j = max(begin, first) - begin, min(stop, last) - begin
+        if n <= 0 or i >= j:
             continue
-        wave = velocity / 127 * 0.1 * np.sin(2 * np.pi * 440 * 2 ** ((pitch - 69) / 12) * np.arange(n) / sr)
+        wave = velocity / 127 * 0.1 * np.sin(2 * np.pi * 440 * 2 ** ((pitch - 69) / 12) * np.arange(i, j) / sr)
         attack, release = min(int(0.01 * sr), n // 4), min(int(0.05 * sr), n // 4)
-        if attack:
-            wave[:attack] *= np.linspace(0, 1, attack)
-        if release:
-            wave[n - release :] *= np.linspace(1, 0, release)
-        y[begin:stop] += wave
+        if i < attack:
+            wave[: attack - i] *= np.linspace(0, 1, attack)[i:j]
+        if j > n - release:
+            k = max(i, n - release)
+            wave[k - i :] *= np.linspace(1, 0, release)[k - (n - release) : j - (n - release)]
+        y[begin + i - first : begin + j - first] += wave
+    return y
+
+
+def synthesise(notes: pd.DataFrame, length: int, sr: int = SR) -> np.ndarray:
+    """Sines with a linear attack of 10 ms and release of 50 ms (a quarter of a note at most), then scaled to a peak of 1."""
+    y = _mix(notes, length, 0, length, sr)
     top = np.abs(y).max() if length else 0
     return y / top if top > 0 else y
 
@@ -81,22 +93,76 @@ def render(notes: DataFrame, sr: int = SR) -> DataFrame:
     return notes.select("file_id", "pitch", "velocity", "start_s", "end_s").groupBy("file_id").applyInPandas(run, "file_id int, sr int, y array<float>")
 
 
+def _bounds(first: int, length: int, hop: int) -> tuple[int, int, int, int]:
+    """lead, samples, and the places where y begins and ends, of the chunk at a frame."""
+    count = min(CHUNK, 1 + length // hop - first)
+    lead = N_FFT // 2 + (hop if first else 0)
+    begin = first * hop - lead
+    return lead, max(0, min((first + CHUNK) * hop, length) - first * hop), begin, (first + count - 1) * hop + N_FFT // 2
+
+
+def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
+    """Chunks of what render() gives. The notes of each chunk are mixed twice: for the recording's peak, and to be scaled by it."""
+    notes = notes.select("file_id", "pitch", "velocity", "start_s", "end_s")
+    size = CHUNK * hop
+    lengths = notes.groupBy("file_id").agg((F.floor(F.max("end_s") * sr) + 1).cast("long").alias("length"))
+    of = lambda sample: F.floor(sample / size).cast("long")
+    last = of(F.floor(F.col("length") / hop) * hop)
+    reach = F.sequence(F.greatest(of(F.floor(F.col("start_s") * sr) - N_FFT // 2), F.lit(0)), F.least(of(F.floor(F.col("end_s") * sr) + hop + N_FFT // 2), last))
+    rows = notes.where("end_s > start_s").join(lengths, "file_id").withColumn("chunk", F.explode(reach))
+    silent = lengths.select("file_id", *[F.lit(0).cast(notes.schema[c].dataType).alias(c) for c in notes.columns[1:]], "length").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.unionByName(silent)
+
+    def mixed(group: pd.DataFrame) -> tuple[int, int, int, np.ndarray]:
+        first, length = int(group["chunk"].iloc[0]) * CHUNK, int(group["length"].iloc[0])
+        lead, samples, begin, end = _bounds(first, length, hop)
+        return first, lead, samples, _mix(group.sort_values(["start_s", "pitch"]), length, begin, end, sr)
+
+    def loudest(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "top": [float(np.abs(mixed(group)[3]).max())]})
+
+    def scaled(group: pd.DataFrame) -> pd.DataFrame:
+        first, lead, samples, y = mixed(group)
+        top = group["top"].iloc[0]
+        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "y": [(y / top if top > 0 else y).astype(np.float32)]})
+
+    tops = rows.groupBy("file_id", "chunk").applyInPandas(loudest, "file_id int, top double").groupBy("file_id").agg(F.max("top").alias("top"))
+    return rows.join(tops, "file_id").groupBy("file_id", "chunk").applyInPandas(scaled, _CHUNK)
+
+
+def chunks(audio: DataFrame, hop: int = HOP) -> DataFrame:
+    """Whole recordings as chunks; chunks as they are."""
+    if "first" in audio.columns:
+        return audio
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file_id, sr, y in zip(batch["file_id"], batch["sr"], batch["y"], strict=True):
+                for first in range(0, 1 + len(y) // hop, CHUNK):
+                    lead, samples, begin, end = _bounds(first, len(y), hop)
+                    part = np.pad(np.asarray(y[max(begin, 0) : end], np.float32), (max(-begin, 0), max(end - len(y), 0)))
+                    yield pd.DataFrame({"file_id": [file_id], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "y": [part]})
+
+    return audio.select("file_id", "sr", "y").mapInPandas(run, _CHUNK)
+
+
 def frames(audio: DataFrame, hop: int = HOP, spectra: bool = False) -> DataFrame:
     """A row a frame: file_id, frame, t, rms, env, centroid, rolloff, chroma[, mag]."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file_id, sr, y in zip(batch["file_id"], batch["sr"], batch["y"], strict=True):
-                f = features(y, sr, hop)
+            for file_id, sr, hop, first, y in zip(batch["file_id"], batch["sr"], batch["hop"], batch["first"], batch["y"], strict=True):
+                f = {k: v[..., int(first > 0) :] for k, v in features(y, sr, hop, padded=True).items()}
                 n = len(f["rms"])
-                out = pd.DataFrame({"file_id": np.full(n, file_id, np.int32), "frame": np.arange(n), "t": np.arange(n) * hop / sr} | {k: f[k] for k in ("rms", "env", "centroid", "rolloff")})
+                frame = first + np.arange(n)
+                out = pd.DataFrame({"file_id": np.full(n, file_id, np.int32), "frame": frame, "t": frame * hop / sr} | {k: f[k] for k in ("rms", "env", "centroid", "rolloff")})
                 out["chroma"] = list(f["chroma"].T)
                 if spectra:
                     out["mag"] = list(f["mag"].T.astype(np.float32))
                 yield out
 
     schema = "file_id int, frame long, t double, rms double, env double, centroid double, rolloff double, chroma array<double>"
-    return audio.select("file_id", "sr", "y").mapInPandas(run, schema + ", mag array<float>" * spectra)
+    return chunks(audio, hop).select("file_id", "sr", "hop", "first", "y").mapInPandas(run, schema + ", mag array<float>" * spectra)
 
 
 def band_energy(frames: DataFrame, notes: DataFrame, sr: int = SR) -> DataFrame:
@@ -122,22 +188,35 @@ def transcribe(audio: DataFrame, onset: float = 0.5, min_ms: float = 127.7, low:
     if backend:
         return backend(audio)
 
+    audio = chunks(audio)
+
+    def spectrum(first: int, hop: int, y: np.ndarray) -> np.ndarray:
+        return stft(y, hop=hop, padded=True)[:, int(first > 0) :]
+
+    def loudest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file_id": batch["file_id"], "top": [float(spectrum(*row).max()) for row in zip(batch["first"], batch["hop"], batch["y"], strict=True)]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file_id, sr, y in zip(batch["file_id"], batch["sr"], batch["y"], strict=True):
-                mag = stft(y)
-                top = mag.max() or 1.0
+            for file_id, sr, hop, first, y, top in zip(batch["file_id"], batch["sr"], batch["hop"], batch["first"], batch["y"], batch["top"], strict=True):
+                mag = spectrum(first, hop, y)
                 out = []
                 for pitch in range(low, high + 1):
                     b = int(round(440 * 2 ** ((pitch - 69) / 12) * N_FFT / sr))
                     if not 1 <= b < len(mag) - 1:
                         continue
-                    x = mag[b] / top
+                    x = mag[b] / (top or 1.0)
                     on = (x >= onset * 0.5) & (mag[b] >= mag[b - 1]) & (mag[b] >= mag[b + 1])
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(int), [0]))))
-                    for i, j in zip(edge[::2], edge[1::2], strict=True):
-                        if (j - i) * HOP / sr * 1000 >= min_ms:
-                            out.append((file_id, pitch, int(min(127, 30 + 97 * x[i:j].max())), i * HOP / sr, j * HOP / sr))
-                yield pd.DataFrame(out, columns=["file_id", "pitch", "velocity", "start_s", "end_s"])
-
-    return audio.select("file_id", "sr", "y").mapInPandas(run, "file_id int, pitch int, velocity int, start_s double, end_s double")
+                    out += [(file_id, pitch, hop / sr, first + i, first + j, x[i:j].max()) for i, j in zip(edge[::2], edge[1::2], strict=True)]
+                yield pd.DataFrame(out, columns=["file_id", "pitch", "step", "i", "j", "loud"])
+
+    tops = audio.select("file_id", "first", "hop", "y").mapInPandas(loudest, "file_id int, top double").groupBy("file_id").agg(F.max("top").alias("top"))
+    runs = audio.join(tops, "file_id").select("file_id", "sr", "hop", "first", "y", "top").mapInPandas(run, "file_id int, pitch int, step double, i long, j long, loud double")
+    # a note that goes on in the next chunk is one
+    order = Window.partitionBy("file_id", "pitch").orderBy("i")
+    runs = runs.withColumn("new", F.coalesce(F.col("i") > F.lag("j").over(order), F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(order))
+    notes = runs.groupBy("file_id", "pitch", "nth").agg(F.min("i").alias("i"), F.max("j").alias("j"), F.max("loud").alias("loud"), F.first("step").alias("step"))
+    notes = notes.where((F.col("j") - F.col("i")) * F.col("step") * 1000 >= min_ms)
+    return notes.select("file_id", "pitch", F.least(F.lit(127), F.floor(30 + 97 * F.col("loud"))).cast("int").alias("velocity"), (F.col("i") * F.col("step")).alias("start_s"), (F.col("j") * F.col("step")).alias("end_s"))

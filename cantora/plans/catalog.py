@@ -761,15 +761,15 @@ def _(spark, d):
 # Files and recordings, rows only
 
 
-def _short_audio(spark, d):
-    """A few seconds of each file, rendered."""
-    return signal.render(seconds_of(notes_of(spark, d)).where("start_s < 3").withColumn("end_s", F.least(F.col("end_s"), F.col("start_s") + 0.5)))
+def _audio(spark, d):
+    """All notes of each file, rendered in chunks."""
+    return signal.render_chunks(seconds_of(notes_of(spark, d)))
 
 
 QUERIES["smf_roundtrip"] = lambda spark, d: smf.messages(smf.write(pairing.note_events(notes_of(spark, d)).where("pitch >= 0"))).groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.max("abs_tick").alias("last_tick"))
-QUERIES["synth_render"] = lambda spark, d: _short_audio(spark, d).select("file_id", "sr", F.size("y").alias("samples"), F.round(F.array_max("y").cast("double"), 4).alias("peak"))
-QUERIES["wav_frames"] = lambda spark, d: signal.frames(_short_audio(spark, d)).groupBy("file_id").agg(F.count("*").alias("frames"), F.round(F.max("rms"), 6).alias("rms"))
+QUERIES["synth_render"] = lambda spark, d: _audio(spark, d).groupBy("file_id", "sr").agg(F.sum("samples").alias("samples"), F.round(F.max(F.array_max(F.slice("y", F.col("lead") + 1, F.col("samples").cast("int")))).cast("double"), 4).alias("peak"))
+QUERIES["wav_frames"] = lambda spark, d: signal.frames(_audio(spark, d)).groupBy("file_id").agg(F.count("*").alias("frames"), F.round(F.max("rms"), 6).alias("rms"))
 QUERIES["peak_pick"] = lambda spark, d: hands.peaks(dynamics.peak_threshold(frames_of(spark, d)))
 QUERIES["pedal_refine_audio"] = lambda spark, d: dynamics.refine_pedal(dynamics.detect_pedal(_long_seconds(notes_of(spark, d))), frames_of(spark, d).withColumn("resonance", F.col("rms")), sr=1, hop=1)
-QUERIES["transcribe_backend"] = lambda spark, d: signal.transcribe(signal.separate(_short_audio(spark, d)))
-QUERIES["band_energy"] = lambda spark, d: signal.band_energy(signal.frames(_short_audio(spark, d), spectra=True), seconds_of(notes_of(spark, d)).where("start_s < 3")).withColumn("energy", F.round("energy", 4))
+QUERIES["transcribe_backend"] = lambda spark, d: signal.transcribe(signal.separate(_audio(spark, d)))
+QUERIES["band_energy"] = lambda spark, d: signal.band_energy(signal.frames(_audio(spark, d), spectra=True), seconds_of(notes_of(spark, d))).withColumn("energy", F.round("energy", 4))

@@ -128,6 +128,43 @@ def test_rendered_note_is_heard(spark):
     assert abs(signal.tempo(np.tile([1.0] + [0.0] * 21, 20)) - 117.45) < 1
 
 
+def test_chunks_equal_whole_recordings(spark):
+    rng = random.Random(4)
+    rows = [(f, rng.randrange(40, 90), rng.randrange(30, 120), s, s + rng.choice([0.0, 0.02, 0.4, 9.0])) for f, n in ((0, 40), (1, 6)) for s in (rng.random() * 25 for _ in range(n))]
+    notes = spark.createDataFrame([*rows, (1, 60, 90, 11.0, 13.0)], "file_id int, pitch int, velocity int, start_s double, end_s double")
+    whole = {r["file_id"]: np.array(r["y"], np.float32) for r in signal.render(notes).collect()}
+    parts = signal.render_chunks(notes).cache()
+    assert parts.count() > 4
+    for i, y in whole.items():
+        mine = parts.where(f"file_id = {i}").orderBy("first").collect()
+        assert np.array_equal(np.concatenate([np.array(r["y"], np.float32)[r["lead"] : r["lead"] + r["samples"]] for r in mine]), y)
+        found, wanted = signal.frames(parts.where(f"file_id = {i}")).orderBy("frame").collect(), signal.features(y)
+        assert [r["frame"] for r in found] == list(range(len(wanted["rms"])))
+        assert all(np.allclose([r[k] for r in found], wanted[k]) for k in ("rms", "env", "centroid", "rolloff"))
+    heard = sorted(map(tuple, signal.transcribe(parts).collect()))
+    wanted = []
+    for i, y in whole.items():
+        mag = signal.stft(y)
+        for pitch in range(21, 109):
+            b = int(round(440 * 2 ** ((pitch - 69) / 12) * signal.N_FFT / signal.SR))
+            on = (mag[b] >= 0.25 * mag.max()) & (mag[b] >= mag[b - 1]) & (mag[b] >= mag[b + 1])
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(int), [0])))).tolist()
+            wanted += [(i, pitch, a, z) for a, z in zip(edge[::2], edge[1::2], strict=True) if (z - a) * signal.HOP / signal.SR >= 0.1277]
+    step = signal.HOP / signal.SR
+    assert heard and sorted((i, p, round(a / step), round(z / step)) for i, p, _, a, z in heard) == sorted(wanted)
+
+
+def test_audio_queries_read_whole_recordings(spark):
+    from cantora.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    notes = catalog.seconds_of(catalog.notes_of(spark, d))
+    ends = {r["file_id"]: int(r["e"] * signal.SR) + 1 for r in notes.groupBy("file_id").agg(F.max("end_s").alias("e")).collect()}
+    assert {r["file_id"]: r["samples"] for r in catalog.QUERIES["synth_render"](spark, d).collect()} == ends
+    assert {r["file_id"]: r["frames"] for r in catalog.QUERIES["wav_frames"](spark, d).collect()} == {i: 1 + n // signal.HOP for i, n in ends.items()}
+    assert catalog.QUERIES["band_energy"](spark, d).count() == notes.count()
+
+
 def test_pulses(spark):
     rows = [(0, 0.0, True), (0, 0.2, False), (0, 1.0, True), (0, 2.0, False), (0, 3.0, False)]
     kept = temporal.drop_short(spark.createDataFrame(rows, "file_id int, t double, down boolean"), 0.5)
