@@ -1,18 +1,22 @@
 """License scan by conditional compression.
 
-A candidate block (a line with a word that licenses use, or a run of such lines at most two apart) is compressed alone and with
-each template as a raw zstandard dictionary. Templates are ranked by the share of bytes that their dictionary saves; the best
-``best`` are compared word by word, and the one whose words the block holds in order, up to ``missing`` of them, is confirmed.
-The differences in wording are exact: a run of words of the template and the words in the block instead.
-
-A run is reported if it is confirmed, else each of its lines that is. Nulls and empties: a null or empty text has no block; a null
-doc_id stays null; repeated rows give their findings each; ties go to the template that comes first; no rows give no rows. Extra
-columns are ignored. Blocks are cut from whole texts; equal blocks are compared once a worker.
+Every word that licenses use is laid on each such word of each template, which gives a window of the text, across lines, of the
+template's length and some words on both sides. Where the window has enough of the template's words, both are compared word by
+word, and the template whose words the window holds in order, up to ``missing`` of them and in a span that isn't much longer, is
+confirmed if its raw zstandard dictionary saves bytes of that span. The differences in wording are exact: a run of words of the
+template and the words in the text instead.
+
+Confirmed notices that don't overlap are all reported; of those that do, the one that holds most words. Nulls and empties: a null
+or empty text has no notice; a null doc_id stays null; repeated rows give their findings each; ties go to the template that comes
+first; no rows give no rows. Extra columns are ignored. Notices are looked for in whole texts; equal windows are compared once a
+worker.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 
 from cantora.llm.common import slices, table, texts
 
-BEST, MISSING, GAP, CACHE = 3, 0.15, 2, 50_000
-TRIGGERS = ("licens", "licenc", "copyright", "©", "warrant", "permission is", "redistribut", "rights reserved", "public domain", "creative commons", "spdx-")
+MISSING, CACHE = 0.15, 50_000
+TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "spdx-")
+PAIRS = {("permission", "is"), ("permission", "to"), ("rights", "reserved"), ("public", "domain"), ("creative", "commons")}
+_MAYBE = re.compile("|".join((*TRIGGERS, *(b if b not in ("is", "to") else a for a, b in sorted(PAIRS)))))
 #: Public notices, fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -52,76 +58,86 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def triggers_of(words: list[str]) -> list[int]:
+    return [i for i, w in enumerate(words) if any(t in w for t in TRIGGERS) or (i + 1 < len(words) and (w, words[i + 1]) in PAIRS)]
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], best: int = BEST, missing: float = MISSING):
+    def __init__(self, templates: dict[str, str], missing: float = MISSING):
         import zstandard as zstd
 
-        self.best, self.missing = best, missing
+        self.missing = missing
         self.plain = zstd.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
         self.templates = []
         for name, text in templates.items():
             known = zstd.ZstdCompressionDict(text.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, words_of(text), zstd.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)))
-        self.seen: dict[str, tuple | None] = {}
-
-    def compare(self, block: str) -> tuple[str, float, float, str] | None:
-        """License, share of bytes saved, share of its words found, and the differences of the best confirmed template."""
-        if block not in self.seen:
+            words = words_of(text)
+            at = triggers_of(words) or list(range(len(words)))
+            self.templates.append((name, words, Counter(words), at, zstd.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        self.seen: dict[tuple, tuple | None] = {}
+
+    def align(self, k: int, found: tuple[str, ...]) -> tuple[int, int, int, str] | None:
+        """Where the template's words begin and end in a window, their number, and the differences; None if it isn't confirmed."""
+        if (k, found) not in self.seen:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
-            self.seen[block] = self._compare(block)
-        return self.seen[block]
-
-    def _compare(self, block: str) -> tuple[str, float, float, str] | None:
-        raw = block.encode("utf-8", "replace")
-        alone = len(self.plain.compress(raw))
-        saved = [(1 - len(c.compress(raw)) / alone, -k) for k, (_, _, c) in enumerate(self.templates)]
-        found, confirmed = words_of(block), []
-        for share, k in sorted(saved, reverse=True)[: self.best]:
-            name, wanted, _ = self.templates[-k]
-            if share <= 0:
-                break
-            ops = SequenceMatcher(None, wanted, found, autojunk=False).get_opcodes()
-            inside = [o for o in ops if o[0] == "equal"]
-            if not inside:
-                continue
-            held = sum(o[2] - o[1] for o in inside) / len(wanted)
-            if held < 1 - self.missing or inside[-1][4] - inside[0][3] > 1.5 * len(wanted) + 2:
-                continue
-            changes = [o for o in ops if o[0] != "equal" and not (o[0] == "insert" and (o[4] <= inside[0][3] or o[3] >= inside[-1][4]))]
-            confirmed.append((held, share, k, name, "; ".join(f"{' '.join(wanted[o[1] : o[2]]) or '-'} -> {' '.join(found[o[3] : o[4]]) or '-'}" for o in changes)))
-        if not confirmed:
+            self.seen[k, found] = self._align(k, found)
+        return self.seen[k, found]
+
+    def _align(self, k: int, found: tuple[str, ...]) -> tuple[int, int, int, str] | None:
+        _, wanted, bag, _, _ = self.templates[k]
+        least = (1 - self.missing) * len(wanted)
+        if sum((bag & Counter(found)).values()) < least:
+            return None
+        ops = SequenceMatcher(None, wanted, found, autojunk=False).get_opcodes()
+        inside = [o for o in ops if o[0] == "equal"]
+        held = sum(o[2] - o[1] for o in inside)
+        if not inside or held < least or inside[-1][4] - inside[0][3] > 1.5 * len(wanted) + 2:
             return None
-        held, share, _, name, changes = max(confirmed)
-        return name, share, held, changes
+        changes = [o for o in ops if o[0] != "equal" and not (o[0] == "insert" and (o[4] <= inside[0][3] or o[3] >= inside[-1][4]))]
+        return inside[0][3], inside[-1][4], held, "; ".join(f"{' '.join(wanted[o[1] : o[2]]) or '-'} -> {' '.join(found[o[3] : o[4]]) or '-'}" for o in changes)
 
     def scan(self, text: str) -> list[tuple]:
         """(first line, last line, license, share saved, share held, differences), lines from 0."""
-        low = text.lower()
-        if not any(t in low for t in TRIGGERS):
+        if not _MAYBE.search(text.lower()):
             return []
-        lines = text.split("\n")
-        hits = [i for i, line in enumerate(lines) if any(t in line.lower() for t in TRIGGERS)]
-        runs: list[list[int]] = []
-        for i in hits:
-            if runs and i - runs[-1][-1] <= GAP + 1:
-                runs[-1].append(i)
-            else:
-                runs.append([i])
-        out = []
-        for run in runs:
-            single = [(i, i, *found) for i in run if (found := self.compare(lines[i]))]
-            whole = self.compare("\n".join(lines[run[0] : run[-1] + 1])) if len(run) > 1 and not single else None
-            out += [(run[0], run[-1], *whole)] if whole else single
-        return out
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = [text[i:j].lower() for i, j in spans]
+        found = {}
+        for t in triggers_of(words):
+            for k, (_, wanted, _, at, _) in enumerate(self.templates):
+                n = len(wanted)
+                for p in at:
+                    # close to the template's length first, so that a stray word before it doesn't stretch it
+                    for slack in (0, n // 4 + 1, n // 2 + 1):
+                        begin = max(0, t - p - slack)
+                        one = self.align(k, tuple(words[begin : max(0, t - p + n + slack)]))
+                        if one:
+                            i, j, held, changes = one
+                            found[begin + i, begin + j, k] = held, changes
+                            if held == n:
+                                break
+        ranked = []
+        for (i, j, k), (held, changes) in found.items():
+            raw = text[spans[i][0] : spans[j - 1][1]].encode("utf-8", "replace")
+            share = 1 - len(self.templates[k][4].compress(raw)) / len(self.plain.compress(raw))
+            if share > 0:
+                ranked.append((-held, -held / len(self.templates[k][1]), j - i, -share, k, i, j, changes))
+        out, taken = [], []
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        for _, held, _, share, k, i, j, changes in sorted(ranked):
+            if all(j <= a or i >= b for a, b in taken):
+                taken.append((i, j))
+                out.append((i, (bisect(breaks, spans[i][0]), bisect(breaks, spans[j - 1][0]), self.templates[k][0], -share, -held, changes)))
+        return [row for _, row in sorted(out)]
 
 
 _FOUND = "doc_id long, first_line long, last_line long, license string, saved double, held double, differences string"
 
 
-def _scan(templates: dict[str, str], best: int, missing: float):
+def _scan(templates: dict[str, str], missing: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, best, missing)
+        scanner = Scanner(templates, missing)
         kinds = [pa.int64()] * 3 + [pa.string(), pa.float64(), pa.float64(), pa.string()]
         for batch in slices(batches):
             rows = [(doc_id, *found) for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True) for found in scanner.scan(text)]
@@ -131,10 +147,10 @@ def _scan(templates: dict[str, str], best: int, missing: float):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, best: int = BEST, missing: float = MISSING) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, missing: float = MISSING) -> DataFrame:
     """A row for each confirmed license in each text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scan(templates or TEMPLATES, best, missing), _FOUND)
+    return docs.mapInArrow(_scan(templates or TEMPLATES, missing), _FOUND)
 
 
 def op4_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:

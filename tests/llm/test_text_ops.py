@@ -349,6 +349,18 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def found_licenses(text):
+    return [(a, b, name) for a, b, name, *_ in licenses.Scanner(licenses.TEMPLATES).scan(text)]
+
+
+def test_wrapped_notices():
+    assert found_licenses("x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n") == [(1, 3, "BSD-3-Clause")]
+    assert found_licenses("To the extent possible under law, the author has waived all\ncopyright and related or\nneighboring rights to this work.") == [(0, 2, "CC0-1.0")]
+    for name, text in licenses.TEMPLATES.items():
+        wrapped = "\n".join(" ".join(text.split()[i : i + 6]) for i in range(0, len(text.split()), 6))
+        assert [x[2] for x in found_licenses(f"some prose\n{wrapped}\nmore prose")] == [name]
+
+
 def test_digests_of_chat_query(spark, tmp_path):
     rows = [(5, 0, "user", "a\nb"), (5, 1, "assistant", "c")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
