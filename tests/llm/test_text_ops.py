@@ -361,6 +361,13 @@ def test_wrapped_notices():
         assert [x[2] for x in found_licenses(f"some prose\n{wrapped}\nmore prose")] == [name]
 
 
+def test_notice_after_a_confirmed_line():
+    bsd, apache = licenses.TEMPLATES["BSD-3-Clause"].replace("or without ", "or without\n"), licenses.TEMPLATES["Apache-2.0-notice"]
+    assert found_licenses(f"Copyright (c) 2020 X. All rights reserved.\n{bsd}") == [(0, 0, "Proprietary"), (1, 2, "BSD-3-Clause")]
+    wrapped = apache.replace("; you may", ";\nyou may").replace("License at ", "License at\n").replace(" Unless", "\nUnless")
+    assert found_licenses(f"a\n{apache.split(' (the')[0]}.\nb\n{wrapped}") == [(1, 1, "Apache-2.0"), (3, 6, "Apache-2.0-notice")]
+
+
 def test_digests_of_chat_query(spark, tmp_path):
     rows = [(5, 0, "user", "a\nb"), (5, 1, "assistant", "c")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
