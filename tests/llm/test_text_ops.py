@@ -368,6 +368,14 @@ def test_notice_after_a_confirmed_line():
     assert found_licenses(f"a\n{apache.split(' (the')[0]}.\nb\n{wrapped}") == [(1, 1, "Apache-2.0"), (3, 6, "Apache-2.0-notice")]
 
 
+def test_notices_in_one_long_line():
+    prose = " ".join(["and this was all that they said of the work in this long page"] * 40)
+    two = f"{prose} Released under the MIT License. {prose} {licenses.TEMPLATES['GPL-notice']} {prose} Released under the MIT License. Released under the MIT License. {prose}"
+    assert [x[2] for x in found_licenses(two)] == ["MIT", "GPL-notice", "MIT", "MIT"]
+    changed = licenses.TEMPLATES["CC-BY-4.0"].replace("This work", "This article")
+    assert [x[2] for x in found_licenses(f"{prose} {changed} {prose}")] == ["CC-BY-4.0"]
+
+
 def test_digests_of_chat_query(spark, tmp_path):
     rows = [(5, 0, "user", "a\nb"), (5, 1, "assistant", "c")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
