@@ -12,7 +12,8 @@ blocks of at most ``BLOCK`` rows inside a task, which puts out survivors as list
 block of documents at a time. So no link between components is lost, and no row is made for a pair.
 
 Nulls and empties: a null or blank text has an empty set and is linked with nothing; a null doc_id takes part by its text
-and sorts after all others, so it names a component only if no other id is there. Repeated rows are equal sets. Rows that
+and sorts after all others, so it names a component only if no other id is there. A class has a number of its own, so classes
+without an id, or with the same one, stay apart unless they are similar. Repeated rows are equal sets. Rows that
 share a doc_id but not a text each follow their own text. Extra columns are ignored.
 """
 
@@ -90,7 +91,7 @@ def signatures(sets: list[np.ndarray], count: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+_SIGNED = "doc_id long, text_key long, n_shingles long, h1 long, h2 long, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         both = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "h1", "h2", "sig"],
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
+            ["doc_id", "text_key", "n_shingles", "h1", "h2", "sig"],
         )
 
 
@@ -291,12 +292,17 @@ def components(links: DataFrame, scratch: Scratch, local: int = LOCAL_EDGES) ->
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    return near_rows(docs, percent, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_rows(docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
+    """near_duplicates() with text_key, and head: whether the row's doc_id and text stand for its component. A blank text always does."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = scratch.keep(docs.mapInArrow(_sign, _SIGNED), "signed")
     last = (1 << 63) - 1
     named = F.coalesce("doc_id", F.lit(last))
-    classes = scratch.keep(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(named).alias("node"), F.first("sig").alias("sig")), "classes")
+    classes = scratch.keep(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct(named.alias("id"), "text_key")).alias("row"), F.first("sig").alias("sig")).select("h1", "h2", "row.id", "row.text_key", "sig", F.monotonically_increasing_id().alias("node")), "classes")
     sig = classes.select("node", "sig")
     bands = scratch.keep(sig.mapInArrow(_bands, "node long, bucket long"), "bands")
     heads = scratch.bounded(bands.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head"), "heads")
@@ -304,8 +310,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     scratch.free(bands)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        text = docs.select(named.alias("node"), "text").join(scratch.bounded(nodes, "nodes"), "node", "left_semi")
-        return scratch.keep(text.mapInArrow(_sets, "node long, shingles binary").where("octet_length(shingles) > 0"), "sets")
+        rows = scratch.bounded(classes.select("node", "id", "text_key").join(nodes, "node", "left_semi"), "nodes")
+        text = docs.select(named.alias("id"), "text_key", "text").join(rows, ["id", "text_key"]).select("node", "text")
+        return scratch.keep(text.mapInArrow(_sets, "node long, shingles binary").where("octet_length(shingles) > 0").dropDuplicates(["node"]), "sets")
 
     # each member with its bucket's head
     pairs = scratch.keep(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
@@ -338,10 +345,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     if found.take(1):
         merged = components(links.unionByName(found), scratch)
 
-    merged = classes.select("h1", "h2", "node").join(bounded(merged), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    name = F.when(F.col("component") == last, F.lit(None).cast("long")).otherwise(F.col("component"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(merged, ["h1", "h2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(name).alias("component_id"))
+    names = classes.select("node", F.struct("id", "text_key", "node").alias("own"))
+    # a component's smallest node may not be among the nodes
+    merged = merged.select("node", "component").unionByName(merged.select(F.col("component").alias("node"), "component")).distinct()
+    merged = names.join(bounded(merged), "node")
+    first = merged.groupBy("component").agg(F.min("own").alias("first"))
+    merged = scratch.keep(merged.join(first, "component").select("node", "first"), "merged")
+    own = F.struct("id", "text_key", "node")
+    merged = classes.select("h1", "h2", "node", own.alias("own")).join(bounded(merged), "node", "left").select("h1", "h2", "node", F.coalesce("first", "own").alias("first"))
+    name = F.when(F.col("first.id") == last, F.lit(None).cast("long")).otherwise(F.col("first.id"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "h1", "h2").join(merged, ["h1", "h2"], "left")
+    head = F.coalesce(F.struct(named.alias("id"), "text_key", "node") == F.col("first"), F.lit(True))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(name).alias("component_id"), "text_key", F.when(F.col("first").isNull(), F.lit(True)).otherwise(head).alias("head"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

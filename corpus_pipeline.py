@@ -28,10 +28,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat a doc_id and a text, one."""
-    found = Scratch(spark).keep(minhash.near_duplicates(docs), "near")
-    rows, ids = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    out = docs.join(bounded(found.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
-    if rows > ids:
+    found = Scratch(spark).keep(minhash.near_rows(docs), "near")
+    rows, different = found.agg(F.count("*"), F.countDistinct(F.struct("doc_id", "text_key"))).first()
+    drop = bounded(found.where("not head").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
+    out = docs.join(drop, same, "left_anti").select(*docs.columns)
+    if rows > different:
         out = out.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
     return out
 

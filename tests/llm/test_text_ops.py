@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cantora.llm import chat, decontamination, forest, licenses, lines, minhash, packing, quality, toxicity, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,6 +83,19 @@ def test_near_duplicates_edges(spark):
     assert sorted(((r["doc_id"] or -1), r["component_id"] or -1, r["kept"]) for r in found) == [(-1, -1, True), (-1, 3, False), (3, 3, True), (3, 3, True), (4, 4, True)]
 
 
+def test_null_ids_stay_apart(spark):
+    rng = random.Random(8)
+    x, y, z = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(5, f"{x} one"), (None, f"{x} two"), (9, f"{y} one"), (None, f"{y} two"), (None, z), (None, f"{z} two"), (7, f"{x} three"), (7, f"{z} three")]
+    found = {r["text_key"]: r for r in minhash.near_rows(docs_of(spark, rows)).collect()}
+    keyed = docs_of(spark, rows).select("text", F.xxhash64("text").alias("k"))
+    got = {r["text"]: found[r["k"]] for r in keyed.collect()}
+    assert [got[t]["component_id"] for _, t in rows] == [5, 5, 9, 9, 7, 7, 5, 7]
+    assert [got[t]["head"] for _, t in rows] == [True, False, True, False, False, False, False, True]
+    docs = corpus_pipeline.near_stage(spark, docs_of(spark, rows), "")
+    assert {(r["doc_id"], r["text"]) for r in docs.collect()} == {rows[0], rows[2], rows[7]}
+
+
 def test_posterior_bounds():
     least = minhash.least_matches(250, 0.75, 1e-6)
     assert len(least) == 10 and all(0 < m < 25 * (k + 1) for k, m in enumerate(least)) and list(least) == sorted(least)
