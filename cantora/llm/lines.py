@@ -12,7 +12,8 @@ only with templates that agree with it on one of several runs of places, one of
 share. A caller that gives ``wide`` splits leaves of more distinct lines by their next three tokens, and if they are still so
 large, by eight more; lines that differ there then never meet. No query does.
 
-Lines need ``min_tokens`` constant tokens to take part, so tables of numbers don't. Null and empty texts have no such line and stay as they are; a null
+Templates of LONG constant tokens or more are recurring in ``long_docs`` documents already; lines of fewer than ``min_tokens``
+in ``short_docs``, and only if they have no variable field, so that tables of numbers stay. Null and empty texts have no such line and stay as they are; a null
 doc_id never counts as the smallest, unless all are null; repeated rows count as documents and get the same text; other columns
 pass through, whatever their names; no rows give no rows.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from cantora.llm.common import Scratch, bounded, table
 
 MIN_DOCS, MIN_TOKENS, SIMILAR = 10, 3, 0.8
-LEAD = 3
+LEAD, LONG, LONG_DOCS, SHORT_DOCS = 3, 50, 2, 100
 VARIABLE = r"(?<!\S)(?:(?:https?://|www\.)\S+|[^\s\d@]*+[\d@]\S*)"  # possessive, so that a word is read once
 
 
@@ -47,10 +48,11 @@ def _masked(flat: Column) -> Column:
 
 
 def _mark(masked: Column, min_tokens: int) -> Column:
-    """struct<leaf, line> of hashes, both of which tell a line from another; null for lines of few constant tokens."""
+    """struct<leaf, line, constant>: hashes, both of which tell a line from another, and its constant tokens; null for lines of few with variable fields."""
     tokens = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
     variable = (F.length(masked) - F.length(F.replace(masked, F.lit("<*>"), F.lit("")))) / 3
-    return F.when((masked != "") & (tokens - variable >= min_tokens), F.struct(F.xxhash64(tokens, F.substring_index(masked, " ", LEAD)).alias("leaf"), F.xxhash64(masked).alias("line")))
+    constant = (tokens - variable).cast("int")
+    return F.when((masked != "") & ((constant >= min_tokens) | (variable == 0)), F.struct(F.xxhash64(tokens, F.substring_index(masked, " ", LEAD)).alias("leaf"), F.xxhash64(masked).alias("line"), constant.alias("constant")))
 
 
 def _masked_lines(text: Column) -> Column:
@@ -89,6 +91,8 @@ def _templates(similar: float):
         for group, lines in groupby(rows, key=lambda r: r[0]):
             found: list[list[str]] = []
             index: dict[int, list[int]] = defaultdict(list)
+            joined: list[tuple[int, int, int]] = []
+            least: list[int] = []
             for _, leaf, line, _, text in lines:
                 tokens = text.split(" ")
                 keys = _keys(tokens, similar)
@@ -106,29 +110,37 @@ def _templates(similar: float):
                 else:
                     best = len(found)
                     found.append(tokens)
+                    least.append(len(tokens))
                     for key in keys:
                         index[key].append(best)
-                out.append((leaf, line, group, best))
+                least[best] = min(least[best], sum("<*>" not in t for t in tokens))
+                joined.append((leaf, line, best))
+            # short by its lines, long by what they have in common
+            constant = [c if (c := sum(t != "<*>" for t in template)) >= LONG else min(least[i], LONG - 1) for i, template in enumerate(found)]
+            for leaf, line, best in joined:
+                out.append((leaf, line, group, best, constant[best]))
                 if len(out) >= 10_000:
                     yield _table(out)
                     out = []
         yield _table(out)
 
     def _table(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "line", "group", "nth"])
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "line", "group", "nth", "constant"])
 
     return run
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens: int, similar: float, wide: int | None) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens: int, similar: float, wide: int | None, long_docs: int, short_docs: int) -> tuple[DataFrame, DataFrame]:
     """Every document's distinct lines (doc_id, text_key, leaf, line), and the recurring (leaf, line, first: smallest doc_id)."""
+    constant = F.col("constant")
+    need = F.when(constant >= LONG, min(long_docs, min_docs)).when(constant < min_tokens, max(short_docs, min_docs)).otherwise(min_docs)
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(_marks(F.col("text"), min_tokens))).alias("x")).where("x is not null")
-    lines = scratch.keep(lines.select("doc_id", "text_key", "x.leaf", "x.line"), "lines")
-    counts = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines")).where(F.col("docs") >= min_docs)
-    counts = scratch.keep(counts.join(scratch.bounded(leaves, "leaves"), "leaf").select("leaf", "line", "n", "first", "lines"), "counts")
-    alone = counts.where((F.col("lines") == 1) & (F.col("n") >= min_docs)).select("leaf", "line", "first")
+    lines = scratch.keep(lines.select("doc_id", "text_key", "x.leaf", "x.line", "x.constant"), "lines")
+    counts = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("constant").alias("constant"))
+    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines"), F.min(need).alias("least")).where("docs >= least")
+    counts = scratch.keep(counts.join(scratch.bounded(leaves, "leaves"), "leaf").select("leaf", "line", "n", "first", "lines", "constant"), "counts")
+    alone = counts.where((F.col("lines") == 1) & (F.col("n") >= need)).select("leaf", "line", "first")
 
     several = scratch.keep(counts.where("lines > 1").select("leaf", "line", "n", "lines"), "several")
     wanted = bounded(several.select("leaf", "line"))
@@ -142,22 +154,22 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens
         size = texts.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > wide)
         texts = texts.join(scratch.bounded(size, "size"), "group", "left").withColumn("group", F.when(F.col("size").isNotNull(), F.xxhash64("group", F.slice(tokens, LEAD + 4, 8))).otherwise(F.col("group")))
     texts = texts.select("group", "leaf", "line", "n", "text").repartition("group").sortWithinPartitions("group", F.desc("n"), "line")
-    template = scratch.keep(texts.mapInArrow(_templates(similar), "leaf long, line long, group long, nth long"), "templates")
-    likely = several.join(template, ["leaf", "line"]).groupBy("group", "nth").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    template = scratch.keep(template.join(scratch.bounded(likely.select("group", "nth"), "often"), ["group", "nth"]).select("leaf", "line", "group", "nth"), "likely")
-    reached = lines.join(bounded(template), ["leaf", "line"]).select("group", "nth", "doc_id", "text_key").distinct()
-    reached = reached.groupBy("group", "nth").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
-    shared = template.join(reached, ["group", "nth"]).select("leaf", "line", "first")
+    template = scratch.keep(texts.mapInArrow(_templates(similar), "leaf long, line long, group long, nth long, constant long"), "templates")
+    likely = several.join(template, ["leaf", "line"]).groupBy("group", "nth", "constant").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
+    template = scratch.keep(template.join(scratch.bounded(likely.select("group", "nth"), "often"), ["group", "nth"]).select("leaf", "line", "group", "nth", "constant"), "likely")
+    reached = lines.drop("constant").join(bounded(template), ["leaf", "line"]).select("group", "nth", "constant", "doc_id", "text_key").distinct()
+    reached = reached.groupBy("group", "nth", "constant").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= need)
+    shared = template.join(reached.drop("constant"), ["group", "nth"]).select("leaf", "line", "first")
     return lines, scratch.keep(alone.unionByName(shared), "recurring")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, wide: int | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, wide: int | None = None, long_docs: int = LONG_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
     """docs with recurring lines taken out of text, and _n_lines and _n_dropped."""
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines, recurring = recurring_lines(plain, scratch, min_docs, min_tokens, similar, wide)
+    lines, recurring = recurring_lines(plain, scratch, min_docs, min_tokens, similar, wide, long_docs, short_docs)
     drops = lines.join(bounded(recurring), ["leaf", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    drops = scratch.keep(drops.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("leaf", "line")).alias("_drop")).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}), "drops")
+    drops = scratch.keep(drops.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("leaf", "line", "constant")).alias("_drop")).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}), "drops")
     joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left")
     split = F.split(F.col("text"), "\n")
     marked = F.zip_with(split, _marks(F.col("text"), min_tokens), lambda x, m: F.struct(x.alias("line"), m.alias("mark")))

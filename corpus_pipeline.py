@@ -19,8 +19,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those of which every line stands in another document go."""
-    out = lines.drop_recurring_lines(docs).where((F.col("_n_dropped") == 0) | (F.col("_n_dropped") < F.col("_n_lines"))).drop("_n_lines", "_n_dropped")
+    """Documents without recurring lines; those of which every line stands in another document go.
+
+    Long lines need as many documents as others here: near-copies would come to the next stage as pieces that it can't know."""
+    out = lines.drop_recurring_lines(docs, long_docs=lines.MIN_DOCS).where((F.col("_n_dropped") == 0) | (F.col("_n_dropped") < F.col("_n_lines"))).drop("_n_lines", "_n_dropped")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -239,6 +239,16 @@ def test_line_splits(spark):
     assert {r["doc_id"] for r in split.where("_n_dropped > 0").collect()} == set(range(2, 40))
 
 
+def test_long_and_short_lines(spark):
+    rng = random.Random(13)
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    own = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(130)]
+    rows = [(i, f"{own[i]} of its own\nLes.\n7 8" + (f"\n{passage}" if i < 2 else f"\n{passage} it ends {own[i]}" if i == 2 else "\nFew." if i < 60 else "")) for i in range(130)]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs_of(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and got[1] == f"{own[1]} of its own\n7 8"
+    assert all(got[i] == rows[i][1].replace("\nLes.", "") for i in range(2, 130))
+
+
 def test_wide_leaf_has_one_template_set(spark):
     name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
     rows = [(i, f"Thanks for reading {name(i)} we hope you like this page") for i in range(5_200)]
