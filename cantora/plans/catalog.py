@@ -620,6 +620,16 @@ def _(spark, d):
     return dynamics.snap_offsets(ends, frames, tolerance=3).select("note_id", "file_id", "frame_end")
 
 
+def _snap_all(spark, d):
+    """As energy_offset_snap, for all frames."""
+    frames = frames_of(spark, d)
+    ends = frames.select((F.col("frame") * 100_000 + F.col("file_id")).alias("note_id"), "file_id", "frame")
+    return dynamics.snap_offsets(ends, frames, tolerance=3).select("note_id", "file_id", "frame_end")
+
+
+QUERIES["energy_offset_snap_all"] = _snap_all
+
+
 _SNR = ", pc as (select file_id, quantile_cont(rms, 0.25) as p25, quantile_cont(rms, 0.75) as p75 from frames group by file_id)"
 
 
@@ -694,6 +704,10 @@ def _(spark, d):
     return phrases.frames(notes_of(spark, d), 8, 8).select("file_id", "pos", "len", F.array_join("rhythm", " ").alias("rhythm"))
 
 
+#: As ngram_rhythm_norm, for lengths 8 to 20.
+QUERIES["ngram_rhythm_norm_all"] = lambda spark, d: phrases.frames(notes_of(spark, d)).select("file_id", "pos", "len", F.array_join("rhythm", " ").alias("rhythm"))
+
+
 @query("top100_patterns", " select file_id, rank, len, p0, array_to_string(ivs, ' ') as ivs, cnt from top", _NGRAM + _TOP)
 def _(spark, d):
     rows = phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes_of(spark, d))))

@@ -165,6 +165,16 @@ def test_audio_queries_read_whole_recordings(spark):
     assert catalog.QUERIES["band_energy"](spark, d).count() == notes.count()
 
 
+def test_snaps_and_rhythms_of_all_rows(spark):
+    from cantora.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = lambda name: set(map(tuple, catalog.QUERIES[name](spark, d).collect()))
+    snapped, rhythms = rows("energy_offset_snap_all"), rows("ngram_rhythm_norm_all")
+    assert rows("energy_offset_snap") < snapped and len(snapped) == catalog.frames_of(spark, d).count()
+    assert rows("ngram_rhythm_norm") < rhythms and {r[2] for r in rhythms} == set(range(8, 21))
+
+
 def test_pulses(spark):
     rows = [(0, 0.0, True), (0, 0.2, False), (0, 1.0, True), (0, 2.0, False), (0, 3.0, False)]
     kept = temporal.drop_short(spark.createDataFrame(rows, "file_id int, t double, down boolean"), 0.5)
