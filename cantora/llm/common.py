@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of fixed-width columns (at most some 64 bytes) that may be broadcast: 64 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: What a broadcast table may hold, by its values, before Spark's own overhead of some 40 bytes a row.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cantora-checkpoint-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -55,9 +58,9 @@ class Scratch:
         out._cantora_path = path
         return out
 
-    def bounded(self, df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    def bounded(self, df: DataFrame, name: str) -> DataFrame:
         """df written, then as bounded() gives it."""
-        return bounded(self.keep(df, name), rows)
+        return bounded(self.keep(df, name))
 
     def free(self, *tables: DataFrame) -> None:
         for df in tables:
@@ -66,9 +69,35 @@ class Scratch:
                 self._fs().delete(self._path(path), True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for a broadcast if it is counted to hold at most so many rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(schema: T.StructType) -> Column:
+    """Bytes of a row's values, strings and arrays by their length."""
+    total = F.lit(0).cast("long")
+    for field in schema.fields:
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total += F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(kind, T.ArrayType):
+            each = F.octet_length(F.to_json(F.struct(column))) if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)) else 8 * F.size(column)
+            total += F.greatest(F.coalesce(each, F.lit(0)), F.lit(0))
+        else:
+            total += F.lit(8 if not isinstance(kind, T.StructType) else 8 * len(kind.fields))
+    return total + 40
+
+
+def bounded(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for a broadcast if its rows are measured to hold at most so many bytes, else as it is, for a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(width(df.schema))).first()[0] or 0) <= size else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,41 +1,47 @@
 r"""Line dedup with a log-template tree of fixed depth.
 
 A line's variable fields (URLs, addresses, words with digits) become ``<*>``. Its leaf in the tree is its number of tokens and
-its three leading tokens. Within a leaf, lines are taken from the most to the least frequent: each joins the most similar
-template if at least ``similar`` of their tokens agree in place, and the places that differ become ``<*>`` there. A template that
-stands in ``min_docs`` documents or more is recurring: its lines are dropped from all documents but the one with the smallest
-doc_id, so that nothing is lost altogether.
-
-Only leaves that ``min_docs`` documents reach can hold such a template, and a leaf of one distinct line is its own template, so few
-lines' texts are needed; a frequent line is one row there. A leaf has one set of templates whatever its size: a line is compared
-only with templates that agree with it on one of several runs of places, one of which any template that is similar enough must
-share. A caller that gives ``wide`` splits leaves of more distinct lines by their next three tokens, and if they are still so
-large, by eight more; lines that differ there then never meet. No query does.
-
-Templates of LONG constant tokens or more are recurring in ``long_docs`` documents already; lines of fewer than ``min_tokens``
-in ``short_docs``, and only if they have no variable field, so that tables of numbers stay. Null and empty texts have no such line and stay as they are; a null
-doc_id never counts as the smallest, unless all are null; repeated rows count as documents and get the same text; other columns
-pass through, whatever their names; no rows give no rows.
+its three leading tokens. Two lines of a leaf are similar if at least ``similar`` of their tokens agree in place and at most MOST
+differ. Each line joins the most frequent line of its leaf that is similar to it (ties: the smaller hash), the hub; a hub and what
+joins it form a template, whose places that differ are variable too. A template that stands in ``min_docs`` documents or more is
+recurring: its lines are dropped from all documents but the one with the smallest doc_id, so that nothing is lost altogether.
+Lines of a template that have LONG constant tokens or more in common with its hub are recurring in ``long_docs`` documents already.
+A line is recurring by itself if it alone stands in so many; lines of fewer than ``min_tokens`` tokens only so, in ``short_docs``
+documents and if they have no variable field, so that tables of numbers stay.
+
+Which lines are similar depends on no other line, so neither the order nor the number of a leaf's lines changes a template. Similar
+lines meet without a product: of the places after the leading ones, cut into one piece more than may differ, they agree on one (into
+two more, they agree on two). Lines that share such places form a group, in which each looks for its hub. All lines of a group with
+few other places are similar, and their hub is a minimum. Of other groups of more than ``group`` lines, all lines are compared with
+the most frequent first; those that aren't similar to it are compared with the rest in blocks, and no task holds more than a block.
+
+Only leaves that enough documents reach take part, so few lines' texts are needed; a frequent line is one row there. Each text is
+parsed once; the lines' positions are kept for the drop.
+
+Null and empty texts have no such line and stay as they are; a null doc_id never counts as the smallest, and lines that only rows without
+one have stay; repeated rows count as documents and get the same text; other columns pass through, whatever their names, and
+the counts' own names get underscores until they are new; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations, groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantora.llm.common import Scratch, bounded, table
+from cantora.llm.common import Scratch, bounded, fresh, table
 
-MIN_DOCS, MIN_TOKENS, SIMILAR = 10, 3, 0.8
+MIN_DOCS, MIN_TOKENS, SIMILAR, MOST = 10, 3, 0.8, 31
 LEAD, LONG, LONG_DOCS, SHORT_DOCS = 3, 50, 2, 100
+GROUP = 1_000
 VARIABLE = r"(?<!\S)(?:(?:https?://|www\.)\S+|[^\s\d@]*+[\d@]\S*)"  # possessive, so that a word is read once
-
-
 MAY_VARY = r"[\d@]|://|www\."
 
 
@@ -64,121 +70,234 @@ def _marks(text: Column, min_tokens: int) -> Column:
     return F.transform(_masked_lines(text), lambda m: _mark(m, min_tokens))
 
 
+@cache
+def may_differ(n: int, similar: float) -> int:
+    """In how many places two similar lines of n tokens may differ."""
+    differ = 0
+    while differ < MOST and n - differ - 1 >= similar * n:
+        differ += 1
+    return differ
+
+
 @cache
 def _runs(n: int, similar: float) -> list[list[int]]:
-    """Places of a line of n tokens: two such lines of a leaf that are similar enough agree on all places of one of these.
+    """Places of a line of n tokens: two similar lines of a leaf agree on all places of one of these. None if no place may differ.
 
     The places after the leading ones are cut into one piece more than may differ, and if few may, into two more, of which two agree."""
-    differ = 0
-    while n - differ - 1 >= similar * n:
-        differ += 1
+    differ = may_differ(n, similar)
     pick = 2 if differ <= 4 else 1
     first, pieces = min(LEAD, n), differ + pick
     cuts = [first + (n - first) * k // pieces for k in range(pieces + 1)]
-    return [[i for k in some for i in range(cuts[k], cuts[k + 1])] for some in combinations(range(pieces), pick)]
+    return [[i for k in some for i in range(cuts[k], cuts[k + 1])] for some in combinations(range(pieces), pick)] if differ else []
 
 
-def _keys(tokens: list[str], similar: float) -> list[int]:
-    return [hash((k, *[tokens[i] for i in places])) for k, places in enumerate(_runs(len(tokens), similar))]
+_DEALT = "key long, solid boolean, leaf long, line long, n long, tokens binary"
 
 
-def _templates(similar: float):
-    """(leaf, line) -> template, from rows (group, leaf, line, n, text) that are sorted by group and n."""
+def _deal(similar: float):
+    """A row for each run of a line (leaf, line, n, tokens): lines that agree on it get the same key.
+
+    solid: so few places are left that all lines of a key are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for leaf, line, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.array(tokens, np.int64)
+                differ, raw = may_differ(len(tokens), similar), tokens.tobytes()
+                for k, places in enumerate(_runs(len(tokens), similar)):
+                    piece = xxhash.xxh3_64_intdigest(np.concatenate((np.array([leaf, k, len(tokens)], np.int64), tokens[places])).tobytes())
+                    out.append((piece - (1 << 63), len(tokens) - LEAD - len(places) <= differ, leaf, line, n, raw))
+                    size += len(raw)
+                if size >= 4 << 20:
+                    yield _rows(out)
+                    out, size = [], 0
+            yield _rows(out)
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
+
+    return run
+
+
+_JOINED = "leaf long, line long, hub_n long, hub long"
+
+
+def _joined(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "line", "hub_n", "hub"])
+
+
+def _join(similar: float):
+    """Each line of a small group with its hub there, from rows (key, leaf, line, n, tokens), sorted by key, n descending and line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out: list[tuple] = []
-        for group, lines in groupby(rows, key=lambda r: r[0]):
-            found: list[list[str]] = []
-            index: dict[int, list[int]] = defaultdict(list)
-            joined: list[tuple[int, int, int]] = []
-            least: list[int] = []
-            for _, leaf, line, _, text in lines:
-                tokens = text.split(" ")
-                keys = _keys(tokens, similar)
-                best, most = -1, 0
-                for i in {i for key in keys for i in index.get(key, ())}:
-                    same = sum(map(str.__eq__, found[i], tokens)) if len(found[i]) == len(tokens) else 0
-                    if same > most or (same == most > 0 and i < best):
-                        best, most = i, same
-                if best >= 0 and most >= similar * len(tokens):
-                    if most < len(tokens):
-                        old = _keys(found[best], similar)
-                        found[best] = [a if a == b else "<*>" for a, b in zip(found[best], tokens, strict=True)]
-                        for key in set(_keys(found[best], similar)).difference(old):
-                            index[key].append(best)
-                else:
-                    best = len(found)
-                    found.append(tokens)
-                    least.append(len(tokens))
-                    for key in keys:
-                        index[key].append(best)
-                least[best] = min(least[best], sum("<*>" not in t for t in tokens))
-                joined.append((leaf, line, best))
-            # short by its lines, long by what they have in common
-            constant = [c if (c := sum(t != "<*>" for t in template)) >= LONG else min(least[i], LONG - 1) for i, template in enumerate(found)]
-            for leaf, line, best in joined:
-                out.append((leaf, line, group, best, constant[best]))
-                if len(out) >= 10_000:
-                    yield _table(out)
-                    out = []
-        yield _table(out)
-
-    def _table(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leaf", "line", "group", "nth", "constant"])
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            mine = list(mine)
+            tokens = np.stack([np.frombuffer(r[4], np.int64) for r in mine])
+            least = tokens.shape[1] - may_differ(tokens.shape[1], similar)
+            for i in range(1, len(mine)):
+                for a in range(0, i, 64):
+                    near = np.flatnonzero((tokens[a : min(a + 64, i)] == tokens[i]).sum(axis=1) >= least)
+                    if len(near):
+                        hub = mine[a + near[0]]
+                        out.append((*mine[i][1:3], hub[3], hub[2]))
+                        break
+            if len(out) >= 10_000:
+                yield _joined(out)
+                out = []
+        yield _joined(out)
+
+    return run
+
+
+def _ask(similar: float):
+    """The hub of each asking line in a block of a large group, from rows (key, part, block, asks, leaf, line, n, tokens), sorted so, those
+    that ask first and the others by n descending and line; only those that ask are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, mine in groupby(rows, key=lambda r: r[:3]):
+            asking, out, matrix = [], [], None
+            for *_, asks, leaf, line, n, raw in mine:
+                tokens = np.frombuffer(raw, np.int64)
+                if asks:
+                    asking.append((leaf, line, n, tokens))
+                    continue
+                if matrix is None:
+                    matrix = np.stack([r[3] for r in asking]) if asking else np.empty((0, len(tokens)), np.int64)
+                    lines, counts, least = np.array([r[1] for r in asking], np.int64), np.array([r[2] for r in asking], np.int64), len(tokens) - may_differ(len(tokens), similar)
+                if not len(matrix):
+                    continue
+                hit = ((matrix == tokens).sum(axis=1) >= least) & ((counts < n) | ((counts == n) & (lines > line)))
+                if hit.any():
+                    out += [(leaf, x, n, line) for x in lines[hit].tolist()]
+                    matrix, lines, counts = matrix[~hit], lines[~hit], counts[~hit]
+            yield _joined(out)
+
+    return run
+
+
+def _hubs(texts: DataFrame, scratch: Scratch, similar: float, group: int) -> DataFrame:
+    """(leaf, line, hub) of lines (leaf, line, n, tokens) that have a hub other than themselves."""
+    dealt = scratch.keep(texts.select("leaf", "line", "n", "tokens").mapInArrow(_deal(similar), _DEALT), "dealt")
+    size = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.max("solid").alias("solid")).where("lines > 1")
+    size = scratch.keep(size.select("key", "lines", ((F.col("lines") > group) & ~F.col("solid")).alias("large")), "sizes")
+    met, rank = dealt.join(bounded(size), "key"), F.struct((-F.col("n")).alias("n"), "line")
+    solid = met.where("solid")
+    least = solid.groupBy("key").agg(F.min(rank).alias("hub"))
+    found = [solid.select("key", "leaf", "line").join(least, "key").where("line <> hub.line").select("leaf", "line", (-F.col("hub.n")).alias("hub_n"), F.col("hub.line").alias("hub"))]
+    small = met.where("not solid and not large").select("key", "leaf", "line", "n", "tokens").repartition("key").sortWithinPartitions("key", F.desc("n"), "line")
+    found.append(small.mapInArrow(_join(similar), _JOINED))
+    if size.where("large").take(1):
+        # first with the head of the group, then what isn't similar to it with all others, in blocks
+        large = scratch.keep(met.where("large").select("key", "lines", "leaf", "line", "n", "tokens"), "large")
+        heads = scratch.bounded(large.groupBy("key").agg(F.min(rank).alias("head")).select("key", "head.line"), "heads")
+        heads = scratch.keep(large.join(heads, ["key", "line"]).select("key", F.col("line").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("known")), "heads")
+        with_head = large.join(bounded(heads), "key").where("line <> hub").select("key", "lines", "leaf", "line", "n", "hub_n", "hub", "tokens", "known")
+        with_head = scratch.keep(with_head.mapInArrow(_like_head(similar), "key long, lines long, leaf long, line long, n long, hub_n long, hub long, tokens binary"), "with_head")
+        found.append(with_head.where("hub is not null").select("leaf", "line", "hub_n", "hub"))
+        asks = with_head.where("hub is null")
+        parts = asks.groupBy("key").agg(F.ceil(F.count("*") / group).alias("parts"), F.ceil(F.max("lines") / (16 * group)).alias("blocks"))
+        parts = scratch.bounded(parts, "parts")
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        rest = ["leaf", "line", "n", "tokens"]
+        asks = asks.join(parts, "key").select("key", F.pmod(F.xxhash64("line"), "parts").alias("part"), each("blocks").alias("block"), F.lit(True).alias("asks"), *rest)
+        held = large.join(parts, "key").select("key", each("parts").alias("part"), F.pmod(F.xxhash64("line", "n"), "blocks").alias("block"), F.lit(False).alias("asks"), *rest)
+        both = asks.unionByName(held).repartition("key", "part", "block").sortWithinPartitions("key", "part", "block", F.desc("asks"), F.desc("n"), "line")
+        found.append(both.mapInArrow(_ask(similar), _JOINED))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("leaf", "line").agg(F.min(F.struct((-F.col("hub_n")).alias("n"), "hub")).alias("best")).select("leaf", "line", "best.hub")
+    best = scratch.keep(best, "hubs")
+    scratch.free(dealt)
+    return best
+
+
+def _like_head(similar: float):
+    """Rows (key, lines, leaf, line, n, hub_n, hub, tokens, known) without the last; hub is null unless both are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = []
+            for one, two in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True):
+                one, two = np.frombuffer(one, np.int64), np.frombuffer(two, np.int64)
+                like.append((one == two).sum() >= len(one) - may_differ(len(one), similar))
+            hub = pc.if_else(pa.array(like, pa.bool_()), batch.column(6), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], hub, batch.column(7)], batch.schema.names[:8])
 
     return run
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens: int, similar: float, wide: int | None, long_docs: int, short_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Every document's distinct lines (doc_id, text_key, leaf, line), and the recurring (leaf, line, first: smallest doc_id)."""
-    constant = F.col("constant")
-    need = F.when(constant >= LONG, min(long_docs, min_docs)).when(constant < min_tokens, max(short_docs, min_docs)).otherwise(min_docs)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(_marks(F.col("text"), min_tokens))).alias("x")).where("x is not null")
-    lines = scratch.keep(lines.select("doc_id", "text_key", "x.leaf", "x.line", "x.constant"), "lines")
-    counts = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("constant").alias("constant"))
-    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines"), F.min(need).alias("least")).where("docs >= least")
-    counts = scratch.keep(counts.join(scratch.bounded(leaves, "leaves"), "leaf").select("leaf", "line", "n", "first", "lines", "constant"), "counts")
-    alone = counts.where((F.col("lines") == 1) & (F.col("n") >= need)).select("leaf", "line", "first")
-
-    several = scratch.keep(counts.where("lines > 1").select("leaf", "line", "n", "lines"), "several")
-    wanted = bounded(several.select("leaf", "line"))
-    texts = docs.select(F.explode(_masked_lines(F.col("text"))).alias("text")).select("text", _mark(F.col("text"), min_tokens).alias("x")).where("x is not null")
-    texts = texts.select("x.leaf", "x.line", "text").join(wanted, ["leaf", "line"], "left_semi").groupBy("leaf", "line").agg(F.min("text").alias("text"))
-    texts = scratch.keep(several.join(texts, ["leaf", "line"]), "texts")
-    texts = texts.withColumn("group", F.col("leaf"))
-    if wide is not None:
-        tokens = F.split("text", " ")
-        texts = texts.withColumn("group", F.when(F.col("lines") > wide, F.xxhash64("leaf", F.slice(tokens, LEAD + 1, 3))).otherwise(F.col("leaf")))
-        size = texts.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > wide)
-        texts = texts.join(scratch.bounded(size, "size"), "group", "left").withColumn("group", F.when(F.col("size").isNotNull(), F.xxhash64("group", F.slice(tokens, LEAD + 4, 8))).otherwise(F.col("group")))
-    texts = texts.select("group", "leaf", "line", "n", "text").repartition("group").sortWithinPartitions("group", F.desc("n"), "line")
-    template = scratch.keep(texts.mapInArrow(_templates(similar), "leaf long, line long, group long, nth long, constant long"), "templates")
-    likely = several.join(template, ["leaf", "line"]).groupBy("group", "nth", "constant").agg(F.sum("n").alias("n")).where(F.col("n") >= need)
-    template = scratch.keep(template.join(scratch.bounded(likely.select("group", "nth"), "often"), ["group", "nth"]).select("leaf", "line", "group", "nth", "constant"), "likely")
-    reached = lines.drop("constant").join(bounded(template), ["leaf", "line"]).select("group", "nth", "constant", "doc_id", "text_key").distinct()
-    reached = reached.groupBy("group", "nth", "constant").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= need)
-    shared = template.join(reached.drop("constant"), ["group", "nth"]).select("leaf", "line", "first")
-    return lines, scratch.keep(alone.unionByName(shared), "recurring")
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, wide: int | None = None, long_docs: int = LONG_DOCS, short_docs: int = SHORT_DOCS) -> DataFrame:
+def _doc_count(members: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    reached = lines.join(bounded(members), ["leaf", "line"]).select(*keys, "row", "doc_id").distinct()
+    return reached.groupBy(*keys).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+
+
+def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens: int, similar: float, long_docs: int, short_docs: int, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Every document's marks (row, doc_id, text_key, marks), and the recurring (leaf, line, first: smallest doc_id)."""
+    need = F.when(F.col("constant") >= LONG, min(long_docs, min_docs)).when(F.col("constant") < min_tokens, max(short_docs, min_docs)).otherwise(min_docs)
+    marks = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), _marks(F.col("text"), min_tokens).alias("marks"))
+    marks = scratch.keep(marks, "marks")
+    lines = marks.select("row", "doc_id", "text_key", F.explode(F.array_distinct("marks")).alias("x")).where("x is not null").select("row", "doc_id", "text_key", "x.leaf", "x.line", "x.constant")
+    counts = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("constant").alias("constant"), F.min("text_key").alias("holder"))
+    counts = scratch.keep(counts, "all_counts")
+    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("lines"), F.min(need).alias("least")).where("docs >= least").select("leaf", "lines")
+    kept = scratch.keep(counts.join(scratch.bounded(leaves, "leaves"), "leaf"), "counts")
+    scratch.free(counts)
+    recurring = kept.where(F.col("n") >= need).select("leaf", "line", "first")
+
+    several = scratch.keep(kept.where("lines > 1").select("leaf", "line", "n", "constant", "holder"), "several")
+    holders = bounded(several.select(F.col("holder").alias("text_key")).distinct())
+    texts = docs.withColumn("text_key", F.xxhash64("text")).join(holders, "text_key", "left_semi").dropDuplicates(["text_key"])
+    texts = texts.select(F.explode(F.array_distinct(_masked_lines(F.col("text")))).alias("text")).select("text", _mark(F.col("text"), min_tokens).alias("x")).where("x is not null")
+    texts = several.drop("holder").join(texts.select("x.leaf", "x.line", "text"), ["leaf", "line"]).dropDuplicates(["leaf", "line"])
+    tokens = F.transform(F.split("text", " "), lambda t: F.when(t == "<*>", F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
+    texts = scratch.keep(texts.select("leaf", "line", "n", "constant", tokens.alias("tokens")), "texts")
+
+    hubs = _hubs(texts, scratch, similar, group)
+    ends = texts.join(hubs.select("leaf", F.col("hub").alias("line")).distinct(), ["leaf", "line"], "left_semi").select("leaf", F.col("line").alias("hub"), F.col("tokens").alias("known"))
+    shared = F.size(F.filter(F.zip_with("tokens", "known", lambda a, b: (a == b) & (a != 0)), lambda x: x))
+    members = texts.join(hubs, ["leaf", "line"]).join(bounded(ends), ["leaf", "hub"]).select("leaf", "line", "n", "hub", shared.alias("shared"))
+    members = members.unionByName(texts.join(hubs.select("leaf", F.col("hub").alias("line")).distinct(), ["leaf", "line"], "left_semi").select("leaf", "line", "n", F.col("line").alias("hub"), F.col("constant").alias("shared")))
+    tiers = F.array_compact(F.array(F.when(F.col("shared") >= min_tokens, 0), F.when(F.col("shared") >= LONG, 1)))
+    members = scratch.keep(members.select("leaf", "line", "n", "hub", F.explode(tiers).alias("tier")), "members")
+    enough = F.when(F.col("tier") == 1, min(long_docs, min_docs)).otherwise(min_docs)
+    keys = ["leaf", "hub", "tier"]
+    likely = scratch.bounded(members.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= enough).select(*keys), "likely")
+    members = scratch.keep(members.join(likely, keys).select("leaf", "line", "hub", "tier"), "often")
+    reached = scratch.bounded(_doc_count(members, lines, keys).where(F.col("docs") >= enough).select(*keys, "first"), "reached")
+    recurring = recurring.unionByName(members.join(reached, keys).select("leaf", "line", "first"))
+    recurring = scratch.keep(recurring.groupBy("leaf", "line").agg(F.min("first").alias("first")), "recurring")
+    scratch.free(kept, several, texts, hubs, members)
+    return marks, recurring
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, long_docs: int = LONG_DOCS, short_docs: int = SHORT_DOCS, group: int = GROUP) -> DataFrame:
     """docs with recurring lines taken out of text, and _n_lines and _n_dropped."""
     scratch = Scratch(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines, recurring = recurring_lines(plain, scratch, min_docs, min_tokens, similar, wide, long_docs, short_docs)
-    drops = lines.join(bounded(recurring), ["leaf", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    drops = scratch.keep(drops.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("leaf", "line", "constant")).alias("_drop")).withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}), "drops")
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left")
-    split = F.split(F.col("text"), "\n")
-    marked = F.zip_with(split, _marks(F.col("text"), min_tokens), lambda x, m: F.struct(x.alias("line"), m.alias("mark")))
-    marked = F.filter(marked, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), x["mark"]), F.lit(False)))
-    kept = F.when(F.col("_drop").isNull(), split).otherwise(F.transform(marked, lambda x: x["line"]))
-    joined = joined.withColumn("_kept", kept).withColumn("_n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-    joined = joined.withColumn("_n_dropped", F.col("_n_lines") - F.coalesce(F.size("_kept"), F.lit(0)))
-    joined = joined.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-    return joined.drop("_d", "_t", "_drop", "_kept")
+    marks, recurring = recurring_lines(plain, scratch, min_docs, min_tokens, similar, long_docs, short_docs, group)
+    n_lines, n_dropped, d, t, gone, bits = fresh(docs, "_n_lines", "_n_dropped", "_d", "_t", "_gone", "_bits")
+    # the places of a document's dropped lines, a bit each, in words of 64
+    drops = marks.select("doc_id", "text_key", F.posexplode("marks").alias("at", "x")).where("x is not null").select("doc_id", "text_key", "at", "x.leaf", "x.line")
+    drops = drops.join(bounded(recurring), ["leaf", "line"]).where("doc_id is null and first is not null or doc_id <> first")
+    drops = drops.groupBy("doc_id", "text_key", F.expr("at div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
+    drops = drops.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"), F.max("w").alias("w"), F.sum(F.bit_count("b")).alias("n"))
+    drops = drops.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("n").alias(gone), F.expr("transform(sequence(0, w), i -> coalesce(try_element_at(m, i), 0L))").alias(bits))
+    drops = scratch.keep(drops, "drops")
+    scratch.free(marks, recurring)
+    joined = docs.join(bounded(drops), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left")
+    split = F.split(F.col("text").cast("string"), "\n")
+    kept = F.expr(f"filter(split(cast(text as string), '\\n'), (x, i) -> coalesce(shiftrightunsigned(get(`{bits}`, cast(i div 64 as int)), cast(i % 64 as int)) & 1L, 0L) = 0L)")
+    text = F.when(F.col(bits).isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    joined = joined.withColumn(n_lines, F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn(n_dropped, F.coalesce(F.col(gone), F.lit(0)).cast("long"))
+    return joined.withColumn("text", text).drop(d, t, gone, bits)
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,10 +232,100 @@ def test_lines(spark):
     assert lines.drop_recurring_lines(same, min_docs=9).where("_n_dropped > 0").count() == 0
 
 
-def test_line_splits(spark):
-    rows = [(i, f"from here on {'alpha' if i % 2 else 'beta'} goes the line number of day") for i in range(40)] + [(i + 40, f"from here on u{chr(97 + i)} v{chr(97 + i)} w{chr(97 + i)} x y z q") for i in range(20)]
-    split = lines.drop_recurring_lines(docs_of(spark, rows), min_docs=10, wide=3)
-    assert {r["doc_id"] for r in split.where("_n_dropped > 0").collect()} == set(range(2, 40))
+def brute_lines(rows, min_docs=10, long_docs=2, short_docs=100):
+    """Texts and numbers of dropped lines, with every line of a leaf compared with every other."""
+    masked = lambda x: re.sub(lines.VARIABLE, "<*>", re.sub(r"[ \t\x0b\f\r]+", " ", x).strip(" "))
+    key = lambda m: (len(m.split(" ")), " ".join(m.split(" ")[:3]))
+    constant = lambda m: len(m.split(" ")) - m.count("<*>")
+    need = lambda c: min(long_docs, min_docs) if c >= 50 else max(short_docs, min_docs) if c < 3 else min_docs
+    where = {}
+    for at, (_, text) in enumerate(rows):
+        for m in {masked(x) for x in (text or "").split("\n")}:
+            if m and (constant(m) >= 3 or "<*>" not in m):
+                where.setdefault(m, set()).add(at)
+    first = lambda found: min((rows[i][0] for i in found if rows[i][0] is not None), default=None)
+    recurring = {m: [first(at)] for m, at in where.items() if len(at) >= need(constant(m))}
+    members = {}
+    for m in where:
+        tokens, best = m.split(" "), None
+        for o in where:
+            if o != m and key(o) == key(m):
+                same = sum(map(str.__eq__, tokens, o.split(" ")))
+                if same >= 0.8 * len(tokens) and len(tokens) - same <= lines.MOST and (len(where[o]), RANK[o]) > (len(where[m]), RANK[m]):
+                    best = o if best is None or (len(where[o]), RANK[o]) > (len(where[best]), RANK[best]) else best
+        if best:
+            members.setdefault(best, {best})
+            members[best].add(m)
+    for hub, mine in members.items():
+        shared = {m: sum(a == b != "<*>" for a, b in zip(m.split(" "), hub.split(" "), strict=True)) for m in mine}
+        for least, docs in ((3, min_docs), (50, min(long_docs, min_docs))):
+            tier = [m for m in mine if (constant(m) if m == hub else shared[m]) >= least]
+            found = set().union(*(where[m] for m in tier))
+            if len(found) >= docs:
+                for m in tier:
+                    recurring.setdefault(m, []).append(first(found))
+    out = []
+    for i, text in rows:
+        parts = (text or "").split("\n")
+        drop = [masked(x) in recurring and (f := min((y for y in recurring[masked(x)] if y is not None), default=None)) is not None and i != f for x in parts]
+        out.append((i, text if not any(drop) else "\n".join(x for x, gone in zip(parts, drop, strict=True) if not gone), sum(drop)))
+    return out
+
+
+RANK = {}
+
+
+def ranked(spark, rows):
+    """Ties go to the smaller hash, which only Spark knows."""
+    texts = sorted({re.sub(lines.VARIABLE, "<*>", x) for _, t in rows for x in (t or "").split("\n")})
+    RANK.update({r["t"]: -r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()})
+    return rows
+
+
+def line_corpus(seed, extra=0):
+    """Templates with fields that are plain words at any place, of many lengths, near and far lines of the same leaves."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    bases = [["go", "on", "here", *(name() for _ in range(n))] for n in (1, 2, 3, 4, 7, 11, 16, 22, 57, 80) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        mine = []
+        for base in rng.sample(bases, 6):
+            vary = rng.choice([0, 0, 1, max(1, len(base) // 7), max(1, len(base) // 4)])
+            line = list(base)
+            for k in rng.sample(range(3, len(line)), min(vary, len(line) - 3)):
+                line[k] = rng.choice([name(), f"n{rng.randrange(99)}"])
+            mine.append(" ".join(line))
+        rows.append((None if i % 17 == 0 else i, "\n".join([*mine, f"{name()} {name()} {name()} {name()}", ""])))
+    rows += [(500 + k, "\n".join(" ".join(["go", "on", "here", *(name() for _ in range(n))]) for n in (2, 3, 4, 7, 11, 16))) for k in range(extra)]
+    return [*rows, (3, rows[3][1]), (900, None), (901, "")]
+
+
+@pytest.mark.parametrize(("group", "extra"), [(1_000, 0), (3, 0), (1, 200)])
+def test_lines_equal_all_comparisons(spark, group, extra):
+    rows = ranked(spark, line_corpus(21, extra))
+    cleaned = lines.drop_recurring_lines(docs_of(spark, rows), min_docs=6, group=group).collect()
+    wanted = brute_lines(rows, min_docs=6)
+    key = lambda r: (r[0] is not None, r[0], r[1] or "", r[2])
+    assert sorted(((r["doc_id"], r["text"], r["_n_dropped"]) for r in cleaned), key=key) == sorted(wanted, key=key)
+    few = brute_lines(ranked(spark, line_corpus(21)), min_docs=6)
+    assert sum(n for *_, n in few) > 200 and wanted[: 120] == few[: 120]
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    names = ["_d", "_t", "_drop", "_kept", "_n_lines", "_N_dropped", "_bits", "_gone", "x", "leaf"]
+    rows = docs_of(spark, [(i, f"this line is everywhere {i}\nown {chr(97 + i)} line") for i in range(12)])
+    cleaned = lines.drop_recurring_lines(rows.select("*", *(F.lit(n).alias(n) for n in names)))
+    assert cleaned.columns == [*rows.columns, *names, "_n_lines_", "_n_dropped_"]
+    assert all(r[n] == n for r in cleaned.collect() for n in names) and sorted(r["_n_dropped_"] for r in cleaned.collect()) == [0] + [1] * 11
+
+
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of it" for i in range(9_000))
+    one = "\n".join(["every document has this line"] * 700)
+    got = {r["doc_id"]: r for r in lines.drop_recurring_lines(docs_of(spark, [(0, long + "\n" + one), *((i, one) for i in range(1, 12)), (20, "w " * 40_000), (21, "w " * 40_000)])).collect()}
+    assert got[0]["_n_dropped"] == 0 and got[0]["text"].startswith(long) and all(got[i]["_n_dropped"] == 700 for i in range(1, 12))
+    assert got[20]["_n_dropped"] == 0 and got[21]["_n_dropped"] == 1 and got[21]["text"] == ""
 
 
 def test_long_and_short_lines(spark):
@@ -256,25 +345,6 @@ def test_wide_leaf_has_one_template_set(spark):
     assert [r["doc_id"] for r in cleaned.where("_n_dropped = 0").collect()] == [0]
 
 
-def test_templates_equal_all_comparisons():
-    rng = random.Random(12)
-    rows = []
-    for leaf, n in enumerate((4, 5, 6, 9, 10, 14, 19, 24, 25, 40, 60)):
-        base = [words(rng, n - 3, 30) for _ in range(6)]
-        texts = {" ".join(["a", "b", "c"] + [f"x{rng.randrange(3)}" if rng.random() < 0.15 else w for w in rng.choice(base)]) for _ in range(150)}
-        rows += [(leaf, leaf, k, 1, t) for k, t in enumerate(sorted(texts, key=lambda t: (len(t) % 7, t)))]
-    wanted, found = [], {}
-    for group, _, line, _, text in rows:
-        tokens, known = text.split(" "), found.setdefault(group, [])
-        same = [sum(a == b for a, b in zip(t, tokens, strict=True)) for t in known]
-        best = same.index(max(same)) if same and max(same) >= 0.8 * len(tokens) else len(known)
-        known[best:best + 1] = [[a if a == b else "<*>" for a, b in zip(known[best] if best < len(known) else tokens, tokens, strict=True)]]
-        wanted.append((group, line, best))
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["group", "leaf", "line", "n", "text"])
-    got = [(r["group"], r["line"], r["nth"]) for b in lines._templates(0.8)(iter([batch])) for r in b.to_pylist()]
-    assert got == wanted and any(len(found[g]) > 1 for g in found)
-
-
 def neighbours(rows, k=10):
     """Exact results of the same rules."""
     ok = {}
