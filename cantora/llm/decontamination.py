@@ -7,12 +7,13 @@ shingle similarity to the item, sum of the smaller counts over sum of the larger
 1. Anchors: places of a document's shingles that an item has. Moving a window right to its next anchor loses none, so of all
    windows only those that start at an anchor (or end with the document) and hold enough anchors can qualify: an exact filter.
 2. Each such window and each item gets a 64-bit SimHash of its shingles, cut into ``radius + 1`` blocks. Two fingerprints within
-   ``radius`` bits agree in a block, so the join on (words, block, value) finds all of them.
+   ``radius`` bits agree in a block, so a window meets the items of its anchors by (item, block, value), and rows grow with the
+   windows and not with the number of items of the same length.
 3. Pairs within the radius are verified by the exact similarity. Windows of similarity 0.75 differ in 11 bits on average, with
-   a standard deviation of 3; the radius of 20 is three deviations away.
+   a standard deviation of 3; the radius of 26 is five deviations away.
 
-Documents are exploded into shingles and streamed past the benchmark's, without a shuffle if those are few (checked); only
-anchors are gathered, by document and item.
+Documents are exploded into shingles of all widths that items have, in one pass, and streamed past the benchmark's, without a
+shuffle if those are few (measured); only anchors are gathered, by document and item.
 
 Nulls and empties: a null or wordless text, or item, matches nothing; a null doc_id is kept as null; an item without an id is left
 out; repeated rows give one result; ties go to the earliest window; extra columns are ignored; no rows give no results.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cantora.llm.common import Scratch, bounded, table
 
-WORDS, SIMILARITY, RADIUS = 5, 0.75, 20
+WORDS, SIMILARITY, RADIUS = 5, 0.75, 26
 
 
 def words_of(text: Column) -> Column:
@@ -33,8 +34,9 @@ def words_of(text: Column) -> Column:
 
 
 def _shingles(k: int) -> str:
+    """Hashes of all k words in a row; those of another k differ."""
     parts = ", ".join(f"w[i + {j}]" for j in range(k))
-    return f"transform(sequence(0, size(w) - {k}), i -> xxhash64({parts}))"
+    return f"if(size(w) < {k}, array(), transform(sequence(0, greatest(size(w) - {k}, 0)), i -> xxhash64({k}, {parts})))"
 
 
 def _block_bounds(radius: int) -> list[tuple[int, int]]:
@@ -66,40 +68,40 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     items = scratch.keep(items.withColumn("item_print", simhash("item_shingles")), "items")
     widths = [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]  # `words` at most
 
-    result = None
-    for k in widths:
-        mine = items.where(F.col("k") == k)
-        parts = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("w")).where(F.size("w") >= k)
-        places = parts.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode(F.expr(_shingles(k))).alias("at", "h"))
-        known = scratch.bounded(mine.select("item_id", F.explode(F.array_distinct("item_shingles")).alias("h")), "known")
-        anchors = places.join(known, "h").groupBy("doc_id", "text_key", "item_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("at")).alias("at"))
-        anchors = anchors.join(bounded(mine.select("item_id", "n", "m", "need")), "item_id").where("size(at) >= need")
-        last = "greatest(size - n, 0)"
-        inner = F.expr(f"filter(slice(at, 1, size(at) - need + 1), (s, i) -> s <= {last} and at[i + need - 1] - s < m)")
-        ends = F.expr(f"if(at[size(at) - need] >= {last}, array({last}), array())")
-        starts = anchors.select("doc_id", "text_key", "n", "m", F.explode(F.array_union(inner, ends)).alias("start")).distinct()
-        starts = starts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("n", "m", "start")).alias("windows"))
-        starts = scratch.keep(starts, "starts")
-        # the text of these documents only, without a shuffle of the others if they are few
-        chosen = docs.join(bounded(starts.select("doc_id", "text_key")).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left_semi").dropDuplicates(["doc_id", "text_key"])
-        chosen = chosen.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), words_of(F.col("text")).alias("w")).select("d", "t", F.expr(_shingles(k)).alias("shingles"))
-        windows = starts.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("doc_id", "text_key", "shingles", F.explode("windows").alias("x"))
-        windows = windows.select("doc_id", "text_key", "x.n", "x.start", F.slice("shingles", F.col("x.start") + 1, F.col("x.m")).alias("window")).withColumn("print", simhash("window"))
-        windows = scratch.keep(windows, "windows")
-        left = windows.select("doc_id", "text_key", "n", "start", "print", F.explode(blocks("print", radius)).alias("b")).select("doc_id", "text_key", "n", "start", "print", "b.block", "b.value")
-        right = mine.select("item_id", "n", "item_print", F.explode(blocks("item_print", radius)).alias("b")).select("item_id", "n", "item_print", "b.block", "b.value")
-        near = left.join(bounded(right), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        near = near.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("start").alias("s"), "n", "item_id").distinct()
-        near = near.join(windows.withColumnRenamed("n", "words"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")) & (F.col("start") == F.col("s")) & (F.col("words") == F.col("n")))
-        near = near.select("doc_id", "text_key", "start", "n", "item_id", "window").join(bounded(mine.select("item_id", "item_shingles")), "item_id")
-        shared = F.expr("aggregate(array_distinct(item_shingles), 0, (n, g) -> n + least(size(filter(window, h -> h = g)), size(filter(item_shingles, h -> h = g))))")
-        near = near.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("window") + F.size("item_shingles") - F.col("shared")))
-        near = near.where(F.col("similarity") >= similarity).groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
-        near = near.select("doc_id", "text_key", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.n").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
-        result = near if result is None else result.unionByName(near)
-    if result is None:
+    if not widths:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, start long, n_words long, similarity double")
-    return result
+    parts = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("w")).where(F.size("w") >= widths[0])
+    placed = F.concat(*(F.transform(F.expr(_shingles(k)), lambda h, i: F.struct(i.alias("at"), h.alias("h"))) for k in widths))
+    places = parts.select("doc_id", "text_key", F.size("w").alias("size"), F.explode(placed).alias("x")).select("doc_id", "text_key", "size", "x.at", "x.h")
+    known = scratch.bounded(items.select("item_id", F.explode(F.array_distinct("item_shingles")).alias("h")), "known")
+    anchors = places.join(known, "h").groupBy("doc_id", "text_key", "item_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("at")).alias("at"))
+    anchors = anchors.join(bounded(items.select("item_id", "k", "n", "m", "need")), "item_id").where("size(at) >= need")
+    last = "greatest(size - n, 0)"
+    inner = F.expr(f"filter(slice(at, 1, size(at) - need + 1), (s, i) -> s <= {last} and at[i + need - 1] - s < m)")
+    ends = F.expr(f"if(at[size(at) - need] >= {last}, array({last}), array())")
+    starts = anchors.select("doc_id", "text_key", "item_id", "k", "n", "m", F.explode(F.array_union(inner, ends)).alias("start"))
+    starts = scratch.keep(starts.groupBy("doc_id", "text_key", "k", "n", "m", "start").agg(F.collect_set("item_id").alias("asked")), "starts")
+    # the text of these documents only, without a shuffle of the others if they are few
+    at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
+    named = {"doc_id": "d", "text_key": "t"}
+    chosen = docs.join(bounded(starts.select("doc_id", "text_key").distinct()).withColumnsRenamed(named), at, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    chosen = chosen.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), words_of(F.col("text")).alias("w"))
+    chosen = chosen.select("d", "t", F.explode(F.array(*(F.struct(F.lit(k).alias("width"), F.expr(_shingles(k)).alias("shingles")) for k in widths))).alias("x")).select("d", "t", "x.width", "x.shingles")
+    mine = starts.groupBy("doc_id", "text_key", "k").agg(F.collect_list(F.struct("n", "m", "start", "asked")).alias("windows"))
+    windows = mine.join(chosen, at & (F.col("width") == F.col("k"))).select("doc_id", "text_key", "shingles", F.explode("windows").alias("x"))
+    windows = windows.select("doc_id", "text_key", "x.n", "x.start", "x.asked", F.slice("shingles", F.col("x.start") + 1, F.col("x.m")).alias("window")).withColumn("print", simhash("window"))
+    windows = scratch.keep(windows, "windows")
+    # multi-index: (item, block, value)
+    left = windows.select("doc_id", "text_key", "n", "start", "print", F.explode("asked").alias("item_id")).select("*", F.explode(blocks("print", radius)).alias("b")).select("doc_id", "text_key", "n", "start", "print", "item_id", "b.block", "b.value")
+    right = items.select("item_id", "n", "item_print", F.explode(blocks("item_print", radius)).alias("b")).select("item_id", "n", "item_print", "b.block", "b.value")
+    near = left.join(scratch.bounded(right, "blocks"), ["item_id", "n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    near = near.groupBy("doc_id", "text_key", "start", "n").agg(F.collect_set("item_id").alias("items")).withColumnsRenamed(named | {"start": "s"})
+    near = near.join(windows.withColumnRenamed("n", "words"), at & (F.col("start") == F.col("s")) & (F.col("words") == F.col("n")))
+    near = near.select("doc_id", "text_key", "start", "n", F.explode("items").alias("item_id"), "window").join(bounded(items.select("item_id", "n", "item_shingles")), ["item_id", "n"])
+    shared = F.expr("aggregate(array_distinct(item_shingles), 0, (n, g) -> n + least(size(filter(window, h -> h = g)), size(filter(item_shingles, h -> h = g))))")
+    near = near.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("window") + F.size("item_shingles") - F.col("shared")))
+    near = near.where(F.col("similarity") >= similarity).groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
+    return near.select("doc_id", "text_key", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.n").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,26 @@ def test_decontamination(spark):
     assert decontamination.contaminated_windows(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_radius_holds_windows_of_just_enough_similarity(spark):
+    """Of 6,000 windows of similarity 0.75 to 0.8, none is farther than the radius from its item."""
+    rng, rows = random.Random(31), []
+    while len(rows) < 6_000:
+        m = rng.choice([7, 14, 15, 21, 28, 35, 42, 63])
+        item = [rng.getrandbits(63) for _ in range(m)]
+        changed = next(c for c in range(m, -1, -1) if (m - c) / (m + c) >= 0.75)
+        rows.append((item, [rng.getrandbits(63) for _ in range(changed)] + item[changed:]))
+    prints = spark.createDataFrame(rows, "one array<long>, two array<long>").select(F.bit_count(decontamination.simhash("one").bitwiseXOR(decontamination.simhash("two"))).alias("d"))
+    assert prints.agg(F.max("d")).first()[0] <= decontamination.RADIUS
+
+
+def test_many_items_of_one_length(spark):
+    rng = random.Random(32)
+    items = [(k, " ".join(words(rng, 20, 9_999))) for k in range(3_000)]
+    rows = [(i, " ".join([*words(rng, 10), *items[i][1].split(), *words(rng, 5)])) for i in range(50)]
+    found = decontamination.contaminated_windows(docs_of(spark, rows + [(99, " ".join(words(rng, 200_000)))]), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in found.collect()) == [(i, i, 10, 1.0) for i in range(50)]
+
+
 def test_wordpiece():
     rng = random.Random(5)
     pieces = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 5))) for _ in range(25)}
