@@ -72,7 +72,9 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
         return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, start long, n_words long, similarity double")
     parts = docs.select("doc_id", "text_key", words_of(F.col("text")).alias("w")).where(F.size("w") >= widths[0])
     placed = F.concat(*(F.transform(F.expr(_shingles(k)), lambda h, i: F.struct(i.alias("at"), h.alias("h"))) for k in widths))
-    places = parts.select("doc_id", "text_key", F.size("w").alias("size"), F.explode(placed).alias("x")).select("doc_id", "text_key", "size", "x.at", "x.h")
+    parts = parts.select("doc_id", "text_key", F.size("w").alias("size"), placed.alias("placed"))  # so that no row of a shingle carries the words
+    # outer: else Spark filters by the array's size first, and computes the words again for each shingle
+    places = parts.select("doc_id", "text_key", "size", F.explode_outer("placed").alias("x")).where("x is not null").select("doc_id", "text_key", "size", "x.at", "x.h")
     known = scratch.bounded(items.select("item_id", F.explode(F.array_distinct("item_shingles")).alias("h")), "known")
     anchors = places.join(known, "h").groupBy("doc_id", "text_key", "item_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("at")).alias("at"))
     anchors = anchors.join(bounded(items.select("item_id", "k", "n", "m", "need")), "item_id").where("size(at) >= need")

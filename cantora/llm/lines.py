@@ -255,7 +255,7 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, min_docs: int, min_tokens
     several = scratch.keep(kept.where("lines > 1").select("leaf", "line", "n", "constant", "holder"), "several")
     holders = bounded(several.select(F.col("holder").alias("text_key")).distinct())
     texts = docs.withColumn("text_key", F.xxhash64("text")).join(holders, "text_key", "left_semi").dropDuplicates(["text_key"])
-    texts = texts.select(F.explode(F.array_distinct(_masked_lines(F.col("text")))).alias("text")).select("text", _mark(F.col("text"), min_tokens).alias("x")).where("x is not null")
+    texts = texts.select(F.explode_outer(F.array_distinct(_masked_lines(F.col("text")))).alias("text")).select("text", _mark(F.col("text"), min_tokens).alias("x")).where("x is not null")
     texts = several.drop("holder").join(texts.select("x.leaf", "x.line", "text"), ["leaf", "line"]).dropDuplicates(["leaf", "line"])
     tokens = F.transform(F.split("text", " "), lambda t: F.when(t == "<*>", F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
     texts = scratch.keep(texts.select("leaf", "line", "n", "constant", tokens.alias("tokens")), "texts")
