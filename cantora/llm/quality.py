@@ -5,12 +5,15 @@ size. In each round, each gives the documents it is surest of (calibrated probab
 pseudo-labels. In the end a logistic layer, fitted on labelled rows that neither classifier has seen, calibrates and combines
 both views, and scores every document; those below ``cut`` are rejected.
 
-Fitted on bounded samples, taken in the order of a hash of doc_id: at most ``max_labelled`` labelled documents (never those that
-are held out) and ``max_unlabelled`` others. Scoring reads whole texts of all documents.
+Labels come from a bounded sample of at most ``max_labelled`` labelled documents in the order of a hash of doc_id, never of those
+that are held out. Pseudo-labels come from all other documents: their views are written once, and in each round every task
+gives its ``per_round`` surest different ones of each label to each classifier, of which the surest ``per_round`` stay. Scoring
+reads whole texts of all documents.
 
 Nulls and empties: a null or empty text has zero statistics; null metadata has values of its own; a null doc_id is scored and
-never a label; repeated rows get equal scores; documents with several labels have the smallest. Without labels of both kinds all
-documents get the score 1. Other columns pass through, whatever their names; no rows give no rows.
+never a label; repeated rows get equal scores; documents with several labels have the smallest, labelled documents with several
+rows the least row. Without labels of both kinds all documents get the score 1. Other columns pass through, whatever their names, and
+``_quality`` gets underscores until it is new; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantora.llm.common import Scratch, held_out, slices, table, texts
+from cantora.llm.common import Scratch, fresh, held_out, slices, table, texts
 
-MAX_LABELLED, MAX_UNLABELLED = 6_000, 4_000
+MAX_LABELLED = 6_000
 ROUNDS, SURE, PER_ROUND, CUT = 4, 0.97, 300, 0.3
 META_BUCKETS = 32
 
@@ -114,29 +117,59 @@ def _layer(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
     return fit_logistic(x, y, prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND):
-    """Both classifiers and the layer over them. y: 0, 1, or -1 where unlabelled."""
-    known = np.flatnonzero(y >= 0)
-    aside = known[np.arange(len(known)) % 4 == 0]  # for calibration only
+def _split(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit with, and rows for calibration only."""
+    known = np.arange(len(y))
+    aside = known[known % 4 == 0]
     if len(set(y[aside])) < 2:
         aside = known
-    base = np.setdiff1d(known, aside) if len(set(y[np.setdiff1d(known, aside)])) == 2 else known
-    views, given = [text, meta], [{i: y[i] for i in base} for _ in range(2)]
-    free = np.flatnonzero(y < 0)
+    base = np.setdiff1d(known, aside)
+    return (base if len(set(y[base])) == 2 else known), aside
+
+
+def _sure(model: Logistic, layer: np.ndarray, view: np.ndarray) -> np.ndarray:
+    """Calibrated probability of label 1 by one classifier."""
+    return 1 / (1 + np.exp(-np.clip(layer[0] + layer[1] * model.logit(view), -30, 30)))
+
+
+def surest(models: list[Logistic], layers: list[np.ndarray], views: list[np.ndarray], sure: float) -> list[tuple]:
+    """(receiver, label, probability, receiver's view) of the rows that the other classifier is sure of."""
+    out = []
+    for k in range(2):
+        p = _sure(models[k], layers[k], views[k])
+        for label, q in ((1, p), (0, 1 - p)):
+            out += [(1 - k, label, float(q[i]), views[1 - k][i].tobytes()) for i in np.flatnonzero(q >= sure)]
+    return out
+
+
+def best_given(found: list[tuple], per_round: int) -> list[tuple]:
+    """The surest per_round different rows for each receiver and label; ties to the smaller view."""
+    out = []
+    for receiver in range(2):
+        for label in (1, 0):
+            best: dict[bytes, float] = {}
+            for k, y, q, raw in found:
+                if k == receiver and y == label:
+                    best[raw] = max(q, best.get(raw, 0.0))
+            out += [(receiver, label, q, raw) for raw, q in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:per_round]]
+    return out
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, free, rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND):
+    """Both classifiers and the layer over them. y: 0 or 1; free(models, layers) gives the surest of the unlabelled rows, as best_given() does."""
+    base, aside = _split(y)
+    views, given = [text, meta], [{}, {}]
     for turn in range(rounds + 1):
         models = []
-        for view, labels in zip(views, given, strict=True):
-            at = np.fromiter(labels, np.int64)
-            models.append(Logistic(view[at], np.array([labels[i] for i in at], float)))
-        if turn == rounds or not len(free):
+        for k, view in enumerate(views):
+            more = [np.frombuffer(raw) for raw in given[k]]
+            x = np.vstack([view[base], *([np.array(more)] if more else [])])
+            models.append(Logistic(x, np.concatenate((y[base], np.array(list(given[k].values()), float))).astype(float)))
+        layers = [_layer(m.logit(v[aside])[:, None], y[aside].astype(float)) for m, v in zip(models, views, strict=True)]
+        if turn == rounds:
             break
-        for k in range(2):
-            layer = _layer(models[k].logit(views[k][aside])[:, None], y[aside].astype(float))
-            p = 1 / (1 + np.exp(-np.clip(layer[0] + layer[1] * models[k].logit(views[k][free]), -30, 30)))
-            for label, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                for i in order[:per_round]:
-                    if (p[i] if label else 1 - p[i]) >= sure:
-                        given[1 - k].setdefault(free[i], label)
+        for receiver, label, _, raw in free(models, layers):
+            given[receiver].setdefault(raw, label)
     both = np.stack([m.logit(v[aside]) for m, v in zip(models, views, strict=True)], axis=1)
     return models, _layer(both, y[aside].astype(float))
 
@@ -147,47 +180,75 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array([text_view(t) for t in texts(batch)]), np.array([meta_view(*m) for m in zip(*meta, strict=True)])
 
 
-def _sample_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_VIEWS = "y int, text array<double>, meta array<double>"
+
+
+def _write_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         text, meta = _views(batch)
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("_y")), pa.array(text.tolist()), pa.array(meta.tolist())], ["y", "text", "meta"])
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("_y")), pa.array(text.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64()))], ["y", "text", "meta"])
 
 
-def _score(model):
+def _give(models: list[Logistic], layers: list[np.ndarray], sure: float, per_round: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for batch in slices(batches, 4_096):
+            if batch.num_rows:
+                views = [batch.column(k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (0, 1)]
+                found = best_given(found + surest(models, layers, views, sure), per_round)
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["receiver", "label", "q", "raw"])
+
+    return run
+
+
+def _score(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            if model is None:
+            if model is None or not batch.num_rows:
                 score = np.ones(batch.num_rows)
             else:
                 models, layer = model
                 both = np.stack([m.logit(v) for m, v in zip(models, _views(batch), strict=True)], axis=1)
                 score = 1 / (1 + np.exp(-np.clip(layer[0] + both @ layer[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "_quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED):
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, sure: float = SURE, per_round: int = PER_ROUND):
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_y"))
-    order = (F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(~held_out(F.col("doc_id"))).orderBy(*order).limit(max_labelled)
-    others = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(*order).limit(max_unlabelled).distinct().withColumn("_y", F.lit(-1))
-    chosen = scratch.keep(chosen.unionByName(others), "chosen")
-    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most max_labelled + max_unlabelled rows
-    rows = sample.mapInArrow(_sample_views, "y int, text array<double>, meta array<double>").collect()
+    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = F.broadcast(scratch.keep(known, "known"))  # max_labelled rows at most
+    sample = docs.join(known, "doc_id").groupBy("doc_id", "_y").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("row")).select("doc_id", "_y", "row.*")
+    rows = sample.mapInArrow(_write_views, _VIEWS).collect()
     rows.sort(key=lambda r: (r["y"], r["text"], r["meta"]))
     y = np.array([r["y"] for r in rows])
-    if len({*y[y >= 0]}) < 2:
+    if len({*y}) < 2:
         return None
+    others = docs.join(known.drop("_y"), "doc_id", "left_anti").withColumn("_y", F.lit(-1))
+    others = scratch.keep(others.mapInArrow(_write_views, _VIEWS).select("text", "meta"), "others")
+
+    def free(models, layers):
+        found = others.mapInArrow(_give(models, layers, sure, per_round), "receiver int, label int, q double, raw binary")
+        found = found.groupBy("receiver", "label", "raw").agg(F.max("q").alias("q"))
+        nth = F.row_number().over(Window.partitionBy("receiver", "label").orderBy(F.desc("q"), "raw"))
+        found = found.select("*", nth.alias("nth")).where(F.col("nth") <= per_round).collect()  # four times per_round rows at most
+        return best_given([(r["receiver"], r["label"], r["q"], bytes(r["raw"])) for r in found], per_round)
+
     mixed = np.random.default_rng(5).permutation(len(y))
-    return co_train(np.array([r["text"] for r in rows])[mixed], np.array([r["meta"] for r in rows])[mixed], y[mixed])
+    model = co_train(np.array([r["text"] for r in rows])[mixed], np.array([r["meta"] for r in rows])[mixed], y[mixed], free, rounds, sure, per_round)
+    scratch.free(others)
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs and _quality, the probability of label 1."""
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c) for c in ("lang", "source", "n_chars") if c in docs.columns))
     model = fit(seen, labels.select("doc_id", "quality"), Scratch(docs.sparkSession))
-    return docs.mapInArrow(_score(model), T.StructType([*docs.schema.fields, T.StructField("_quality", T.DoubleType())]))
+    (name,) = fresh(docs, "_quality")
+    return docs.mapInArrow(_score(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -452,6 +452,49 @@ def test_quality(spark):
     assert [r["_quality"] for r in quality.score_quality(docs_of(spark, rows[:2]), none).collect()] == [1.0, 1.0]
 
 
+def test_co_training_equals_a_plain_loop(spark):
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(500):
+        good = i % 3 > 0
+        text = " ".join(words(rng, rng.randrange(20, 60)) if good else [f"{w}!!" for w in words(rng, 10)] * 4)
+        rows.append((None if i % 41 == 0 else i, text, "en" if good else "xx", f"s{i % 5}", len(text)))
+        if i < 120 and i % 41:
+            labels.append((i, int(good), 0))
+    rows += [rows[200]] * 3 + [(7, "another text of a labelled document", "en", "s1", 3)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"_quality": F.lit(5), "_y": F.lit(6)})
+    scored = quality.score_quality(docs, spark.createDataFrame(labels, LABELS))
+    assert scored.columns == [*docs.columns, "_quality_"] and scored.where("_quality <> 5 or _y <> 6").count() == 0
+    known = {i: y for i, y, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    least = {}
+    for i, *row in rows:
+        if i in known:
+            least[i] = min(least.get(i, row), row)
+    view = lambda r: (quality.text_view(r[0]), quality.meta_view(*r[1:]))
+    fitted = sorted((known[i], *view(row)) for i, row in least.items())
+    mixed = [fitted[k] for k in np.random.default_rng(5).permutation(len(fitted))]
+    free = [view(r[1:]) for r in rows if r[0] not in known]
+    text, meta = np.array([r[0] for r in free]), np.array([r[1] for r in free])
+
+    def surest(models, layers):
+        out = []
+        for receiver, mine, other in ((1, text, meta), (0, meta, text)):
+            p = quality._sure(models[1 - receiver], layers[1 - receiver], mine)
+            for label, q in ((1, p), (0, 1 - p)):
+                best = {}
+                for k in range(len(free)):
+                    if q[k] >= quality.SURE:
+                        best[other[k].tobytes()] = max(q[k], best.get(other[k].tobytes(), 0))
+                out += [(receiver, label, v, raw) for raw, v in sorted(best.items(), key=lambda x: (-x[1], x[0]))[: quality.PER_ROUND]]
+        return sorted(out, key=lambda x: (x[0], -x[1], -x[2], x[3]))
+
+    models, layer = quality.co_train(np.array([r[1] for r in mixed]), np.array([r[2] for r in mixed]), np.array([r[0] for r in mixed]), surest)
+    both = np.stack([m.logit(np.array([view(r[1:])[k] for r in rows])) for k, m in enumerate(models)], axis=1)
+    wanted = 1 / (1 + np.exp(-np.clip(layer[0] + both @ layer[1:], -30, 30)))
+    got = sorted((r["text"], r["_quality_"]) for r in scored.collect())
+    assert np.allclose([q for _, q in got], [q for _, q in sorted(zip([r[1] for r in rows], wanted.tolist(), strict=True))], atol=1e-6)
+
+
 def test_licenses(spark):
     rows = [(1, "first\nReleased under the MIT License.\nlast"), (2, "Released beneath the MIT License, friend"), (3, "no such thing\nlicense fees apply to everyone here today"), (4, None), (5, ""), (None, "All rights reserved."), (6, licenses.TEMPLATES["MIT-text"].replace(" to any person", "\nto any person").replace("publish, distribute", "publish, share")), (1, "first\nReleased under the MIT License.\nlast")]
     found = licenses.scan_licenses(docs_of(spark, rows)).collect()
