@@ -6,8 +6,9 @@ the clause) are composed with it, and the composed machine scores each matched c
 nothing is scored by a word outside its clause. A logistic layer over the clause totals gives the score.
 
 Insult entries (whole words or stems) and their weights are log odds learned from at most ``max_rows`` labelled documents,
-taken in the order of a hash of their ids among those whose labels may be used; an entry must be significant (G2) and occur
-in varied surroundings, so that words of copied passages don't count. The logistic layer starts from a prior that gives every
+taken in the order of a hash of their ids among those whose labels may be used; of these, every entry is counted. An entry must be
+significant (G2) and occur in varied surroundings, so that words of copied passages don't count; only significant ones
+reach the driver. The logistic layer starts from a prior that gives every
 context its meaning and is fitted on the same rows.
 
 Nulls and empties: a null or empty text has no clause and gets the base score; a null doc_id is not held out and its label is
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from cantora.llm.common import Scratch, held_out, slices, table, texts
 
 MAX_ROWS = 8_000
-CANDIDATES = 50_000
+#: Different surroundings that are always enough, and of how many each task keeps count.
+VARIED, AROUND = 48, 64
+LEAST_DOCS, LEAST_ODDS, LEAST_SHARE = 4, 1.5, 0.7
 CUT = 0.7
 #: Seed entries, in English, German, French and Spanish.
 THREATS = "kill murder hurt beat shoot stab strangle burn töten umbringen schlagen erschießen tuer frapper brûler matar golpear quemar".split()
@@ -153,16 +156,21 @@ def _entries(words: list[str]) -> dict[str, int]:
     return first
 
 
-def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count, around = Counter(), defaultdict(set)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """entry, toxic and clean documents, and surroundings in toxic ones from rows (text, toxic).
+
+    At most AROUND of an entry and task are held, which is more than an entry needs, so no decision depends on it."""
+    count, around = {True: Counter(), False: Counter()}, defaultdict(set)
     for batch in batches:
-        for text in texts(batch):
+        for text, toxic in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
             words = _WORD.findall(text.lower())
             for e, i in _entries(words).items():
-                count[e] += 1
-                if len(around[e]) < 64:
+                count[toxic > 0][e] += 1
+                if toxic > 0 and len(around[e]) < AROUND:
                     around[e].add(hash_pair(words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64()), pa.array([sorted(around[e]) for e in count], pa.list_(pa.int64()))], ["entry", "n", "around"])
+    every = list(count[True] | count[False])
+    columns = [pa.array(every, pa.string()), *(pa.array([count[t][e] for e in every], pa.int64()) for t in (True, False)), pa.array([sorted(around.get(e, ())) for e in every], pa.list_(pa.int64()))]
+    yield pa.RecordBatch.from_arrays(columns, ["entry", "a", "b", "around"])
 
 
 def hash_pair(a: str, b: str) -> int:
@@ -171,19 +179,6 @@ def hash_pair(a: str, b: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{a}\n{b}") >> 1
 
 
-def _clean_counts(wanted: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter()
-        for batch in batches:
-            for text in texts(batch):
-                found = set(_WORD.findall(text.lower()))
-                found.update([w[:n] + "*" for w in found for n in range(3, min(len(w), 8))])
-                count.update(found & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["entry", "n"])
-
-    return run
-
-
 def choose(counts: list[tuple[str, int, int, int]], toxic: int, clean: int, least: float = 24.0) -> dict[str, float]:
     """Significant entries of (entry, toxic documents, clean documents, distinct surroundings), the most specific of each stem."""
 
@@ -194,7 +189,7 @@ def choose(counts: list[tuple[str, int, int, int]], toxic: int, clean: int, leas
     def odds(a: int, b: int) -> float:
         return math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
 
-    good = {e: (a, b) for e, a, b, around in counts if odds(a, b) > 1.5 and a >= 0.7 * (a + b) and g2(a, b) >= least and around >= min(0.75 * a, 48)}
+    good = {e: (a, b) for e, a, b, around in counts if odds(a, b) > LEAST_ODDS and a >= LEAST_SHARE * (a + b) and g2(a, b) >= least and around >= min(0.75 * a, VARIED)}
     below = defaultdict(list)
     for e in good:
         for n in range(3, len(e.rstrip("*")) + 1):
@@ -223,12 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int = MA
     toxic, clean = size.get(1, 0), size.get(0, 0)
     entries: dict[str, float] = {}
     if toxic and clean:
-        found = sample.where("toxic > 0").select("text").mapInArrow(_toxic_counts, "entry string, n long, around array<long>")
-        found = found.groupBy("entry").agg(F.sum("n").alias("a"), F.size(F.array_distinct(F.flatten(F.collect_list("around")))).alias("around")).where("a >= 4")
-        found = found.orderBy(F.desc("a"), "entry").limit(CANDIDATES).collect()
-        wanted = frozenset(r["entry"] for r in found)
-        usual = dict(sample.where("toxic = 0").select("text").mapInArrow(_clean_counts(wanted), "entry string, n long").groupBy("entry").agg(F.sum("n")).collect())
-        entries = choose([(r["entry"], r["a"], usual.get(r["entry"], 0), r["around"]) for r in found], toxic, clean)
+        found = sample.mapInArrow(_counts, "entry string, a long, b long, around array<long>")
+        found = found.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.size(F.array_distinct(F.flatten(F.collect_list("around")))).alias("around"))
+        odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
+        # what choose() asks of each entry by itself
+        found = found.where((F.col("a") >= LEAST_DOCS) & (odds > LEAST_ODDS - 1e-9) & (F.col("a") >= LEAST_SHARE * (F.col("a") + F.col("b")) - 1e-9) & (F.col("around") >= F.least(0.75 * F.col("a"), F.lit(VARIED))))
+        entries = choose(sorted((r["entry"], r["a"], r["b"], r["around"]) for r in found.collect()), toxic, clean)
     entries = SEEDS | entries
     prior = np.array([BASE, *PRIOR])
     rows = sample.mapInArrow(_features(entries), "toxic int, x array<double>").collect()  # max_rows rows of nine numbers

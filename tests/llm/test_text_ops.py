@@ -435,6 +435,60 @@ def test_grammar_context():
     assert grammar.features("nothing here")[0] == 0 and grammar.features("such a zonk. fine")[0] == 1
 
 
+def read_clause(words, insults):
+    """What the composed machines say, read directly: for each word, whether one of the three before it negates it or one before it reports."""
+    top, plain, off, told, threat = 0.0, 0.0, 0.0, 0.0, 0.0
+    aimed = any(w in toxicity.TARGETS and w not in insults for w in words)
+    for i, w in enumerate(words):
+        before = [x for x in words[:i] if x not in insults]
+        denied = any(x in toxicity.NEGATIONS and x not in insults for x in words[max(0, i - 3) : i])
+        quoted = any(x in toxicity.REPORTS for x in before)
+        if w in insults:
+            top = max(top, insults[w])
+            off, told, plain = off + insults[w] * denied, told + insults[w] * (quoted and not denied), plain + insults[w] * (not denied and not quoted)
+        elif w in toxicity.THREATS:
+            threat += not denied
+    return None if top == 0 and not (threat and aimed) else (top, plain, off, told, (plain + off + told) * aimed, threat * aimed)
+
+
+def test_grammar_equals_direct_reading():
+    rng = random.Random(17)
+    insults = {"zonk": 3.0, "vile": 2.0, "grotty": 1.5}
+    grammar = toxicity.Grammar(insults)
+    some = ["zonk", "vile", "grotty", "kill", "beat", "you", "him", "not", "never", "said", "wrote", *(f"word{c}" for c in "abcdefgh")]
+    for _ in range(3_000):
+        clause = [rng.choice(some) for _ in range(rng.randrange(1, 12))]
+        assert grammar.clause(clause) == read_clause(clause, insults)
+    for _ in range(300):
+        clauses = [[rng.choice(some) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(1, 6))]
+        found = [x for c in clauses if (x := read_clause(["".join(a for a in w if a.isalpha()) for w in c], insults))]
+        wanted = np.zeros(8)
+        if found:
+            total = np.sum(found, axis=0)
+            wanted[:2], wanted[2:] = (1.0, max(f[0] for f in found) / 3), np.log1p([*total[1:], len(found)])
+        assert np.allclose(grammar.features(". ".join(" ".join(c) for c in clauses)), wanted)
+
+
+def test_entries_equal_a_plain_count(spark):
+    rows, labels = labelled(9, 600)
+    docs, known = docs_of(spark, rows), spark.createDataFrame(labels, LABELS)
+    used = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    count, around = {0: Counter(), 1: Counter()}, {}
+    for i, text in rows:
+        if i in used:
+            found = text.split()
+            for e, k in toxicity._entries(found).items():
+                count[used[i]][e] += 1
+                if used[i]:
+                    around.setdefault(e, set()).add((found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
+    toxic = sum(used.values())
+    wanted = toxicity.choose(sorted((e, n, count[0][e], len(around[e])) for e, n in count[1].items() if n >= 4), toxic, len(used) - toxic)
+    from cantora.llm.common import Scratch
+
+    entries, _ = toxicity.fit(docs, known, Scratch(spark))
+    assert wanted and entries == toxicity.SEEDS | wanted
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
