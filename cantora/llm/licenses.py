@@ -1,9 +1,9 @@
 """License scan by conditional compression.
 
-Every word that licenses use is laid on each such word of each template, which gives a window of the text, across lines, of the
-template's length and some words on both sides. Where the window has enough of the template's words, both are compared word by
+Every word that licenses use is laid on the same word of each template (on any such word of a template of one or two), which gives a
+window of the text, across lines, of the template's length and some words on both sides. Where the window has enough of the template's words, both are compared word by
 word, and the template whose words the window holds in order, up to ``missing`` of them and in a span that isn't much longer, is
-confirmed if its raw zstandard dictionary saves bytes of that span. The differences in wording are exact: a run of words of the
+confirmed if its raw zstandard dictionary saves bytes of that span; a template of fewer than EXACT words must stand there as it is. The differences in wording are exact: a run of words of the
 template and the words in the text instead.
 
 Confirmed notices that don't overlap are all reported; of those that do, the one that holds most words. Nulls and empties: a null
@@ -27,20 +27,34 @@ from pyspark.sql import functions as F
 from cantora.llm.common import slices, table, texts
 
 MISSING, CACHE = 0.15, 50_000
+EXACT = 6  # templates of fewer words are found in their wording only
 TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "spdx-")
 PAIRS = {("permission", "is"), ("permission", "to"), ("rights", "reserved"), ("public", "domain"), ("creative", "commons")}
 _MAYBE = re.compile("|".join((*TRIGGERS, *(b if b not in ("is", "to") else a for a, b in sorted(PAIRS)))))
 #: Public notices, fixed values.
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+MIT_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+BSD_CONDITIONS = "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT": "Released under the MIT License.",
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "MIT-text": MIT_GRANT,
+    "MIT-whole-text": MIT_GRANT + " " + MIT_DISCLAIMER,
+    "BSD-2-Clause-text": BSD_CONDITIONS + " " + BSD_DISCLAIMER,
+    "BSD-3-Clause-text": BSD_CONDITIONS + " " + BSD_THIRD + " " + BSD_DISCLAIMER,
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-whole-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-whole-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -92,7 +106,7 @@ class Scanner:
         ops = SequenceMatcher(None, wanted, found, autojunk=False).get_opcodes()
         inside = [o for o in ops if o[0] == "equal"]
         held = sum(o[2] - o[1] for o in inside)
-        if not inside or held < least or inside[-1][4] - inside[0][3] > 1.5 * len(wanted) + 2:
+        if not inside or held < least or inside[-1][4] - inside[0][3] > (1.5 * len(wanted) + 2 if len(wanted) >= EXACT else len(wanted)):
             return None
         changes = [o for o in ops if o[0] != "equal" and not (o[0] == "insert" and (o[4] <= inside[0][3] or o[3] >= inside[-1][4]))]
         return inside[0][3], inside[-1][4], held, "; ".join(f"{' '.join(wanted[o[1] : o[2]]) or '-'} -> {' '.join(found[o[3] : o[4]]) or '-'}" for o in changes)
@@ -103,11 +117,18 @@ class Scanner:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         words = [text[i:j].lower() for i, j in spans]
-        found = {}
+        found: dict[tuple[int, int, int], tuple[int, str]] = {}
+        whole: dict[int, list[tuple[int, int]]] = {}
         for t in triggers_of(words):
-            for k, (_, wanted, _, at, _) in enumerate(self.templates):
+            for k, (_, wanted, bag, at, _) in enumerate(self.templates):
                 n = len(wanted)
-                for p in at:
+                if any(i <= t < j for i, j in whole.get(k, ())):
+                    continue
+                around = Counter(words[max(0, t - 2 * n) : t + 2 * n])
+                if sum((bag & around).values()) < (1 - self.missing) * n:
+                    continue
+                # a notice of many trigger words has some that are unchanged
+                for p in at if len(at) <= 2 else [p for p in at if wanted[p] == words[t]]:
                     # close to the template's length first, so that a stray word before it doesn't stretch it
                     for slack in (0, n // 4 + 1, n // 2 + 1):
                         begin = max(0, t - p - slack)
@@ -116,6 +137,7 @@ class Scanner:
                             i, j, held, changes = one
                             found[begin + i, begin + j, k] = held, changes
                             if held == n:
+                                whole.setdefault(k, []).append((begin + i, begin + j))
                                 break
         ranked = []
         for (i, j, k), (held, changes) in found.items():

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -587,6 +588,57 @@ def test_notices_in_one_long_line():
     assert [x[2] for x in found_licenses(f"{prose} {changed} {prose}")] == ["CC-BY-4.0"]
 
 
+HEADERS = {
+    "MIT-whole-text": f"MIT License\n\nCopyright (c) 2020 Jane Doe\n\n{licenses.MIT_GRANT}\n\n{licenses.MIT_DISCLAIMER}",
+    "BSD-2-Clause-text": f"Copyright (c) 2021, Jane Doe\n{licenses.BSD_CONDITIONS}\n\n{licenses.BSD_DISCLAIMER}",
+    "BSD-3-Clause-text": f"Copyright (c) 2021, Jane Doe\n{licenses.BSD_CONDITIONS}\n\n{licenses.BSD_THIRD}\n\n{licenses.BSD_DISCLAIMER}",
+    "GPL-whole-notice": f"x.py -- does this and that\nCopyright (C) 2019 Jane Doe\n\n{licenses.TEMPLATES['GPL-whole-notice']}",
+    "GPL-notice": licenses.TEMPLATES["GPL-notice"],
+    "LGPL-whole-notice": f"Copyright (C) 2019 Jane Doe\n\n{licenses.TEMPLATES['LGPL-whole-notice']}",
+    "MPL-2.0-notice": licenses.TEMPLATES["MPL-2.0-notice"],
+    "Apache-2.0-notice": f"Copyright 2020 Foo Inc.\n\n{licenses.TEMPLATES['Apache-2.0-notice']}",
+}
+
+
+@pytest.mark.parametrize(("columns", "mark"), [(60, ""), (72, "# "), (66, " * "), (76, "// "), (80, "")])
+def test_headers_of_files(columns, mark):
+    for name, text in HEADERS.items():
+        body = "\n".join(mark + x for part in text.split("\n") for x in (textwrap.wrap(part, columns) or [""]))
+        assert [x[2] for x in found_licenses(f"import os\n{body}\n\ndef f(): return license\n")] == [name]
+    assert found_licenses("All your rights are reserved by us, and the license of the work is lost.") == []
+
+
+def test_notices_equal_all_comparisons():
+    """Every template of up to 45 words on every place of every text, without trigger words, prefilters or ranking."""
+    rng = random.Random(16)
+    some = {k: v for k, v in licenses.TEMPLATES.items() if len(licenses.words_of(v)) <= 45}
+    scanner, names = licenses.Scanner(some), list(some)
+    for _ in range(12):
+        parts = []
+        for _ in range(4):
+            notice = rng.choice(list(some.values())).split(" ")
+            if len(notice) > 8:
+                for _ in range(rng.randrange(3)):
+                    notice[rng.randrange(len(notice))] = rng.choice(["other", "thing", "license"])
+            parts += [" ".join(words(rng, 14)), " ".join(notice)]
+        text = "\n".join([*parts, "the licence of this is not known, and all copyright is with us"])
+        every, low = set(), licenses.words_of(text)
+        for k, name in enumerate(names):
+            n = len(scanner.templates[k][1])
+            for i in range(len(low)):
+                for size in {n, n + n // 4 + 1, n + n // 2 + 1}:
+                    if one := scanner._align(k, tuple(low[i : i + size])):
+                        every.add((name, i + one[0], i + one[1], one[2]))
+        lines_of = []
+        for line, part in enumerate(text.split("\n")):
+            lines_of += [line] * len(licenses.words_of(part))
+        got = scanner.scan(text)
+        spans = [(a, b, name, round(held * len(licenses.words_of(some[name])))) for a, b, name, _, held, _ in got]
+        assert got and all(any(name == x and lines_of[i] == a and held == h for x, i, _, h in every) for a, _, name, held in spans)
+        for name, i, j, held in every:
+            assert any(a <= lines_of[j - 1] and lines_of[i] <= b and h >= held for a, b, _, h in spans), (name, text)
+
+
 def test_digests_of_chat_query(spark, tmp_path):
     rows = [(5, 0, "user", "a\nb"), (5, 1, "assistant", "c")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
