@@ -6,11 +6,13 @@ its longest match in each tree; then all trees ascend together, a bit at a time,
 at their leaves. Distances are exact; every vector is indexed. A query that finds fewer rows than it must is compared with
 all vectors, in blocks of queries.
 
-How many candidates are enough is fitted on a sample of ``fit_rows`` vectors, by brute force for ``probes`` of them: the share
-of all rows at the deepest level where the trees together hold ``recall`` of the true neighbours. At an equal share, recall
-grows with the table, as true neighbours come closer. Vectors without any structure need a large share. Leaves are no deeper
-than two levels above that and hold ``leaf`` rows by the sample; larger ones are dealt out in parts of that size, each of which
-sees the leaf's queries, so that no task holds more.
+How many candidates are enough is fitted on a sample of ``fit_rows`` vectors and on halves and quarters of it, by brute force for
+``probes`` of each: the candidates that the trees together hold at the level, between two whole ones, where they hold
+``recall`` of the true neighbours. A line through the logarithms says how that number grows with the rows, at most in
+proportion. Vectors without any structure need a large share. Leaves are no deeper than two levels above that and hold ``leaf`` rows by
+the sample; larger ones are dealt out in parts of that size, each of which sees the leaf's queries, so that no task holds more.
+Vectors go to the leaves with their strings: a query meets hundreds of rows of a leaf, so vectors fetched for each
+pair of a query and a candidate would be more than a vector for each tree.
 
 Vectors that are equal form one class with its k + 1 smallest ids, so a vector that fills a third of the table is one entry; queries
 with equal vectors are searched once.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from cantora.llm.common import Scratch, slices, table
 
 K, TREES, BITS = 10, 24, 48
-LEAF, FIT_ROWS, PROBES, RECALL = 4_096, 20_000, 300, 0.92
+LEAF, FIT_ROWS, PROBES, RECALL = 4_096, 20_000, 300, 0.94
 BLOCK = 1_000
 
 
@@ -43,7 +45,7 @@ BLOCK = 1_000
 class Forest:
     planes: np.ndarray  # trees x bits x dims
     middles: np.ndarray  # trees x bits
-    share: float  # of all rows, summed over trees
+    want: float  # candidates that are enough, summed over trees
     starts: list[np.ndarray]  # first key of each leaf
     depths: list[np.ndarray]
     parts: list[np.ndarray]
@@ -55,7 +57,7 @@ class Forest:
 
 
 def _enough(sample: np.ndarray, keys: np.ndarray, k: int, probes: int, recall: float) -> tuple[int, float]:
-    """The deepest level at which the trees hold so much of the true neighbours, and the mean share of rows they hold there."""
+    """The deepest level at which the trees hold so much of the true neighbours, and how many rows they hold on the way to the next."""
     n = len(sample)
     probe = np.arange(0, n, max(1, n // probes))
     top = np.zeros((len(probe), min(k, n - 1)), np.int64)  # bits that a neighbour shares in its best tree
@@ -65,16 +67,33 @@ def _enough(sample: np.ndarray, keys: np.ndarray, k: int, probes: int, recall: f
         near = np.argsort(apart, kind="stable")[: top.shape[1]]
         differ = keys[:, near] ^ keys[:, i : i + 1]
         top[row] = (BITS - np.frexp(differ.astype(np.float64))[1]).max(axis=0)
-    level = next((x for x in range(BITS, 0, -1) if (top >= x).mean() >= recall), 0)
-    ordered, share = np.sort(keys, axis=1), 0.0
-    for mine, tree in zip(keys, ordered, strict=True):
-        begin, end = _ranges(tree, mine[probe], np.full(len(probe), level))
-        share += (end - begin).mean() / n
-    return level, share
+    held = [(top >= x).mean() if top.size else 1.0 for x in range(BITS + 1)]
+    level = next((x for x in range(BITS, 0, -1) if held[x] >= recall), 0)
+    ordered = np.sort(keys, axis=1)
+    count = []
+    for x in (level, min(level + 1, BITS)):
+        ranges = [_ranges(tree, mine[probe], np.full(len(probe), x)) for mine, tree in zip(keys, ordered, strict=True)]
+        count.append(max(sum((end - begin).mean() for begin, end in ranges), 1.0))
+    spare = held[level] - held[min(level + 1, BITS)]
+    part = (held[level] - recall) / spare if level and spare > 0 else 0.0
+    return level, float(np.exp((1 - part) * np.log(count[0]) + part * np.log(count[1])))
+
+
+def _grown(sample: np.ndarray, keys: np.ndarray, rows: int, k: int, probes: int, recall: float) -> tuple[int, float]:
+    """The level for the sample, and how many candidates are enough among so many rows."""
+    n = len(sample)
+    level, count = _enough(sample, keys, k, probes, recall)
+    sizes, counts = [n], [count]
+    for m in (n // 2, n // 4):
+        if m > 50 * k:
+            sizes.append(m)
+            counts.append(_enough(sample[:m], keys[:, :m], k, probes, recall)[1])
+    power = np.polyfit(np.log(sizes), np.log(counts), 1)[0] if len(sizes) > 1 else 1.0
+    return level, count * (max(rows, n) / n) ** min(max(power, 0.0), 1.0)
 
 
 def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, k: int = K, probes: int = PROBES, recall: float = RECALL) -> Forest:
-    """Planes, the share of rows that is enough, and leaves, from a sample of the vectors."""
+    """Planes, the number of candidates that is enough, and leaves, from a sample of the vectors."""
     rng = np.random.default_rng(48)
     n, dims = sample.shape
     one, two = rng.integers(0, n, (2, trees, BITS))
@@ -83,7 +102,7 @@ def grow(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, k:
     middles = np.stack([np.median(sample @ p.T, axis=0) for p in planes])
     forest = Forest(planes, middles, 0.0, [], [], [])
     keys = forest.keys(sample)
-    level, forest.share = _enough(sample, keys, k, probes, recall)
+    level, forest.want = _grown(sample, keys, rows, k, probes, recall)
     for tree in np.sort(keys, axis=1):
         starts, depths, parts, todo = [], [], [], [(0, 0)]
         while todo:
@@ -220,7 +239,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, trees:
         return empty
     sample = classes.select("cid", "v").orderBy(F.xxhash64("cid"), "cid").limit(fit_rows).collect()
     forest = grow(np.array([r["v"] for r in sample], np.float64), rows, trees, leaf, k, recall=recall)
-    want = math.ceil(forest.share * rows)
+    want = math.ceil(forest.want)
 
     asked = scratch.keep(valid.where("asks").join(classes.select("v", "cid"), "v").select("cid", F.col("vec_id").alias("query_id")), "asked")
     query = asked.select("cid").distinct().join(classes.select("cid", "v"), "cid")

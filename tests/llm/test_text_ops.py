@@ -398,6 +398,21 @@ def test_forest(spark, leaf):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
 
 
+@pytest.mark.parametrize(("rows", "fit_rows"), [(4_000, 20_000), (6_000, 1_500)])
+def test_forest_without_structure(spark, rows, fit_rows):
+    x = np.random.default_rng(5).standard_normal((rows, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    found = forest.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0, leaf=200, fit_rows=fit_rows).collect()
+    got, hit = {}, 0
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q, mine in got.items():
+        apart = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        apart[q] = np.inf
+        hit += len(mine & set(np.argsort(apart)[:10].tolist()))
+    assert len(got) == rows // 50 and hit >= 0.9 * 10 * len(got)
+
+
 def labelled(seed, n=900):
     rng = random.Random(seed)
     rows, labels = [], []
