@@ -35,10 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written in the shared folder, which cut lineage and survive lost executors.
 
-    free() removes one when nothing reads it any longer; the rest goes when the session's JVM ends.
+    free() removes one when nothing reads it any longer, drop_since() all of the scratches opened since then; the rest goes when the
+    session's JVM ends.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
+        self.opened.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cantora-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
@@ -62,6 +66,13 @@ class Scratch:
         """df written, then as bounded() gives it."""
         return bounded(self.keep(df, name))
 
+    @classmethod
+    def drop_since(cls, mark: int) -> None:
+        """Removes what scratches hold that were opened after the first ``mark`` ones."""
+        for scratch in cls.opened[mark:]:
+            scratch._fs().delete(scratch._path(scratch.root), True)
+        del cls.opened[mark:]
+
     def free(self, *tables: DataFrame) -> None:
         for df in tables:
             path = getattr(df, "_cantora_path", None)
