@@ -8,23 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantora.llm import decontamination, lines, minhash, packing, quality
-from cantora.llm.common import Scratch, bounded, table
+from cantora.llm.common import Scratch, bounded, fresh, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    return quality.score_quality(docs, table(spark, sf_dir, "labels")).where(F.col("_quality") >= quality.CUT).drop("_quality")
+    (name,) = fresh(docs, "_quality")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels")).where(F.col(name) >= quality.CUT).drop(name)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those of which every line stands in another document go.
+    """Documents without recurring lines; those of which nothing but blank lines is left go.
 
     Long lines need as many documents as others here: near-copies would come to the next stage as pieces that it can't know."""
-    out = lines.drop_recurring_lines(docs, long_docs=lines.MIN_DOCS).where((F.col("_n_dropped") == 0) | (F.col("_n_dropped") < F.col("_n_lines"))).drop("_n_lines", "_n_dropped")
+    (dropped,) = fresh(docs, "_n_dropped")
+    out = lines.drop_recurring_lines(docs, long_docs=lines.MIN_DOCS).where((F.col(dropped) == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
@@ -32,19 +34,21 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; of rows that repeat a doc_id and a text, one."""
     found = Scratch(spark).keep(minhash.near_rows(docs), "near")
     rows, different = found.agg(F.count("*"), F.countDistinct(F.struct("doc_id", "text_key"))).first()
-    drop = bounded(found.where("not head").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
+    d, t, key = fresh(docs, "_d", "_t", "_key")
+    drop = bounded(found.where("not head").select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t))
     out = docs.join(drop, same, "left_anti").select(*docs.columns)
     if rows > different:
-        out = out.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+        out = out.withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
     return out
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a contaminated window."""
-    found = decontamination.contaminated_windows(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
+    d, t = fresh(docs, "_d", "_t")
+    found = decontamination.contaminated_windows(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
     found = bounded(Scratch(spark).keep(found, "contaminated"))
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's input goes, with what the stage wrote meanwhile, as soon as its result is written."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before, mark = docs, len(Scratch.opened)
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.drop_since(mark)
+        scratch.free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
