@@ -10,8 +10,8 @@ A line is recurring by itself if it alone stands in so many; lines of fewer than
 documents and if they have no variable field, so that tables of numbers stay.
 
 Which lines are similar depends on no other line, so neither the order nor the number of a leaf's lines changes a template. Similar
-lines meet without a product: of the places after the leading ones, cut into one piece more than may differ, they agree on one (into
-two more, they agree on two). Lines that share such places form a group, in which each looks for its hub. All lines of a group with
+lines meet without a product: of the places after the leading ones, cut into one piece more than may differ, they agree on one.
+Lines that share such places form a group, in which each looks for its hub. All lines of a group with
 few other places are similar, and their hub is a minimum. Of other groups of more than ``group`` lines, all lines are compared with
 the most frequent first; those that aren't similar to it are compared with the rest in blocks, and no task holds more than a block.
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -81,14 +81,12 @@ def may_differ(n: int, similar: float) -> int:
 
 @cache
 def _runs(n: int, similar: float) -> list[list[int]]:
-    """Places of a line of n tokens: two similar lines of a leaf agree on all places of one of these. None if no place may differ.
-
-    The places after the leading ones are cut into one piece more than may differ, and if few may, into two more, of which two agree."""
+    """Places of a line of n tokens, the ones after the leading ones cut into one piece more than may differ: two similar lines of a leaf
+    agree on one of these. None if no place may differ."""
     differ = may_differ(n, similar)
-    pick = 2 if differ <= 4 else 1
-    first, pieces = min(LEAD, n), differ + pick
-    cuts = [first + (n - first) * k // pieces for k in range(pieces + 1)]
-    return [[i for k in some for i in range(cuts[k], cuts[k + 1])] for some in combinations(range(pieces), pick)] if differ else []
+    first = min(LEAD, n)
+    cuts = [first + (n - first) * k // (differ + 1) for k in range(differ + 2)]
+    return [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)] if differ else []
 
 
 _DEALT = "key long, solid boolean, leaf long, line long, n long, tokens binary"
@@ -292,7 +290,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens:
     drops = drops.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("n").alias(gone), F.expr("transform(sequence(0, w), i -> coalesce(try_element_at(m, i), 0L))").alias(bits))
     drops = scratch.keep(drops, "drops")
     scratch.free(marks, recurring)
-    joined = docs.join(bounded(drops), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left")
+    # by a shuffle at every size: what is dropped grows with the documents
+    joined = docs.join(drops.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left")
     split = F.split(F.col("text").cast("string"), "\n")
     kept = F.expr(f"filter(split(cast(text as string), '\\n'), (x, i) -> coalesce(shiftrightunsigned(get(`{bits}`, cast(i div 64 as int)), cast(i % 64 as int)) & 1L, 0L) = 0L)")
     text = F.when(F.col(bits).isNull(), F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
