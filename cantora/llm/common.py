@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: What a broadcast table may hold, by its values, before Spark's own overhead of some 40 bytes a row.
 BROADCAST_BYTES = 16 << 20
+#: Rows of an Arrow batch: whole documents or shingle sets, held by the JVM and a Python worker at once.
+ARROW_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.opened.append(self)
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cantora-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}

@@ -34,7 +34,7 @@ from cantora.llm.common import Scratch, bounded, slices, table, texts
 BANDS, ROWS, BATCH = 50, 5, 25
 MISS = 1e-6
 WORDS = 5
-CACHE = 400_000
+CACHE = 150_000
 BLOCK = 2_000
 BLOCK_MB = 2
 LOCAL_EDGES = 1_000_000
