@@ -121,8 +121,8 @@ def overall_score(f1: Column, pitch: Column, chroma: Column, polyphony: Column,
     return 0.30 * f1 + 0.25 * pitch + 0.20 * chroma + 0.15 * polyphony + 0.10 * rhythm
 
 
-def sequence_code(values: Column, base: int = 64) -> Column:
-    """Integers as characters, so that levenshtein compares sequences."""
+def sequence_code(values: Column, base: int = 128) -> Column:
+    """Integers from -127 to 127 as characters, so that levenshtein compares sequences."""
     return F.array_join(F.transform(values, lambda v: F.chr(v + base)), "")
 
 

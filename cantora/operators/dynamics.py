@@ -61,9 +61,15 @@ def following_mean(frames: DataFrame, value: str, name: str, width: int = 10) ->
     return frames.withColumn(name, F.avg(value).over(order.rowsBetween(0, width - 1)))
 
 
+def resonance(frames: DataFrame, name: str = "resonance") -> DataFrame:
+    """Mean of the z-scores of centroid and rolloff."""
+    both = zscore(zscore(frames, "centroid", "_c"), "rolloff", "_r")
+    return both.withColumn(name, (F.col("_c") + F.col("_r")) / 2).drop("_c", "_r")
+
+
 def refine_pedal(events: DataFrame, frames: DataFrame, sr: int = 22_050, hop: int = 512, least: float = -0.5, width: int = 10) -> DataFrame:
-    """Downs stay where the mean z-score of resonance over the next frames is above ``least``, or the file ends too soon to tell."""
-    z = following_mean(zscore(frames, "resonance", "_z"), "_z", "_mean", width)
+    """Downs stay where the mean resonance over the next frames is above ``least``, or the file ends too soon to tell."""
+    z = following_mean(frames, "resonance", "_mean", width)
     last = frames.groupBy("file_id").agg(F.max("frame").alias("_last"))
     rows = events.join(last, "file_id").withColumn("frame", M.nearest_frame(F.col("t"), F.col("_last"), sr, hop))
     rows = rows.join(z.select("file_id", "frame", "_mean"), ["file_id", "frame"], "left")

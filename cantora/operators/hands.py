@@ -41,7 +41,7 @@ class Hand:
         flow = sum(w * s for w, s in zip(weights, steps, strict=True)) / sum(weights)
         wide = 50.0 if max(*recent, pitch) - min(*recent, pitch) > span else 0.0
         loud = 10 * (1 - velocity / 127) if self.right else 10 * velocity / 127
-        across = 5.0 if (pitch < split) == self.right and pitch != split else 0.0
+        across = 5.0 if (pitch < split) == self.right else 0.0
         return w_continuity * flow + wide + w_velocity * loud + (1 - w_continuity - w_velocity) * (away + across)
 
 

@@ -77,6 +77,19 @@ def progression_summary(chords: DataFrame) -> DataFrame:
     return chords.groupBy("file_id").agg(F.count("*").alias("total"), F.countDistinct("name").alias("distinct")).join(top, "file_id")
 
 
+def progression_text(chords: DataFrame) -> DataFrame:
+    """file_id, text: chords by measure with their note names, then totals and the three commonest."""
+    rule = "\u2500" * 60
+    spelled = F.concat_ws(", ", F.transform("notes", lambda p: F.element_at(F.array(*(F.lit(n) for n in M.NOTE_NAMES)), (p % 12).cast("int") + 1)))
+    lines = chords.select("file_id", "name", M.measure(F.col("t")).alias("measure"), F.struct("t", F.concat(F.lit("  "), F.rpad("name", F.greatest(F.length("name"), F.lit(12)), F.lit(" ")), F.lit(" ("), spelled, F.lit(")")).alias("line")).alias("x"))
+    measures = lines.groupBy("file_id", "measure").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"])).alias("body"), F.count("*").alias("n"))
+    body = measures.groupBy("file_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("measure", "body"))), lambda x: F.concat(F.lit("\nMeasure "), x["measure"].cast("string"), F.lit(":\n"), x["body"]))).alias("body"))
+    top = top_chords(chords).groupBy("file_id").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "n"))), lambda x: F.format_string("%s(%dx)", x["name"], x["n"]))).alias("top"))
+    total = chords.groupBy("file_id").agg(F.count("*").cast("string").alias("total"), F.countDistinct("name").cast("string").alias("unique"))
+    text = F.concat_ws("\n", F.lit("Chord Progression Detected:"), F.lit(rule), "body", F.lit(rule), F.concat(F.lit("Total chords: "), "total"), F.concat(F.lit("Unique chords: "), "unique"), F.concat(F.lit("Most frequent: "), "top"))
+    return body.join(total, "file_id").join(top, "file_id").select("file_id", text.alias("text"))
+
+
 def normalised(notes: Column, octave: int = 4) -> Column:
     """Distinct pitch classes in one octave, moved by octaves into the piano's range."""
     base = 12 * (octave + 1)

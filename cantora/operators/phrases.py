@@ -51,8 +51,16 @@ def similar_pairs(top: DataFrame, least: float = 0.75) -> DataFrame:
 def leader_groups(top: DataFrame, least: float = 0.75, min_frequency: int = 1) -> DataFrame:
     """In rank order, a pattern that is in no group leads one, of all later free patterns similar to it. Greedy, so a grouped
     function over a file's top patterns (100 at most): file_id, leader, members, frequency."""
-    pairs = similar_pairs(top, least).groupBy("file_id").agg(F.collect_list(F.struct("rank_a", "rank_b")).alias("pairs"))
-    rows = top.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cnt"))).alias("top")).join(pairs, "file_id", "left")
+    return _led(top, least, min_frequency).select("file_id", "leader", "members", "frequency")
+
+
+def _led(top: DataFrame, least: float, min_frequency: int) -> DataFrame:
+    """leader_groups() with the leader's len, ivs, rhythm and p0. A file's patterns become one row, so top is computed once."""
+    rows = top.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cnt", "len", "p0", "ivs", "rhythm"))).alias("top"))
+    alike = lambda a: F.filter(F.col("top"), lambda b: (b["rank"] > a["rank"]) & (b["len"] == a["len"]) & (similarity(a["ivs"], b["ivs"]) >= least))
+    rows = rows.withColumn("pairs", F.flatten(F.transform("top", lambda a: F.transform(alike(a), lambda b: F.struct(a["rank"].alias("rank_a"), b["rank"].alias("rank_b"))))))
+    schema = pa.schema([("file_id", pa.int32()), ("leader", pa.int32()), ("members", pa.int32()), ("frequency", pa.int64()), ("len", pa.int32()), ("p0", pa.int32()), ("ivs", pa.list_(pa.int32())), ("rhythm", pa.list_(pa.int32()))])
+    kinds = {f.name: f.dataType.simpleString() for f in top.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,6 +69,7 @@ def leader_groups(top: DataFrame, least: float = 0.75, min_frequency: int = 1) -
                 near: dict[int, list[int]] = {}
                 for x in pairs or ():
                     near.setdefault(x["rank_a"], []).append(x["rank_b"])
+                by_rank = {x["rank"]: x for x in top}
                 count, taken = {x["rank"]: x["cnt"] for x in top}, set()
                 for rank in count:
                     if rank not in taken:
@@ -68,11 +77,11 @@ def leader_groups(top: DataFrame, least: float = 0.75, min_frequency: int = 1) -
                         taken.update(group)
                         total = sum(count[r] for r in group)
                         if total >= min_frequency:
-                            out.append((file_id, rank, len(group), total))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["file_id", "leader", "members", "frequency"])
+                            x = by_rank[rank]
+                            out.append({"file_id": file_id, "leader": rank, "members": len(group), "frequency": total, "len": x["len"], "p0": x["p0"], "ivs": x["ivs"], "rhythm": x["rhythm"]})
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.select("file_id", "top", "pairs").mapInArrow(run, "file_id int, leader int, members int, frequency long")
+    return rows.select("file_id", "top", "pairs").mapInArrow(run, f"file_id int, leader int, members int, frequency long, len int, p0 int, ivs array<int>, rhythm {kinds['rhythm']}")
 
 
 def score(freq: Column, ivs: Column, rhythm: Column, p0: Column) -> Column:
@@ -92,8 +101,7 @@ def score(freq: Column, ivs: Column, rhythm: Column, p0: Column) -> Column:
 
 def best_phrases(notes: DataFrame, n: int = 5, k: int = 100) -> DataFrame:
     """file_id, rank, score, frequency, len, p0, ivs and pattern_type of the best groups."""
-    top = top_patterns(pattern_counts(frames(notes)), k)
-    groups = leader_groups(top).join(top.withColumnRenamed("rank", "leader"), ["file_id", "leader"])
+    groups = _led(top_patterns(pattern_counts(frames(notes)), k), 0.75, 1)
     groups = groups.withColumn("score", F.round(score(F.col("frequency"), F.col("ivs"), F.col("rhythm"), F.col("p0")), 6))
     order = Window.partitionBy("file_id").orderBy(F.desc("score"), "leader")
     kind = F.when(F.col("members") == 1, "exact").otherwise("similar")
@@ -104,3 +112,10 @@ def first_occurrence(notes: DataFrame, patterns: DataFrame) -> DataFrame:
     """First place of a pattern's start pitch and intervals, rhythm ignored, at all places: patterns (file_id, rank, len, p0, ivs)."""
     all_places = frames(notes, step=1).select("file_id", "len", "p0", "ivs", "pos")
     return patterns.join(all_places, ["file_id", "len", "p0", "ivs"]).groupBy("file_id", "rank").agg(F.min("pos").alias("pos"))
+
+
+def phrase_notes(notes: DataFrame, best: DataFrame) -> DataFrame:
+    """Notes of the first occurrence of each phrase (file_id, rank, len, p0, ivs): notes and rank."""
+    at = first_occurrence(notes, best).join(best.select("file_id", "rank", "len"), ["file_id", "rank"])
+    nth = (F.row_number().over(Window.partitionBy("file_id").orderBy("start_tick", "note_id")) - 1).alias("_nth")
+    return notes.select("*", nth).join(at, "file_id").where("_nth between pos and pos + len - 1").drop("_nth", "pos", "len")

@@ -66,6 +66,15 @@ def pitch_accuracy(notes: DataFrame) -> DataFrame:
     return notes.select("file_id").distinct().withColumn("pitch", F.lit(0.85))
 
 
+def report(scores: DataFrame) -> DataFrame:
+    """file_id, text of the five measures, the overall score and its rating, of what overall() gives."""
+    rule = "\u2500" * 37
+    line = lambda title, value: F.format_string(f"{title + ':':<23}%.1f%%", 100 * F.col(value))
+    parts = [line("Onset F1 Score", "f1"), line("Pitch Accuracy", "pitch"), line("Spectral Similarity", "chroma"), line("Polyphony Score", "polyphony"), line("Rhythmic Precision", "rhythm")]
+    text = F.concat_ws("\n", F.lit("Quality Report:"), F.lit(rule), *parts, F.lit(rule), line("Overall Quality", "score"), F.concat(F.lit("Rating: "), "rating"))
+    return scores.select("file_id", text.alias("text"))
+
+
 def overall(f1: DataFrame, pitch: DataFrame, chroma: DataFrame, poly: DataFrame, rhythm: DataFrame) -> DataFrame:
     """One row a file: the five measures, their weighted sum and its rating."""
     rows = f1.select("file_id", "f1").join(pitch, "file_id", "full").join(chroma, "file_id", "full").join(poly.select("file_id", F.col("score").alias("polyphony")), "file_id", "full").join(rhythm, "file_id", "full")

@@ -8,6 +8,7 @@ The recording's onset strength, tempo and chroma are plain spectral approximatio
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -166,20 +167,26 @@ def frames(audio: DataFrame, hop: int = HOP, spectra: bool = False) -> DataFrame
 
 
 def band_energy(frames: DataFrame, notes: DataFrame, sr: int = SR) -> DataFrame:
-    """Mean dB of the ten bins around each note's pitch in its onset frame (all bins beyond the last): note_id, energy."""
-    bin_ = F.floor(440 * F.pow(F.lit(2.0), (F.col("pitch") - 69) / 12) * N_FFT / sr).cast("int")
+    """Mean dB of the bins around each note's pitch in its onset frame, from five below the nearest to four above (all bins beyond the
+    last frame): note_id, energy."""
+    bin_ = F.least(F.ceil(440 * F.pow(F.lit(2.0), (F.col("pitch") - 69) / 12) * N_FFT / sr - 0.5), F.lit(N_FFT // 2)).cast("int")
     rows = notes.select("note_id", "file_id", F.floor(F.col("start_s") * sr / HOP).cast("long").alias("frame"), bin_.alias("bin"))
     last = frames.groupBy("file_id").agg(F.max("frame").alias("last"), F.max(F.array_max("mag")).alias("top"))
     rows = rows.join(last, "file_id").withColumn("past", F.col("frame") > F.col("last")).withColumn("frame", F.least("frame", "last"))
     rows = rows.join(frames.select("file_id", "frame", "mag"), ["file_id", "frame"])
-    part = F.when(F.col("past"), F.col("mag")).otherwise(F.slice("mag", F.greatest(F.col("bin") - 4, F.lit(1)), F.lit(10)))
+    part = F.when(F.col("past"), F.col("mag")).otherwise(F.slice("mag", F.greatest(F.col("bin") - 5, F.lit(0)) + 1, F.col("bin") + 5 - F.greatest(F.col("bin") - 5, F.lit(0))))
     db = F.transform(part, lambda m: F.greatest(20 * F.log10(F.greatest(m.cast("double"), F.lit(1e-5)) / F.greatest(F.col("top").cast("double"), F.lit(1e-5))), F.lit(-80.0)))
     return rows.select("note_id", (F.aggregate(db, F.lit(0.0), lambda s, v: s + v) / F.size(db)).alias("energy"))
 
 
-def separate(audio: DataFrame, backend: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Source separation by a backend; the recording itself without one."""
-    return backend(audio) if backend else audio
+def available(*modules: str) -> bool:
+    """Whether a backend's modules can be imported."""
+    return all(importlib.util.find_spec(m) is not None for m in modules)
+
+
+def separate(audio: DataFrame, backend: Callable[[DataFrame], DataFrame] | None = None, needs: tuple[str, ...] = ()) -> DataFrame:
+    """Source separation by a backend; the recording itself without one, or where what it needs is missing."""
+    return backend(audio) if backend and available(*needs) else audio
 
 
 def transcribe(audio: DataFrame, onset: float = 0.5, min_ms: float = 127.7, low: int = 21, high: int = 108, backend: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cantora.functions import music as M
 from cantora.operators import cleaning, dynamics, hands, harmony, pairing, phrases, scoring, signal, temporal
 from cantora.plans import flows
-from cantora.sources import events, smf, wav
+from cantora.sources import events, layout, smf, wav
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -406,6 +406,21 @@ def _(spark, d):
     return harmony.progression_summary(harmony.identify_chords(notes_of(spark, d)))
 
 
+@query(
+    "progression_text",
+    """, nm as (select unnest({names}) as n, unnest(range(12)) as pc), sp as (select file_id, t, name, string_agg(nm.n, ', ' order by u.p) as spelled from (select file_id, t, name, unnest(notes) as p from chords) u join nm on nm.pc = u.p % 12 group by file_id, t, name),
+    ms as (select file_id, t // 880 + 1 as m, string_agg('  ' || name || repeat(' ', greatest(0, 12 - len(name))) || ' (' || spelled || ')', chr(10) order by t) as body from sp group by 1, 2),
+    bd as (select file_id, string_agg(chr(10) || 'Measure ' || cast(m as bigint) || ':' || chr(10) || body, chr(10) order by m) as body from ms group by file_id),
+    tot as (select file_id, count(*) as total, count(distinct name) as uniq from chords group by file_id),
+    tops as (select file_id, string_agg(name || '(' || n || 'x)', ', ' order by rank) as top from t3 where rank <= 3 group by file_id)
+    select file_id, 'Chord Progression Detected:' || chr(10) || repeat(chr(9472), 60) || chr(10) || body || chr(10) || repeat(chr(9472), 60) || chr(10) || 'Total chords: ' || total || chr(10) || 'Unique chords: ' || uniq || chr(10) || 'Most frequent: ' || top as text
+    from bd join tot using (file_id) join tops using (file_id)""".replace("{names}", str(M.NOTE_NAMES)),
+    _CHORDS + _TOP3,
+)
+def _(spark, d):
+    return harmony.progression_text(harmony.identify_chords(notes_of(spark, d)))
+
+
 _DURS = ", durs as (select *, coalesce(lead(t) over (partition by file_id order by t) - t, 880) as dur from chords), normal as (select *, list_sort(list_distinct(list_transform(notes, lambda x: x % 12 + 60))) as p from durs), voiced as (select *, unnest(p) as pitch, unnest(range(len(p))) as pos from normal)"
 
 
@@ -547,6 +562,17 @@ def _(spark, d):
     return flows.quality(notes_of(spark, d)).select("file_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "quality_report",
+    """, vals as (select *, 0.30 * f1 + 0.25 * 0.85 + 0.20 * 0 + 0.15 * p + 0.10 * rhythm as s from prf join pl using (file_id) join rhythm using (file_id))
+    select file_id, 'Quality Report:' || chr(10) || repeat(chr(9472), 37) || chr(10) || printf('Onset F1 Score:        %.1f%%', 100 * f1) || chr(10) || 'Pitch Accuracy:        85.0%' || chr(10) || 'Spectral Similarity:   0.0%' || chr(10) || printf('Polyphony Score:       %.1f%%', 100 * p::double)
+      || chr(10) || printf('Rhythmic Precision:    %.1f%%', 100 * rhythm) || chr(10) || repeat(chr(9472), 37) || chr(10) || printf('Overall Quality:       %.1f%%', 100 * s) || chr(10) || 'Rating: ' || case when s >= 0.9 then 'Excellent' when s >= 0.75 then 'Good' when s >= 0.6 then 'Fair' else 'Poor' end as text from vals""",
+    _ONSETS + _PRF + _RHYTHM + _GRID + _OVERALL,
+)
+def _(spark, d):
+    return scoring.report(flows.quality(notes_of(spark, d)))
+
+
 @query("rating_bucket", " select file_id, case when score >= 0.9 then 'Excellent' when score >= 0.75 then 'Good' when score >= 0.6 then 'Fair' else 'Poor' end as rating from ov", _ONSETS + _PRF + _RHYTHM + _GRID + _OVERALL)
 def _(spark, d):
     return flows.quality(notes_of(spark, d)).select("file_id", "rating")
@@ -751,8 +777,38 @@ def _(spark, d):
     return phrases.first_occurrence(notes, top)
 
 
-QUERIES["phrase_leader_groups"] = lambda spark, d: phrases.leader_groups(phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes_of(spark, d)))))
-QUERIES["best_phrases"] = lambda spark, d: phrases.best_phrases(notes_of(spark, d)).withColumn("ivs", F.array_join("ivs", " "))
+# The leaders so far of each file, rank by rank; a pattern joins the first of them that is similar.
+_LED = """, cd as (select file_id, len, rank, array_to_string(list_transform(ivs, lambda v: chr(64 + v)), '') as code from top),
+alike as (select a.file_id, b.rank, list(a.rank) as before from cd a join cd b on a.file_id = b.file_id and a.len = b.len and a.rank < b.rank and 1 - levenshtein(a.code, b.code) / (a.len - 1) >= 0.75 group by all),
+walk as (
+  select file_id, 1 as rank, [1] as leaders, 1 as leader from top where rank = 1 union all
+  select w.file_id, w.rank + 1, case when list_min(list_intersect(w.leaders, coalesce(k.before, []))) is null then list_append(w.leaders, w.rank + 1) else w.leaders end,
+    coalesce(list_min(list_intersect(w.leaders, coalesce(k.before, []))), w.rank + 1)
+  from walk w join top t on t.file_id = w.file_id and t.rank = w.rank + 1 left join alike k on k.file_id = w.file_id and k.rank = w.rank + 1
+), led as (select file_id, leader::int as leader, count(*)::int as members, sum(cnt)::bigint as frequency from walk join top using (file_id, rank) group by file_id, leader)"""
+_SCORED = """, x as (select *, len(ivs) as k, list_transform(range(0, len(ivs) + 1), lambda i: coalesce(list_sum(ivs[1:i]), 0)) as path, len(list_filter(ivs, lambda v: v = 0)) / len(ivs) as rep, len(list_filter(ivs, lambda v: abs(v) <= 2)) / len(ivs) as st
+  from led join (select * exclude (cnt), rank as leader from top) using (file_id, leader)),
+y as (select *, k + 1 as n, list_max(path) - list_min(path) as w from x),
+z as (select *, round(greatest(0, 2 * ln(1 + frequency) + 5 * least(n / 12, 12 / n) + case when n < 6 then -8 when n < 8 then -3 else 0 end + case when n between 10 and 16 then 3 when n between 8 and 20 then 1.5 else 0 end
+  + 2.5 * (1 - abs(st - 0.7)) - case when rep > 0.5 then 3 when rep > 0.3 then 1 else 0 end + 1.5 * least(len(list_distinct(rhythm)) / 3, 1) + case when w >= 3 then 2 * least(w / 12, 1) else -1 end + case when p0 < 36 or p0 > 84 then -1 else 0 end), 6) as score from y),
+b as (select *, row_number() over (partition by file_id order by score desc, leader)::int as place from z)"""
+
+
+@query("phrase_leader_groups", " recursive:select file_id, leader, members, frequency from led", _NGRAM + _TOP + _LED)
+def _(spark, d):
+    return phrases.leader_groups(phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes_of(spark, d)))))
+
+
+@query("best_phrases", " recursive:select file_id, place as rank, score, frequency, len, p0, array_to_string(ivs, ' ') as ivs, case when members = 1 then 'exact' else 'similar' end as pattern_type from b where place <= 5", _NGRAM + _TOP + _LED + _SCORED)
+def _(spark, d):
+    return phrases.best_phrases(notes_of(spark, d)).withColumn("ivs", F.array_join("ivs", " "))
+
+
+@query("ngram_count_all", " select file_id, len, array_to_string(ivs, ' ') as ivs, p0, array_to_string(rhythm, ' ') as rhythm, cnt, first_pos from cn", _NGRAM.replace("range(0, n - len + 1, case when n > 500 then 2 else 1 end)", "range(0, n - len + 1)"))
+def _(spark, d):
+    rows = phrases.pattern_counts(phrases.frames(notes_of(spark, d), step=1))
+    return rows.select("file_id", "len", F.array_join("ivs", " ").alias("ivs"), "p0", F.array_join("rhythm", " ").alias("rhythm"), "cnt", "first_pos")
+
 
 
 # Scalar functions
@@ -780,10 +836,70 @@ def _audio(spark, d):
     return signal.render_chunks(seconds_of(notes_of(spark, d)))
 
 
-QUERIES["smf_roundtrip"] = lambda spark, d: smf.messages(smf.write(pairing.note_events(notes_of(spark, d)).where("pitch >= 0"))).groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.max("abs_tick").alias("last_tick"))
+@query(
+    "smf_roundtrip",
+    """, k as (select file_id, 'note_on' as kind, count(*) as n, max(start_tick) as last_tick from notes group by file_id union all select file_id, 'note_off', count(*), max(end_tick) from notes group by file_id
+      union all select file_id, 'set_tempo', 1, 0 from notes group by file_id union all select file_id, 'end_of_track', count(distinct track), max(end_tick) from notes group by file_id)
+    select file_id, kind, n, last_tick from k""",
+)
+def _(spark, d):
+    back = smf.messages(smf.write(pairing.note_events(notes_of(spark, d))))
+    return back.groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.max("abs_tick").alias("last_tick"))
+
+
+@query(
+    "chord_files",
+    """, v as (select file_id, t as s, t + greatest(dur, 220) as e from voiced)
+    select file_id, 'note_on' as kind, count(*) as n, max(s) as last_tick from v group by file_id union all select file_id, 'note_off', count(*), max(e) from v group by file_id
+    union all select file_id, unnest(['set_tempo', 'time_signature', 'track_name']), 1, 0 from v group by file_id union all select file_id, 'end_of_track', 1, max(e) from v group by file_id""",
+    _CHORDS + _DURS,
+)
+def _(spark, d):
+    files = smf.write_chords(harmony.voicing(harmony.identify_chords(notes_of(spark, d)), "block"), tpb=M.TICKS_PER_BEAT)
+    return smf.messages(files).groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.max("abs_tick").alias("last_tick"))
+
+
+@query(
+    "phrase_files",
+    """recursive:, occ as (select file_id, min(g.pos) as pos, any_value(len) as len from b join (select file_id, unnest(range(0, n - len + 1)) as pos, len, p, n from (select *, unnest(range(8, 21)) as len from arr) where len < n) g using (file_id, len)
+      where place = 1 and g.p[g.pos + 1] = b.p0 and list_transform(range(1, len), lambda i: g.p[g.pos + i + 1] - g.p[g.pos + i]) = b.ivs group by file_id),
+    nt as (select *, row_number() over (partition by file_id order by start_tick, note_id) - 1 as nth from notes),
+    ph as (select file_id, start_tick - min(start_tick) over (partition by file_id) as s, end_tick - min(start_tick) over (partition by file_id) as e from nt join occ using (file_id) where nth between pos and pos + len - 1)
+    select file_id, 'note_on' as kind, count(*) as n, max(s) as last_tick from ph group by file_id union all select file_id, 'note_off', count(*), max(e) from ph group by file_id
+    union all select file_id, unnest(['track_name', 'set_tempo']), 1, 0 from ph group by file_id union all select file_id, 'end_of_track', 1, max(e) from ph group by file_id""",
+    _NGRAM + _TOP + _LED + _SCORED,
+)
+def _(spark, d):
+    notes = notes_of(spark, d)
+    files = smf.write_phrases(phrases.phrase_notes(notes, phrases.best_phrases(notes, 1)), "file_id")
+    return smf.messages(files).groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.max("abs_tick").alias("last_tick"))
+
+
+@query(
+    "output_paths",
+    " select note_id, 'out/midi/chords/' || event_type || '.' || pitch || '_chords.mid' as chords, 'out/phrases/' || event_type || '.' || pitch || '.mid' as phrases from notes",
+)
+def _(spark, d):
+    stem = layout.stem(F.concat(F.lit("in/songs/"), "event_type", F.lit("."), F.col("pitch").cast("string"), F.lit(".mp3")))
+    return notes_of(spark, d).select("note_id", layout.output_path("chords", stem, "out").alias("chords"), layout.output_path("phrases", stem, "out").alias("phrases"))
+
+
 QUERIES["synth_render"] = lambda spark, d: _audio(spark, d).groupBy("file_id", "sr").agg(F.sum("samples").alias("samples"), F.round(F.max(F.array_max(F.slice("y", F.col("lead") + 1, F.col("samples").cast("int")))).cast("double"), 4).alias("peak"))
 QUERIES["wav_frames"] = lambda spark, d: signal.frames(_audio(spark, d)).groupBy("file_id").agg(F.count("*").alias("frames"), F.round(F.max("rms"), 6).alias("rms"))
 QUERIES["peak_pick"] = lambda spark, d: hands.peaks(dynamics.peak_threshold(frames_of(spark, d)))
-QUERIES["pedal_refine_audio"] = lambda spark, d: dynamics.refine_pedal(dynamics.detect_pedal(_long_seconds(notes_of(spark, d))), frames_of(spark, d).withColumn("resonance", F.col("rms")), sr=1, hop=1)
+@query(
+    "pedal_refine_audio",
+    """, zs as (select file_id, frame, ((rms - avg(rms) over w) / (stddev_pop(rms) over w + 1e-8) + (velocity - avg(velocity) over w) / (stddev_pop(velocity) over w + 1e-8)) / 2 as z from frames window w as (partition by file_id)),
+    fm as (select file_id, frame, avg(z) over (partition by file_id order by frame rows between current row and 9 following) as m, max(frame) over (partition by file_id) as last from zs),
+    k as (select *, lead(t) over w as nx, lag(t) over w as pv, lag(down) over w as was, count(*) over (partition by file_id) as c from fin window w as (partition by file_id order by t)),
+    ev as (select file_id, t, down from k where c < 2 or not (coalesce(down and nx - t < 0.5, false) or coalesce(not down and was and t - pv < 0.5, false)))
+    select ev.file_id, round(t, 6) as t, down from ev join fm on fm.file_id = ev.file_id and fm.frame = least(greatest(ceil(t - 0.5), 0), fm.last) where not down or fm.frame >= fm.last - 9 or m > -0.5""",
+    _PEDAL + _FRAMES,
+)
+def _(spark, d):
+    frames = dynamics.resonance(frames_of(spark, d).withColumnsRenamed({"rms": "centroid", "velocity": "rolloff"}))
+    return dynamics.refine_pedal(dynamics.detect_pedal(_long_seconds(notes_of(spark, d))), frames, sr=1, hop=1).withColumn("t", F.round("t", 6))
+
+
 QUERIES["transcribe_backend"] = lambda spark, d: signal.transcribe(signal.separate(_audio(spark, d)))
 QUERIES["band_energy"] = lambda spark, d: signal.band_energy(signal.frames(_audio(spark, d), spectra=True), seconds_of(notes_of(spark, d))).withColumn("energy", F.round("energy", 4))

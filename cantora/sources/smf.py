@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 META = {0x03: "track_name", 0x2F: "end_of_track", 0x51: "set_tempo", 0x58: "time_signature", 0x59: "key_signature"}
 KINDS = {0x8: "note_off", 0x9: "note_on", 0xA: "polytouch", 0xB: "control_change", 0xC: "program_change", 0xD: "aftertouch", 0xE: "pitchwheel"}
@@ -47,7 +48,10 @@ def parse(content: bytes) -> Iterator[dict]:
             tick, seq = tick + delta, seq + 1
             row = {"tpb": tpb, "track": track, "seq": seq, "delta": delta, "abs_tick": tick}
             if data[i] >= 0x80:
-                status, i = data[i], i + 1
+                # metas and sysex leave the running status as it is
+                running, status, i = status if status < 0xF0 else running, data[i], i + 1
+            elif status >= 0xF0:
+                status = running
             if status == 0xFF:
                 kind, (n, j) = data[i], _number(data, i + 1)
                 body, i = data[j : j + n], j + n
@@ -110,3 +114,36 @@ def write(events: DataFrame, tpb: int = 220, tempo: int = 500_000, rebase: bool
         return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "content": [build(tracks, tpb)]})
 
     return events.select("file_id", "track", "seq", "delta", "pitch", "velocity", "is_off").groupBy("file_id").applyInPandas(run, "file_id int, content binary")
+
+
+def meta(kind: int, body: bytes) -> bytes:
+    return b"\xff" + bytes([kind]) + number(len(body)) + body
+
+
+def write_track(notes: DataFrame, key: str, head: list[bytes], tpb: int = 480, rebase: bool = False) -> DataFrame:
+    """key, content: a file of one track for each key, with these metas first. notes: key, pitch, velocity, start_tick, end_tick;
+    at equal ticks ons come first, then by pitch; rebase starts at 0."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = int(group["start_tick"].min()) if rebase else 0
+        rows = zip(group["start_tick"], group["end_tick"], group["pitch"], group["velocity"], strict=True)
+        events = sorted(e for s, t, p, v in rows for e in ((int(s) - first, 0, int(p), int(v)), (int(t) - first, 1, int(p), 0)))
+        track, at = [(0, m) for m in head], 0
+        for tick, off, pitch, velocity in events:
+            track.append((tick - at, bytes([0x80 if off else 0x90, pitch, velocity])))
+            at = tick
+        return pd.DataFrame({key: [group[key].iloc[0]], "content": [build([track], tpb)]})
+
+    kind = notes.schema[key].dataType.simpleString()
+    return notes.select(key, "pitch", "velocity", "start_tick", "end_tick").groupBy(key).applyInPandas(run, f"{key} {kind}, content binary")
+
+
+def write_chords(voiced: DataFrame, velocity: int = 80, bpm: int = 120, tpb: int = 480) -> DataFrame:
+    """file_id, content of voiced chords (file_id, pitch, start_tick, end_tick), in 4/4."""
+    head = [meta(0x51, round(60_000_000 / bpm).to_bytes(3, "big")), meta(0x58, bytes([4, 2, 24, 8])), meta(0x03, b"Chord Progression")]
+    return write_track(voiced.withColumn("velocity", F.lit(velocity)), "file_id", head, tpb)
+
+
+def write_phrases(notes: DataFrame, key: str = "phrase", tpb: int = 480, tempo: int = 500_000) -> DataFrame:
+    """key, content of each phrase's notes, which start at 0."""
+    return write_track(notes, key, [meta(0x03, b"Musical Phrase"), meta(0x51, tempo.to_bytes(3, "big"))], tpb, rebase=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cantora.functions import music as M
 from cantora.operators import cleaning, dynamics, hands, harmony, pairing, scoring, signal, temporal
-from cantora.sources import smf, wav
+from cantora.sources import layout, smf, wav
 from cantora.streaming import notes as stream
 
 
@@ -204,3 +204,47 @@ def test_streams(spark, tmp_path):
     at.coalesce(1).write.parquet(str(tmp_path / "at"))
     beats = stream.drain(stream.beat_windows(spark.readStream.schema(at.schema).parquet(str(tmp_path / "at"))), "beats", "complete")
     assert sum(r["n"] for r in beats.collect()) == len(rows)
+
+
+def test_left_hand_pays_for_the_split_itself():
+    hand = hands.Hand(False, [60.0], [1])
+    assert hand.cost(60, 0, 1, 60, 12, 0.0, 0.0) == 5.0 and hands.Hand(True, [60.0], [1]).cost(60, 127, 1, 60, 12, 0.0, 0.0) == 0.0
+    assert hands.Hand(True, [59.0], [1]).cost(59, 127, 1, 60, 12, 0.0, 0.0) == 6.0
+
+
+def test_sequence_codes_of_wide_steps(spark):
+    row = spark.createDataFrame([([-127, -65, 0, 64, 127], [-127, -66, 0, 64, 127])], "a array<int>, b array<int>")
+    assert row.select(F.levenshtein(M.sequence_code(F.col("a")), M.sequence_code(F.col("b")))).first()[0] == 1
+
+
+def test_band_energy_equals_a_loop(spark):
+    rng = np.random.default_rng(6)
+    mag = rng.random((4, signal.N_FFT // 2 + 1)).astype(np.float32)
+    frames = spark.createDataFrame([(0, k, m) for k, m in enumerate(mag.tolist())], "file_id int, frame long, mag array<float>")
+    rows = [(i, 0, p, k * signal.HOP / signal.SR + 1e-6) for i, (p, k) in enumerate([(21, 0), (24, 1), (30, 2), (60, 3), (108, 0), (69, 9)])]
+    found = {r["note_id"]: r["energy"] for r in signal.band_energy(frames, spark.createDataFrame(rows, "note_id int, file_id int, pitch int, start_s double")).collect()}
+    db = np.maximum(20 * np.log10(np.maximum(mag.astype(float), 1e-5) / mag.max()), -80)
+    bins = np.arange(mag.shape[1]) * signal.SR / signal.N_FFT
+    for (i, _, p, _), k in zip(rows, (0, 1, 2, 3, 0, 9), strict=True):
+        b = int(np.argmin(np.abs(bins - 440 * 2 ** ((p - 69) / 12))))
+        wanted = db[k, max(0, b - 5) : min(len(bins), b + 5)].mean() if k < 4 else db[-1].mean()
+        assert abs(found[i] - wanted) < 1e-3
+
+
+def test_running_status_after_metas():
+    body = b"\x00\x90\x3c\x40" + b"\x05\xff\x01\x02hi" + b"\x05\x3c\x00" + b"\x00\xff\x2f\x00"
+    data = b"MThd\x00\x00\x00\x06\x00\x00\x00\x01\x00\xdc" + b"MTrk" + len(body).to_bytes(4, "big") + body
+    assert [(r["kind"], r["abs_tick"], r.get("velocity")) for r in smf.parse(data)] == [("note_on", 0, 64), ("meta_01", 5, None), ("note_on", 10, 0), ("end_of_track", 10, None)]
+
+
+def test_files_are_exported(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.c/My Song.v2.mp3", bytearray(b"xy")), ("noext", bytearray(b""))], "path string, content binary")
+    files = rows.select(layout.output_path("phrases", layout.stem(F.col("path")), f"file://{tmp_path}").alias("path"), "content")
+    assert sorted(tuple(r) for r in layout.export(files).collect()) == [(f"file://{tmp_path}/phrases/My Song.v2.mid", 2), (f"file://{tmp_path}/phrases/noext.mid", 0)]
+    assert (tmp_path / "phrases" / "My Song.v2.mid").read_bytes() == b"xy"
+
+
+def test_separation_falls_back(spark):
+    audio = spark.range(1)
+    assert signal.separate(audio, lambda a: a.where("false"), ("no_such_module",)).count() == 1
+    assert signal.separate(audio, lambda a: a.where("false"), ("numpy",)).count() == 0 and not signal.available("no_such_module")
