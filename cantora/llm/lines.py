@@ -183,17 +183,18 @@ def _ask(similar: float):
 def _hubs(texts: DataFrame, scratch: Scratch, similar: float, group: int) -> DataFrame:
     """(leaf, line, hub) of lines (leaf, line, n, tokens) that have a hub other than themselves."""
     dealt = scratch.keep(texts.select("leaf", "line", "n", "tokens").mapInArrow(_deal(similar), _DEALT), "dealt")
-    size = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.max("solid").alias("solid")).where("lines > 1")
-    size = scratch.keep(size.select("key", "lines", ((F.col("lines") > group) & ~F.col("solid")).alias("large")), "sizes")
-    met, rank = dealt.join(bounded(size), "key"), F.struct((-F.col("n")).alias("n"), "line")
-    solid = met.where("solid")
-    least = solid.groupBy("key").agg(F.min(rank).alias("hub"))
-    found = [solid.select("key", "leaf", "line").join(least, "key").where("line <> hub.line").select("leaf", "line", (-F.col("hub.n")).alias("hub_n"), F.col("hub.line").alias("hub"))]
-    small = met.where("not solid and not large").select("key", "leaf", "line", "n", "tokens").repartition("key").sortWithinPartitions("key", F.desc("n"), "line")
-    found.append(small.mapInArrow(_join(similar), _JOINED))
-    if size.where("large").take(1):
+    size = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.max("solid").alias("solid")).where(F.col("lines") > group)
+    size, rank = scratch.keep(size, "sizes"), F.struct((-F.col("n")).alias("n"), "line")
+    small = dealt.join(bounded(size.select("key")), "key", "left_anti").select("key", "leaf", "line", "n", "tokens").repartition("key").sortWithinPartitions("key", F.desc("n"), "line")
+    found = [small.mapInArrow(_join(similar), _JOINED)]
+    met = dealt.drop("solid").join(bounded(size), "key")
+    if size.where("solid").take(1):
+        solid = met.where("solid")
+        least = solid.groupBy("key").agg(F.min(rank).alias("hub"))
+        found.append(solid.select("key", "leaf", "line").join(least, "key").where("line <> hub.line").select("leaf", "line", (-F.col("hub.n")).alias("hub_n"), F.col("hub.line").alias("hub")))
+    if size.where("not solid").take(1):
         # first with the head of the group, then what isn't similar to it with all others, in blocks
-        large = scratch.keep(met.where("large").select("key", "lines", "leaf", "line", "n", "tokens"), "large")
+        large = scratch.keep(met.where("not solid").select("key", "lines", "leaf", "line", "n", "tokens"), "large")
         heads = scratch.bounded(large.groupBy("key").agg(F.min(rank).alias("head")).select("key", "head.line"), "heads")
         heads = scratch.keep(large.join(heads, ["key", "line"]).select("key", F.col("line").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("known")), "heads")
         with_head = large.join(bounded(heads), "key").where("line <> hub").select("key", "lines", "leaf", "line", "n", "hub_n", "hub", "tokens", "known")
