@@ -11,8 +11,8 @@ documents and if they have no variable field, so that tables of numbers stay.
 
 Which lines are similar depends on no other line, so neither the order nor the number of a leaf's lines changes a template. Similar
 lines meet without a product: of the places after the leading ones, cut into one piece more than may differ, they agree on one.
-Lines that share such places form a group, in which each looks for its hub. All lines of a group with
-few other places are similar, and their hub is a minimum. Of other groups of more than ``group`` lines, all lines are compared with
+Lines that share such places form a group, in which each looks for its hub; of groups of the same lines one is enough, and tokens go
+to the groups that are left only. All lines of a group with few other places are similar, and their hub is a minimum. Of other groups of more than ``group`` lines, all lines are compared with
 the most frequent first; those that aren't similar to it are compared with the rest in blocks, and no task holds more than a block.
 
 Only leaves that enough documents reach take part, so few lines' texts are needed; a frequent line is one row there. Each text is
@@ -89,33 +89,26 @@ def _runs(n: int, similar: float) -> list[list[int]]:
     return [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)] if differ else []
 
 
-_DEALT = "key long, solid boolean, leaf long, line long, n long, tokens binary"
+_DEALT = "key long, solid boolean, leaf long, line long, n long"
 
 
 def _deal(similar: float):
-    """A row for each run of a line (leaf, line, n, tokens): lines that agree on it get the same key.
+    """A row for each run of a line (leaf, line, n, tokens), without its tokens: lines that agree on it get the same key.
 
     solid: so few places are left that all lines of a key are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
+            out: list[tuple] = []
             for leaf, line, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = np.array(tokens, np.int64)
-                differ, raw = may_differ(len(tokens), similar), tokens.tobytes()
+                differ = may_differ(len(tokens), similar)
                 for k, places in enumerate(_runs(len(tokens), similar)):
                     piece = xxhash.xxh3_64_intdigest(np.concatenate((np.array([leaf, k, len(tokens)], np.int64), tokens[places])).tobytes())
-                    out.append((piece - (1 << 63), len(tokens) - LEAD - len(places) <= differ, leaf, line, n, raw))
-                    size += len(raw)
-                if size >= 4 << 20:
-                    yield _rows(out)
-                    out, size = [], 0
-            yield _rows(out)
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
+                    out.append((piece - (1 << 63), len(tokens) - LEAD - len(places) <= differ, leaf, line, n))
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
 
     return run
 
@@ -183,18 +176,25 @@ def _ask(similar: float):
 def _hubs(texts: DataFrame, scratch: Scratch, similar: float, group: int) -> DataFrame:
     """(leaf, line, hub) of lines (leaf, line, n, tokens) that have a hub other than themselves."""
     dealt = scratch.keep(texts.select("leaf", "line", "n", "tokens").mapInArrow(_deal(similar), _DEALT), "dealt")
-    size = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.max("solid").alias("solid")).where(F.col("lines") > group)
-    size, rank = scratch.keep(size, "sizes"), F.struct((-F.col("n")).alias("n"), "line")
-    small = dealt.join(bounded(size.select("key")), "key", "left_anti").select("key", "leaf", "line", "n", "tokens").repartition("key").sortWithinPartitions("key", F.desc("n"), "line")
+    of_lines = lambda seed: F.bit_xor(F.xxhash64("leaf", "line", F.lit(seed)))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("lines"), F.max("solid").alias("solid"), of_lines(1).alias("x"), of_lines(2).alias("y")).where("lines > 1")
+    groups = groups.groupBy("lines", "x", "y").agg(F.min(F.struct((~F.col("solid")).alias("loose"), "key")).alias("one"))
+    groups = scratch.keep(groups.select("one.key", "lines", (~F.col("one.loose")).alias("solid")), "groups")
+    met = scratch.keep(dealt.drop("solid").join(bounded(groups), "key"), "met")
+    scratch.free(dealt)
+    # eight bytes a token; their order doesn't matter, as they are only compared
+    packed = texts.select("leaf", "line", F.unhex(F.array_join(F.transform("tokens", lambda t: F.lpad(F.hex(t), 16, "0")), "")).alias("tokens"))
+    size, rank = groups.where(F.col("lines") > group), F.struct((-F.col("n")).alias("n"), "line")
+    small = met.where(F.col("lines") <= group).join(packed, ["leaf", "line"]).select("key", "leaf", "line", "n", "tokens").repartition("key").sortWithinPartitions("key", F.desc("n"), "line")
     found = [small.mapInArrow(_join(similar), _JOINED)]
-    met = dealt.drop("solid").join(bounded(size), "key")
+    often = met.where(F.col("lines") > group)
     if size.where("solid").take(1):
-        solid = met.where("solid")
+        solid = often.where("solid")
         least = solid.groupBy("key").agg(F.min(rank).alias("hub"))
         found.append(solid.select("key", "leaf", "line").join(least, "key").where("line <> hub.line").select("leaf", "line", (-F.col("hub.n")).alias("hub_n"), F.col("hub.line").alias("hub")))
     if size.where("not solid").take(1):
         # first with the head of the group, then what isn't similar to it with all others, in blocks
-        large = scratch.keep(met.where("not solid").select("key", "lines", "leaf", "line", "n", "tokens"), "large")
+        large = scratch.keep(often.where("not solid").join(packed, ["leaf", "line"]).select("key", "lines", "leaf", "line", "n", "tokens"), "large")
         heads = scratch.bounded(large.groupBy("key").agg(F.min(rank).alias("head")).select("key", "head.line"), "heads")
         heads = scratch.keep(large.join(heads, ["key", "line"]).select("key", F.col("line").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("known")), "heads")
         with_head = large.join(bounded(heads), "key").where("line <> hub").select("key", "lines", "leaf", "line", "n", "hub_n", "hub", "tokens", "known")
@@ -214,7 +214,7 @@ def _hubs(texts: DataFrame, scratch: Scratch, similar: float, group: int) -> Dat
         every = every.unionByName(more)
     best = every.groupBy("leaf", "line").agg(F.min(F.struct((-F.col("hub_n")).alias("n"), "hub")).alias("best")).select("leaf", "line", "best.hub")
     best = scratch.keep(best, "hubs")
-    scratch.free(dealt)
+    scratch.free(met)
     return best
 
 
