@@ -14,6 +14,9 @@ the sample; larger ones are dealt out in parts of that size, each of which sees
 Vectors go to the leaves with their strings: a query meets hundreds of rows of a leaf, so vectors fetched for each
 pair of a query and a candidate would be more than a vector for each tree.
 
+Where a query stops is read from a table of how many rows lie below each prefix of COUNT_BITS bits and in each leaf, which has the same
+size whatever the rows are; only queries that must go deeper are counted in their leaves.
+
 Vectors that are equal form one class with its k + 1 smallest ids, so a vector that fills a third of the table is one entry; queries
 with equal vectors are searched once.
 
@@ -38,6 +41,7 @@ from cantora.llm.common import Scratch, slices, table
 
 K, TREES, BITS = 10, 24, 48
 LEAF, FIT_ROWS, PROBES, RECALL = 4_096, 20_000, 300, 0.94
+COUNT_BITS = 12
 BLOCK = 1_000
 
 
@@ -154,16 +158,74 @@ def _ranges(keys: np.ndarray, at: np.ndarray, level: np.ndarray) -> tuple[np.nda
     return np.searchsorted(keys, low), np.searchsorted(keys, low + (np.uint64(1) << shift))
 
 
-def _levels(group: pd.DataFrame) -> pd.DataFrame:
-    """How many rows each query of a leaf meets at each level of its ascent."""
-    asks = group[group.level >= 0]
-    keys = np.sort(group.key.to_numpy().astype(np.uint64)[(group.level < 0).to_numpy()])
-    at, depth = asks.key.to_numpy().astype(np.uint64), asks.depth.to_numpy()
-    out = np.zeros((len(asks), BITS + 1), np.int64)
-    for level in range(BITS + 1):
-        begin, end = _ranges(keys, at, np.maximum(level, depth))
-        out[:, level] = end - begin
-    return pd.DataFrame({"cid": asks.cid.to_numpy(), "counts": pd.Series(list(out), dtype=object)})
+def _tally(forest: Forest, bits: int):
+    """How many rows of a partition lie below each prefix of so many bits (leaf = false) and in each leaf, where there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = [np.zeros(1 << bits, np.int64) for _ in forest.starts]
+        inside = [np.zeros(len(starts), np.int64) for starts in forest.starts]
+        for batch in slices(batches, 1024):
+            for t, key in enumerate(forest.keys(_matrix(batch.column(0)))):
+                below[t] += np.bincount((key >> np.uint64(BITS - bits)).astype(np.int64), minlength=1 << bits)
+                inside[t] += np.bincount(np.searchsorted(forest.starts[t], key, side="right") - 1, minlength=len(inside[t]))
+        for leaf, each in ((False, below), (True, inside)):
+            for t, counts in enumerate(each):
+                node = np.flatnonzero(counts)
+                columns = [pa.array(np.full(len(node), t, np.int32)), pa.array([leaf] * len(node), pa.bool_()), pa.array(node), pa.array(counts[node])]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "node", "n"])
+
+    return run
+
+
+def _shallow(forest: Forest, below: np.ndarray, inside: list[np.ndarray], want: int):
+    """The level, down to the tallied one, at which each query (cid, v) stops; deep if it may stop further down."""
+    bits = below.shape[1].bit_length() - 1
+    levels = [below.reshape(len(below), 1 << x, -1).sum(axis=2) for x in range(bits + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            total = np.zeros((batch.num_rows, bits + 1), np.int64)
+            for t, key in enumerate(forest.keys(_matrix(batch.column(1)))):
+                leaf = np.searchsorted(forest.starts[t], key, side="right") - 1
+                for x in range(bits + 1):
+                    total[:, x] += np.where(forest.depths[t][leaf] >= x, inside[t][leaf], levels[x][t][(key >> np.uint64(BITS - x)).astype(np.int64)])
+            enough = total >= want
+            level = np.where(enough.any(axis=1), bits - np.argmax(enough[:, ::-1], axis=1), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level.astype(np.int32)), pa.array(enough[:, bits])], ["cid", "level", "deep"])
+
+    return run
+
+
+def _levels(first: int):
+    """How many rows each query of a leaf meets at each level from the first."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group[group.level >= 0]
+        keys = np.sort(group.key.to_numpy().astype(np.uint64)[(group.level < 0).to_numpy()])
+        at, depth = asks.key.to_numpy().astype(np.uint64), asks.depth.to_numpy()
+        out = np.zeros((len(asks), BITS + 1 - first), np.int64)
+        for level in range(first, BITS + 1):
+            begin, end = _ranges(keys, at, np.maximum(level, depth))
+            out[:, level - first] = end - begin
+        return pd.DataFrame({"cid": asks.cid.to_numpy(), "counts": pd.Series(list(out), dtype=object)})
+
+    return run
+
+
+def stop_levels(forest: Forest, indexed: DataFrame, query: DataFrame, want: int, scratch: Scratch, bits: int = COUNT_BITS) -> DataFrame:
+    """(cid, level): the deepest level at which the trees hold ``want`` rows for each query (cid, v), 0 if none, by the rows (cid, level = -1, v)."""
+    below, inside = np.zeros((len(forest.starts), 1 << bits), np.int64), [np.zeros(len(starts), np.int64) for starts in forest.starts]
+    tally = indexed.select("v").mapInArrow(_tally(forest, bits), "tree int, leaf boolean, node long, n long").groupBy("tree", "leaf", "node").agg(F.sum("n").alias("n"))
+    for tree, leaf, node, n in tally.toPandas().itertuples(index=False):  # no more rows than nodes and leaves
+        (inside if leaf else below)[tree][node] = n
+    stops = scratch.keep(query.select("cid", "v").mapInArrow(_shallow(forest, below, inside, want), "cid long, level int, deep boolean"), "stops")
+    if not stops.where("deep").take(1):
+        return stops.select("cid", "level")
+    deep = query.join(stops.where("deep"), "cid").select("cid", F.lit(0).alias("level"), "v")
+    light = indexed.unionByName(deep).mapInArrow(_spread(forest, False), "tree int, leaf int, part int, depth int, key long, cid long, level int")
+    counts = light.groupBy("tree", "leaf", "part").applyInPandas(_levels(bits + 1), "cid long, counts array<long>")
+    level = F.greatest(F.lit(bits), *[F.when(F.sum(F.get("counts", F.lit(x - bits - 1))) >= want, x) for x in range(bits + 1, BITS + 1)])
+    return stops.where("not deep").select("cid", "level").unionByName(counts.groupBy("cid").agg(level.alias("level")))
 
 
 def nearest(vectors: np.ndarray, cids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,10 +307,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, trees:
     query = asked.select("cid").distinct().join(classes.select("cid", "v"), "cid")
     indexed = classes.select("cid", F.lit(-1).alias("level"), "v")
     schema = "tree int, leaf int, part int, depth int, key long, cid long, level int"
-    light = indexed.unionByName(query.select("cid", F.lit(0).alias("level"), "v")).mapInArrow(_spread(forest, False), schema)
-    counts = light.groupBy("tree", "leaf", "part").applyInPandas(_levels, "cid long, counts array<long>")
-    counts = counts.select("cid", F.posexplode("counts").alias("level", "n")).groupBy("cid", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= want)
-    stop = query.select("cid").join(counts.groupBy("cid").agg(F.max("level").alias("level")), "cid", "left").select("cid", F.coalesce("level", F.lit(0)).alias("level"))
+    stop = stop_levels(forest, indexed, query, want, scratch)
     asks = query.join(stop, "cid").select("cid", "level", "v")
     full = indexed.unionByName(asks).mapInArrow(_spread(forest, True), f"{schema}, v {kind}")
     found = full.groupBy("tree", "leaf", "part").applyInPandas(_search(k + 1), _FOUND)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cantora.llm import chat, decontamination, forest, licenses, lines, minhash, packing, quality, toxicity, wordpiece
+from cantora.llm import chat, common, decontamination, forest, licenses, lines, minhash, packing, quality, toxicity, wordpiece
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -413,6 +413,30 @@ def test_forest_without_structure(spark, rows, fit_rows):
     assert len(got) == rows // 50 and hit >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("bits", [0, 3, 12])
+def test_stop_levels(spark, bits):
+    """Against a direct count, in leaves of several parts, with a group of near vectors that queries leave deep down."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((600, 8)), 1 + 1e-3 * rng.standard_normal((200, 8))])
+    grown = forest.grow(x[::2], len(x), trees=5, leaf=50, probes=50)
+    keys, asked, want = grown.keys(x), list(range(0, 800, 20)), 40
+    wanted = {}
+    for q in asked:
+        for level in range(forest.BITS, -1, -1):
+            held = 0
+            for t, mine in enumerate(keys):
+                depth = int(grown.depths[t][np.searchsorted(grown.starts[t], mine[q], side="right") - 1])
+                held += sum(int(k) >> (forest.BITS - max(level, depth)) == int(mine[q]) >> (forest.BITS - max(level, depth)) for k in mine)
+            if held >= want:
+                break
+        wanted[q] = level
+    indexed = spark.createDataFrame([(i, -1, v) for i, v in enumerate(x.tolist())], "cid long, level int, v array<double>")
+    query = indexed.where("cid % 20 = 0").select("cid", "v")
+    got = forest.stop_levels(grown, indexed, query, want, common.Scratch(spark), bits).collect()
+    assert len(got) == len(asked) and {r["cid"]: r["level"] for r in got} == wanted
+    assert max(wanted.values()) > 3
+
+
 def labelled(seed, n=900):
     rng = random.Random(seed)
     rows, labels = [], []
