@@ -19,7 +19,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LONG = 64
 BASE = 0xD6E8FEB86659FD93
-#: Bytes of text that are worked on at once; one text may be larger.
+#: Bytes of text that are worked on at once; for portions(), one text may be larger.
 PORTION = 1 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -84,14 +84,25 @@ def words_of(texts: list[bytes | None]) -> Words:
     edge = np.diff((~SPACE[each]).astype(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     begins = np.concatenate(([0], np.cumsum([len(x or b"") + 1 for x in texts]))).astype(np.int64)
-    count = 1 << max(len(each), PORTION).bit_length()
-    total = np.zeros(len(each) + 1, np.uint64)
-    np.cumsum(_byte_values()[each] * _powers(BASE, count)[: len(each)], out=total[1:])
+    return Words(data, starts, ends, np.searchsorted(starts, begins), _hashes(data, each, starts, ends))
+
+
+def _hashes(data: bytes, each: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A portion at a time; longer words come last, alone."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    up, down = _powers(BASE, PORTION + LONG), _powers(pow(BASE, -1, 1 << 64), PORTION + LONG)
     lengths = (ends - starts).astype(np.uint64)
-    hashes = mix((total[ends] - total[starts]) * _powers(pow(BASE, -1, 1 << 64), count)[starts] + lengths)
+    while at < len(starts):
+        to = int(np.searchsorted(starts, starts[at] + PORTION))
+        begin = starts[at]
+        i, j = starts[at:to] - begin, np.minimum(ends[at:to], starts[at:to] + LONG) - begin
+        total = np.zeros(j[-1] + 1, np.uint64)
+        np.cumsum(_byte_values()[each[begin : begin + j[-1]]] * up[: j[-1]], out=total[1:])
+        out[at:to] = mix((total[j] - total[i]) * down[i] + lengths[at:to])
+        at = to
     for k in np.flatnonzero(lengths > LONG):
-        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
-    return Words(data, starts, ends, np.searchsorted(starts, begins), hashes)
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
 
 
 def grams(hashes: np.ndarray, count: int, lane: int = 0) -> np.ndarray:
