@@ -56,6 +56,27 @@ def peak_threshold(frames: DataFrame, value: str = "env", name: str = "threshold
     return frames.withColumn(name, F.avg(value).over(w) + k * F.stddev_pop(value).over(w))
 
 
+def onsets(frames: DataFrame, value: str = "env", sr: int = 22_050, hop: int = 512, delta: float = 0.07, backtrack: bool = True) -> DataFrame:
+    """Onsets of an onset envelope: file_id, peak (frame), frame, t.
+
+    A peak is the largest of the 30 ms up to it and lies ``delta`` above the mean of 100 ms on either side, on the envelope scaled to 0..1 a
+    file; peaks follow one another by more than 30 ms, earlier ones first. Backtracking moves each to the last local minimum at
+    or before it (the first frame counts as one), so two peaks may share an onset. frames: file_id, frame from 0 on."""
+    back, around = int(0.03 * sr // hop), int(0.1 * sr // hop)
+    whole = Window.partitionBy("file_id")
+    order = whole.orderBy("frame")
+    v, x = F.col(value).cast("double"), F.col("_x")
+    low, high = F.min("_v").over(whole), F.max("_v").over(whole)
+    rows = frames.select("file_id", "frame", v.alias("_v")).withColumn("_x", F.when(high > low, (F.col("_v") - low) / (high - low)).otherwise(0.0))
+    top = (x >= F.max("_x").over(order.rowsBetween(-back, 0))) & (x >= F.avg("_x").over(order.rowsBetween(-around, around)) + delta)
+    before, after = F.lag("_v").over(order), F.lead("_v").over(order)
+    base = F.when(before.isNull() | ((F.col("_v") <= before) & (F.col("_v") < after)), F.col("frame"))
+    rows = rows.withColumns({"_top": top, "_base": base}).withColumn("_base", F.last("_base", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = temporal.spaced(rows.where("_top").select("file_id", F.col("frame").alias("peak"), "_base"), ["file_id"], "peak", back)
+    at = F.col("_base" if backtrack else "peak")
+    return found.select("file_id", "peak", at.alias("frame"), M.frame_to_time(at, sr, hop).alias("t"))
+
+
 def following_mean(frames: DataFrame, value: str, name: str, width: int = 10) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("frame")
     return frames.withColumn(name, F.avg(value).over(order.rowsBetween(0, width - 1)))

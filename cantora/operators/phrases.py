@@ -4,32 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantora.functions import music as M
-
-
-def frames(notes: DataFrame, shortest: int = 8, longest: int = 20, step: int | None = None, transposed: bool = False) -> DataFrame:
-    """file_id, pos, len, ivs, rhythm, p0 of every window of so many notes (fewer than all). Above 500 notes every second
-    place counts, unless ``step`` says otherwise; transposed patterns forget the start pitch."""
-    order = Window.partitionBy("file_id").orderBy("start_tick", "note_id")
-    ahead, whole = order.rowsBetween(0, longest - 1), Window.partitionBy("file_id")
-    rows = notes.select("file_id", (F.row_number().over(order) - 1).alias("pos"), F.count("*").over(whole).alias("n"), F.collect_list("pitch").over(ahead).alias("p"), F.collect_list("start_tick").over(ahead).alias("s"))
-    by = F.lit(step) if step else F.when(F.col("n") > 500, 2).otherwise(1)
-    rows = rows.where((F.col("pos") % by == 0) & (F.size("p") >= shortest))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(shortest), F.size("p"))).alias("len")).where(F.col("len") < F.col("n"))
-    rows = rows.select("file_id", "pos", "len", F.slice("p", F.lit(1), F.col("len")).alias("p"), F.slice("s", F.lit(1), F.col("len")).alias("s"))
-    diff = lambda a: F.zip_with(F.slice(a, F.lit(2), F.size(a) - 1), F.slice(a, F.lit(1), F.size(a) - 1), lambda y, x: (y - x).cast("int"))
-    rows = rows.select("file_id", "pos", "len", diff(F.col("p")).alias("ivs"), diff(F.col("s")).alias("ioi"), F.element_at("p", 1).alias("p0"))
+from cantora.operators import temporal
+
+
+SHORTEST, LONGEST = 8, 20
+
+
+def _factors(count: int, lane: int) -> np.ndarray:
+    return np.random.default_rng((count, lane)).integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _key(values: np.ndarray, lane: int) -> np.ndarray:
+    """A 64-bit hash of each row: a multilinear function of its numbers, mixed."""
+    h = (values.astype(np.int64).view(np.uint64) * _factors(values.shape[1], lane)).sum(axis=1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def windows(notes: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, step: int = 1, sparse_above: int | None = None, transposed: bool = False, arrays: bool = True) -> DataFrame:
+    """file_id, pos, len, k1, k2, p0[, ivs, rhythm] of every window of so many notes (fewer than all), at every ``step``-th place; in
+    recordings of more than ``sparse_above`` notes at every second. Transposed patterns forget the start pitch.
+
+    k1 and k2 are a 128-bit key of intervals, rhythm and start pitch. A window's rhythm is counted in its own shortest interval, so keys of
+    longer windows don't follow from shorter ones; they are taken for all windows of a batch at once. A recording's last
+    ``longest`` - 1 notes are carried on from batch to batch."""
+    rows = notes.select("file_id", F.col("start_tick").cast("long").alias("start_tick"), F.col("note_id").cast("long").alias("note_id"), F.col("pitch").cast("int").alias("pitch"))
+    rows = rows.join(notes.groupBy("file_id").agg(F.count("*").alias("n")), "file_id")
+    names = ["file_id", "pos", "len", "k1", "k2", "p0", *["ivs", "rhythm"][: 2 * arrays]]
+
+    def fold(state: tuple[np.ndarray, np.ndarray, int] | None, batch: pa.RecordBatch | None):
+        if batch is None:
+            return None, None
+        tail_t, tail_p, seen = state or (np.empty(0, np.int64), np.empty(0, np.int64), 0)
+        t, p = np.concatenate((tail_t, batch.column(1).to_numpy())), np.concatenate((tail_p, batch.column(3).to_numpy()))
+        n, held, out = batch.column(4)[0].as_py(), len(tail_t), []
+        by = 2 if sparse_above is not None and n > sparse_above else step
+        for size in range(shortest, min(longest, n - 1, len(p)) + 1):
+            start = np.arange(max(held - size + 1, 0), len(p) - size + 1)
+            pos = start + seen - held
+            start, pos = start[pos % by == 0], pos[pos % by == 0]
+            ivs = np.lib.stride_tricks.sliding_window_view(np.diff(p), size - 1)[start]
+            ioi = np.lib.stride_tricks.sliding_window_view(np.diff(t), size - 1)[start]
+            unit = ioi.min(axis=1)
+            rhythm = np.rint(ioi / np.where(unit > 0, unit, 1)[:, None]).astype(np.int64)
+            p0 = np.zeros(len(start), np.int64) if transposed else p[start]
+            whole = np.concatenate((ivs, rhythm, p0[:, None]), axis=1)
+            columns = [pa.array(np.full(len(start), batch.column(0)[0].as_py()), pa.int32()), pa.array(pos.astype(np.int32)), pa.array(np.full(len(start), size, np.int32)), pa.array(_key(whole, 1)), pa.array(_key(whole, 2)), pa.array(p0.astype(np.int32))]
+            if arrays:
+                ends = pa.array(np.arange(len(start) + 1, dtype=np.int32) * (size - 1))
+                columns += [pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1).astype(np.int32))) for x in (ivs, rhythm)]
+            out.append(pa.RecordBatch.from_arrays(columns, names))
+        kept = longest - 1
+        state = t[-kept:], p[-kept:], seen + batch.num_rows
+        return state, pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(map(len, out)) else None
+
+    schema = "file_id int, pos int, len int, k1 long, k2 long, p0 int" + ", ivs array<int>, rhythm array<int>" * arrays
+    return temporal.folded(rows, ["file_id"], ["start_tick", "note_id"], fold, schema)
+
+
+def frames(notes: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, step: int = 1, sparse_above: int | None = None, transposed: bool = False) -> DataFrame:
+    """file_id, pos, len, ivs, rhythm, p0 of windows()."""
+    return windows(notes, shortest, longest, step, sparse_above, transposed).select("file_id", "pos", "len", "ivs", "rhythm", "p0")
+
+
+def pattern_counts(windows: DataFrame) -> DataFrame:
+    """How often each pattern occurs, and where first: by its key, with what else windows() gave of it."""
+    more = [c for c in ("p0", "ivs", "rhythm") if c in windows.columns]
+    first = F.min_by(F.struct(*more), "pos").alias("_first")
+    return windows.groupBy("file_id", "len", "k1", "k2").agg(first, F.count("*").alias("cnt"), F.min("pos").alias("first_pos")).select("file_id", "len", "k1", "k2", "_first.*", "cnt", "first_pos")
+
+
+def best_patterns(notes: DataFrame, k: int = 100, **options) -> DataFrame:
+    """top_patterns() of all windows, with their arrays: only keys are counted, and the arrays of the k best fetched from their notes."""
+    top = top_patterns(pattern_counts(windows(notes, arrays=False, **options)), k)
+    nth = (F.row_number().over(Window.partitionBy("file_id").orderBy("start_tick", "note_id")) - 1).alias("nth")
+    own = notes.select("file_id", nth, "pitch", "start_tick")
+    rows = top.select("*", F.explode(F.sequence("first_pos", F.col("first_pos") + F.col("len") - 1)).alias("nth")).join(own, ["file_id", "nth"])
+    rows = rows.groupBy("file_id", "rank").agg(*[F.first(c).alias(c) for c in ("len", "p0", "cnt", "first_pos")], F.array_sort(F.collect_list(F.struct("nth", "pitch", "start_tick"))).alias("of"))
+    diff = lambda name: F.zip_with(F.slice("of", F.lit(2), F.col("len") - 1), F.slice("of", F.lit(1), F.col("len") - 1), lambda y, x: (y[name] - x[name]).cast("int"))
+    rows = rows.select("file_id", "rank", "len", "p0", "cnt", "first_pos", diff("pitch").alias("ivs"), diff("start_tick").alias("ioi"))
     unit = F.when(F.array_min("ioi") > 0, F.array_min("ioi")).otherwise(F.lit(1))
-    rhythm = F.transform("ioi", lambda x: F.rint(x / unit).cast("int"))
-    return rows.select("file_id", "pos", "len", "ivs", rhythm.alias("rhythm"), F.when(F.lit(transposed), F.lit(0)).otherwise(F.col("p0")).alias("p0"))
-
-
-def pattern_counts(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("file_id", "len", "ivs", "rhythm", "p0").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+    return rows.withColumn("rhythm", F.transform("ioi", lambda x: F.rint(x / unit).cast("int"))).drop("ioi")
 
 
 def top_patterns(counts: DataFrame, k: int = 100) -> DataFrame:
@@ -99,9 +160,9 @@ def score(freq: Column, ivs: Column, rhythm: Column, p0: Column) -> Column:
     return F.greatest(F.lit(0.0), 2 * F.log1p(freq.cast("double")) + length + melody + beat + spread + register)
 
 
-def best_phrases(notes: DataFrame, n: int = 5, k: int = 100) -> DataFrame:
-    """file_id, rank, score, frequency, len, p0, ivs and pattern_type of the best groups."""
-    groups = _led(top_patterns(pattern_counts(frames(notes)), k), 0.75, 1)
+def best_phrases(notes: DataFrame, n: int = 5, k: int = 100, **options) -> DataFrame:
+    """file_id, rank, score, frequency, len, p0, ivs and pattern_type of the best groups; options as of windows()."""
+    groups = _led(best_patterns(notes, k, **options), 0.75, 1)
     groups = groups.withColumn("score", F.round(score(F.col("frequency"), F.col("ivs"), F.col("rhythm"), F.col("p0")), 6))
     order = Window.partitionBy("file_id").orderBy(F.desc("score"), "leader")
     kind = F.when(F.col("members") == 1, "exact").otherwise("similar")
@@ -110,7 +171,7 @@ def best_phrases(notes: DataFrame, n: int = 5, k: int = 100) -> DataFrame:
 
 def first_occurrence(notes: DataFrame, patterns: DataFrame) -> DataFrame:
     """First place of a pattern's start pitch and intervals, rhythm ignored, at all places: patterns (file_id, rank, len, p0, ivs)."""
-    all_places = frames(notes, step=1).select("file_id", "len", "p0", "ivs", "pos")
+    all_places = frames(notes).select("file_id", "len", "p0", "ivs", "pos")
     return patterns.join(all_places, ["file_id", "len", "p0", "ivs"]).groupBy("file_id", "rank").agg(F.min("pos").alias("pos"))
 
 

@@ -1,7 +1,7 @@
 """Frame features of recordings in numpy, a chunk of a recording at a time, and rendering of notes.
 
 Audio is rows of whole recordings (file_id, sr, y) or of their chunks of at most CHUNK frames: file_id, sr, hop, first (frame), lead,
-samples, y. A chunk's own samples are y[lead : lead + samples]; y has besides what its frames and the one before its first read.
+samples, length (of the recording), y. A chunk's own samples are y[lead : lead + samples]; y has besides what its frames and the one before its first read.
 
 The recording's onset strength, tempo and chroma are plain spectral approximations, not those of any audio library.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SR, HOP, N_FFT, CHUNK = 22_050, 512, 2048, 512
-_CHUNK = "file_id int, sr int, hop int, first long, lead int, samples long, y array<float>"
+_CHUNK = "file_id int, sr int, hop int, first long, lead int, samples long, length long, y array<float>"
 
 
 def stft(y: np.ndarray, n_fft: int = N_FFT, hop: int = HOP, padded: bool = False) -> np.ndarray:
@@ -102,15 +102,20 @@ def _bounds(first: int, length: int, hop: int) -> tuple[int, int, int, int]:
     return lead, max(0, min((first + CHUNK) * hop, length) - first * hop), begin, (first + count - 1) * hop + N_FFT // 2
 
 
+def _pieces(notes: DataFrame, sr: int, hop: int) -> DataFrame:
+    """Notes with each chunk (of CHUNK frames) whose samples or frames they reach, beyond a recording's end as well."""
+    of = lambda sample: F.floor(sample / (CHUNK * hop)).cast("long")
+    reach = F.sequence(F.greatest(of(F.floor(F.col("start_s") * sr) - N_FFT // 2), F.lit(0)), of(F.floor(F.col("end_s") * sr) + hop + N_FFT // 2))
+    return notes.where("end_s > start_s").withColumn("chunk", F.explode(reach))
+
+
 def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
     """Chunks of what render() gives. The notes of each chunk are mixed twice: for the recording's peak, and to be scaled by it."""
     notes = notes.select("file_id", "pitch", "velocity", "start_s", "end_s")
-    size = CHUNK * hop
     lengths = notes.groupBy("file_id").agg((F.floor(F.max("end_s") * sr) + 1).cast("long").alias("length"))
-    of = lambda sample: F.floor(sample / size).cast("long")
-    last = of(F.floor(F.col("length") / hop) * hop)
-    reach = F.sequence(F.greatest(of(F.floor(F.col("start_s") * sr) - N_FFT // 2), F.lit(0)), F.least(of(F.floor(F.col("end_s") * sr) + hop + N_FFT // 2), last))
-    rows = notes.where("end_s > start_s").join(lengths, "file_id").withColumn("chunk", F.explode(reach))
+    last = F.floor(F.floor(F.col("length") / hop) * hop / (CHUNK * hop)).cast("long")
+    rows = _pieces(notes, sr, hop).join(lengths, "file_id").where(F.col("chunk") <= last)
+    rows = rows.select(*notes.columns, "length", "chunk")
     silent = lengths.select("file_id", *[F.lit(0).cast(notes.schema[c].dataType).alias(c) for c in notes.columns[1:]], "length").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.unionByName(silent)
 
@@ -125,7 +130,7 @@ def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
     def scaled(group: pd.DataFrame) -> pd.DataFrame:
         first, lead, samples, y = mixed(group)
         top = group["top"].iloc[0]
-        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "y": [(y / top if top > 0 else y).astype(np.float32)]})
+        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "length": int(group["length"].iloc[0]), "y": [(y / top if top > 0 else y).astype(np.float32)]})
 
     tops = rows.groupBy("file_id", "chunk").applyInPandas(loudest, "file_id int, top double").groupBy("file_id").agg(F.max("top").alias("top"))
     return rows.join(tops, "file_id").groupBy("file_id", "chunk").applyInPandas(scaled, _CHUNK)
@@ -142,7 +147,7 @@ def chunks(audio: DataFrame, hop: int = HOP) -> DataFrame:
                 for first in range(0, 1 + len(y) // hop, CHUNK):
                     lead, samples, begin, end = _bounds(first, len(y), hop)
                     part = np.pad(np.asarray(y[max(begin, 0) : end], np.float32), (max(-begin, 0), max(end - len(y), 0)))
-                    yield pd.DataFrame({"file_id": [file_id], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "y": [part]})
+                    yield pd.DataFrame({"file_id": [file_id], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "length": len(y), "y": [part]})
 
     return audio.select("file_id", "sr", "y").mapInPandas(run, _CHUNK)
 
@@ -166,6 +171,79 @@ def frames(audio: DataFrame, hop: int = HOP, spectra: bool = False) -> DataFrame
     return chunks(audio, hop).select("file_id", "sr", "hop", "first", "y").mapInPandas(run, schema + ", mag array<float>" * spectra)
 
 
+def onset_strength(frames: DataFrame, hop: int = HOP) -> DataFrame:
+    """frames whose env comes half a window later, 0 before: a centred window rises half of it before a sound begins."""
+    return frames.withColumn("env", F.lag("env", N_FFT // (2 * hop), 0.0).over(Window.partitionBy("file_id").orderBy("frame")))
+
+
+def compare(audio: DataFrame, notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
+    """A row a frame of each recording: file_id, frame, length of the recording in samples, its env, and similarity, the cosine (0 at least; null where one is
+    silent) of its chroma and that of the notes (file_id, pitch, velocity, start_s, end_s) rendered to the recording's length.
+
+    Chunks of recordings meet the notes that reach them, so each sample is rendered and transformed once, and frames leave as
+    two numbers. Neither number depends on how loud the rendering is, so it isn't scaled."""
+    own = chunks(audio, hop).withColumn("chunk", F.floor(F.col("first") / CHUNK).cast("long"))
+    pieces = _pieces(notes.select("file_id", "pitch", "velocity", "start_s", "end_s"), sr, hop)
+
+    def run(heard: pd.DataFrame, written: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for file_id, first, length, y in zip(heard["file_id"], heard["first"], heard["length"], heard["y"], strict=True):
+            _, _, begin, end = _bounds(first, length, hop)
+            a, b = features(y, sr, hop, padded=True), features(_mix(written.sort_values(["start_s", "pitch"]), length, begin, end, sr), sr, hop, padded=True)
+            skip = int(first > 0)
+            size = np.sqrt((a["chroma"] ** 2).sum(axis=0) * (b["chroma"] ** 2).sum(axis=0))[skip:]
+            both = (a["chroma"] * b["chroma"]).sum(axis=0)[skip:]
+            near = np.divide(both, size, out=np.full(len(both), np.nan), where=size > 0)
+            out.append(pd.DataFrame({"file_id": file_id, "frame": first + np.arange(len(both)), "length": length, "env": a["env"][skip:], "similarity": near}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["file_id", "frame", "length", "env", "similarity"])
+
+    found = own.groupBy("file_id", "chunk").cogroup(pieces.groupBy("file_id", "chunk")).applyInPandas(run, "file_id int, frame long, length long, env double, similarity double")
+    return found.withColumn("similarity", F.when(F.col("similarity").isNotNull() & ~F.isnan("similarity"), F.greatest(F.lit(0.0), F.col("similarity"))))
+
+
+def note_features(audio: DataFrame, notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
+    """note_id, file_id, energy and slope of notes (note_id, file_id, pitch, start_s) in a recording.
+
+    energy is the mean dB, against the recording's loudest bin, of the bins around the note's pitch in its onset frame, from five
+    below the nearest to four above (all bins of the last frame for notes beyond it); slope is the rise of the onset strength
+    over two frames, 0 in the last five. Each chunk of a recording is transformed once, together with the notes that start in
+    it; only the bins that notes ask for, and the last frame, leave it."""
+    own = chunks(audio, hop).withColumn("chunk", F.floor(F.col("first") / CHUNK).cast("long"))
+    at = F.floor(F.col("start_s") * sr / hop).cast("long")
+    asks = notes.select("note_id", "file_id", "pitch", at.alias("at"), F.floor(at / CHUNK).cast("long").alias("chunk"))
+
+    def run(heard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        beyond = {"file_id": asked["file_id"], "frame": asked["at"], "note_id": asked["note_id"], "env": np.nan, "bins": None, "top": 0.0}
+        out = [] if len(heard) else [pd.DataFrame(beyond)]
+        for file_id, first, length, y in zip(heard["file_id"], heard["first"], heard["length"], heard["y"], strict=True):
+            mag = stft(y, hop=hop, padded=True)
+            env = np.maximum(0, np.diff(mag, axis=1, prepend=mag[:, :1])).sum(axis=0)[int(first > 0) :]
+            mag = mag[:, int(first > 0) :].astype(np.float32)
+            last, every = length // hop, [None] * len(env)
+            if first + len(env) > last:
+                every[-1] = mag[:, -1]
+            out.append(pd.DataFrame({"file_id": file_id, "frame": first + np.arange(len(env)), "note_id": None, "env": env, "bins": every, "top": float(mag.max())}))
+            b = np.minimum(np.ceil(440 * 2.0 ** ((asked["pitch"].to_numpy() - 69) / 12) * N_FFT / sr - 0.5), N_FFT // 2).astype(int)
+            out.append(pd.DataFrame(beyond | {"bins": [mag[max(k - 5, 0) : k + 5, at - first] if at <= last else None for k, at in zip(b, asked["at"], strict=True)]}))
+        return pd.concat([x for x in out if len(x)] or out[:1]).astype({"note_id": "Int64"})
+
+    rows = own.groupBy("file_id", "chunk").cogroup(asks.groupBy("file_id", "chunk")).applyInPandas(run, "file_id int, frame long, note_id long, env double, bins array<float>, top double")
+    whole = Window.partitionBy("file_id")
+    order = whole.orderBy("frame", F.col("note_id").isNotNull(), "note_id")
+    is_frame = F.col("note_id").isNull()
+    rows = rows.withColumns({"top": F.max("top").over(whole), "n": F.max(F.when(is_frame, F.col("frame"))).over(whole) + 1})
+    frame_order = Window.partitionBy("file_id", is_frame).orderBy("frame")
+    rows = rows.withColumn("env", F.lag("env", N_FFT // (2 * hop), 0.0).over(frame_order))
+    # a frame's slope is carried on to the notes behind it
+    rows = rows.withColumn("slope", F.when(is_frame, F.col("env") - F.coalesce(F.lag("env", 2).over(frame_order), F.first("env").over(order))))
+    rows = rows.withColumn("slope", F.last("slope", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    final = F.last(F.when(is_frame, F.col("bins")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("bins", F.coalesce("bins", final)).where("note_id is not null and bins is not null")
+    db = F.transform("bins", lambda m: F.greatest(20 * F.log10(F.greatest(m.cast("double"), F.lit(1e-5)) / F.greatest(F.col("top"), F.lit(1e-5))), F.lit(-80.0)))
+    energy = F.aggregate(db, F.lit(0.0), lambda s, v: s + v) / F.size(db)
+    return rows.select("note_id", "file_id", energy.alias("energy"), F.when(F.col("frame") < F.col("n") - 5, F.col("slope")).otherwise(0.0).alias("slope"))
+
+
 def band_energy(frames: DataFrame, notes: DataFrame, sr: int = SR) -> DataFrame:
     """Mean dB of the bins around each note's pitch in its onset frame, from five below the nearest to four above (all bins beyond the
     last frame): note_id, energy."""

@@ -5,8 +5,10 @@ Interval and nearest joins are unions and running windows, so they cost a sort o
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,17 @@ def rapid_pairs(df: DataFrame, keys: list[str], order: list, linked: Column) ->
     return rows.withColumn("pair", F.floor(nth / 2).cast("long"))
 
 
+def spaced(df: DataFrame, keys: list[str], at: str, wait: int) -> DataFrame:
+    """Of each key's rows in order those that lie more than ``wait`` behind the last one taken. Only runs of rows that are closer
+    than that to one another are walked through."""
+    order = Window.partitionBy(*keys).orderBy(at)
+    rows = islands(df, keys, [at], F.col(at) - F.lag(at).over(order) <= wait, "_run")
+    rows = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(at, *[c for c in df.columns if c not in (at, *keys)]))).alias("_rows"))
+    none = F.struct(F.lit(None).cast(df.schema[at].dataType).alias("last"), F.slice("_rows", 1, 0).alias("taken"))
+    take = lambda s, r: F.when(s["last"].isNull() | (r[at] - s["last"] > wait), F.struct(r[at].alias("last"), F.concat(s["taken"], F.array(r)).alias("taken"))).otherwise(s)
+    return rows.select(*keys, F.explode(F.aggregate("_rows", none, take, lambda s: s["taken"])).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
 def even_grid(bounds: DataFrame, points: Column, end: str = "end") -> DataFrame:
     """file_id, i, t: so many points from 0 to the end of each file, both included."""
     rows = bounds.withColumn("_n", points).where("_n > 0").select("file_id", end, "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
@@ -72,21 +85,60 @@ def drop_short(events: DataFrame, least: float, order: str = "t") -> DataFrame:
     return rows.where((F.col("_n") < 2) | ~(F.coalesce(short_down, F.lit(False)) | F.coalesce(short_up, F.lit(False)))).drop("_next", "_last", "_was", "_n")
 
 
+def folded(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str | T.StructType) -> DataFrame:
+    """Rows of each key, in order, through a fold whose state is all that is held: step(state, rows) gives the next state and rows to put
+    out (or None), from batches of rows of one key; at a key's end rows are None. A key of any length needs one batch of
+    memory besides the state, which starts as None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            values = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True))
+            i = 0
+            while i < len(values):
+                j = i + 1
+                while j < len(values) and values[j] == values[i]:
+                    j += 1
+                if values[i] != current and current is not None:
+                    state, out = step(state, None)
+                    if out is not None:
+                        yield out
+                    state = None
+                current = values[i]
+                state, out = step(state, batch.slice(i, j - i))
+                if out is not None:
+                    yield out
+                i = j
+        if current is not None:
+            _, out = step(state, None)
+            if out is not None:
+                yield out
+
+    rows = df.select(*keys, *[c for c in df.columns if c not in keys])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def anchor_groups(df: DataFrame, within: int, keys: list[str], at: str, tie: str) -> DataFrame:
     """(keys, at, tie, group): a group holds the rows within so many ticks of its first row, which is where the last group ended:
-    a jump from anchor to anchor over each key's sorted rows."""
+    a jump from anchor to anchor over each key's sorted rows, of which the last anchor is carried on."""
     rows = df.select(*keys, F.col(at).cast("long").alias(at), F.col(tie).cast("long").alias(tie))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([at, tie])
-        t = group[at].to_numpy()
-        starts, i = np.zeros(len(t), np.int32), 0
+    names = [*rows.columns, "group"]
+
+    def step(state: tuple[int, int] | None, batch: pa.RecordBatch | None):
+        if batch is None:
+            return None, None
+        t = batch.column(len(keys)).to_numpy()
+        anchor, group = state or (t[0] - within - 1, 0)
+        out, i = np.empty(len(t), np.int32), 0
         while i < len(t):
-            starts[i] = 1
-            i = int(np.searchsorted(t, t[i] + within, side="right"))
-        return group.assign(group=np.cumsum(starts))
-
-    return rows.groupBy(*keys).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("group", T.IntegerType())]))
+            j = int(np.searchsorted(t, anchor + within, side="right"))
+            out[i:j] = group
+            i = max(i, j)
+            if i < len(t):
+                anchor, group = t[i], group + 1
+        return (anchor, group), pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names)
+
+    return folded(rows, keys, [at, tie], step, T.StructType([*rows.schema.fields, T.StructField("group", T.IntegerType())]))
 
 
 def wasserstein(a: DataFrame, b: DataFrame, key: str = "file_id", value: str = "v") -> DataFrame:

@@ -634,26 +634,53 @@ def _(spark, d):
     return dynamics.peak_threshold(frames_of(spark, d)).where("env >= threshold").groupBy("file_id").agg(F.count("*").alias("above"))
 
 
-@query("resonance_following", " select file_id, frame, round(avg(rms) over (partition by file_id order by frame rows between current row and 9 following), 6) as mean from frames", _FRAMES)
+@query(
+    "audio_onsets",
+    """, x0 as (select file_id, frame, rms, coalesce((rms - min(rms) over w) / nullif(max(rms) over w - min(rms) over w, 0), 0) as x from frames window w as (partition by file_id)),
+    x1 as (select *, x >= max(x) over (o rows between 1 preceding and current row) and x >= avg(x) over (o rows between 4 preceding and 4 following) + 0.07 as peak,
+      case when frame = 0 or rms <= lag(rms) over o and rms < lead(rms) over o then frame end as low from x0 window o as (partition by file_id order by frame)),
+    x2 as (select *, last_value(low ignore nulls) over (partition by file_id order by frame rows unbounded preceding) as base from x1),
+    x3 as (select *, frame - row_number() over (partition by file_id order by frame) as run from x2 where peak),
+    x4 as (select *, row_number() over (partition by file_id, run order by frame) as nth from x3)
+    select file_id, frame as peak, base as frame, round(base * 512 / 22050.0, 6) as t from x4 where nth % 2 = 1""",
+    _FRAMES,
+)
 def _(spark, d):
-    return dynamics.following_mean(frames_of(spark, d), "rms", "mean").select("file_id", "frame", F.round("mean", 6).alias("mean"))
+    return dynamics.onsets(frames_of(spark, d)).withColumn("t", F.round("t", 6))
 
 
-@query("energy_offset_snap", ", n2 as (select frame * 100000 + file_id as note_id, file_id, frame, rms from frames where frame % 3 = 0), c as (select n2.note_id, n2.frame, min(f.frame) as \"to\" from n2 join frames f on f.file_id = n2.file_id and f.frame between n2.frame - 5 and n2.frame + 4 and f.rms < 0.3 * n2.rms group by all) select n2.note_id, n2.file_id, coalesce(case when abs(c.\"to\" - c.frame) <= 3 then c.\"to\" end, n2.frame) as frame_end from n2 left join c on c.note_id = n2.note_id", _FRAMES)
+@query(
+    "peak_pick",
+    """, th as (select *, avg(rms) over w + 0.5 * stddev_pop(rms) over w as thr, lag(rms) over (partition by file_id order by frame) as prev from frames window w as (partition by file_id)),
+    pl as (select *, sum(case when rms = prev then 0 else 1 end) over (partition by file_id order by frame) as plateau from th),
+    fl as (select file_id, plateau, min(frame) as i, max(frame) as j, min(rms) as v, arg_min(thr, frame) as thr from pl group by all),
+    tp as (select file_id, (i + j) // 2 as frame, v from (select *, lag(v) over o as b, lead(v) over o as a from fl window o as (partition by file_id order by plateau)) where v > b and v > a and v >= thr),
+    kp as (select file_id, list_reduce(list([struct_pack(f := frame, v := v)] order by v desc, frame desc), lambda kept, x: case when len(list_filter(kept, lambda k: abs(k.f - x[1].f) < 5)) = 0 then list_concat(kept, x) else kept end) as kept from tp group by file_id),
+    out as (select file_id, unnest(kept) as k from kp)
+    select file_id, k.f as frame, k.v as value from out""",
+    _FRAMES,
+)
 def _(spark, d):
-    frames = frames_of(spark, d)
-    ends = frames.where("frame % 3 = 0").select((F.col("frame") * 100_000 + F.col("file_id")).alias("note_id"), "file_id", "frame")
-    return dynamics.snap_offsets(ends, frames, tolerance=3).select("note_id", "file_id", "frame_end")
+    return hands.peaks(dynamics.peak_threshold(frames_of(spark, d)))
+
 
+@query("resonance_following", " select file_id, frame, round(avg(rms) over (partition by file_id order by frame rows between current row and 9 following), 6) as mean from frames", _FRAMES)
+def _(spark, d):
+    return dynamics.following_mean(frames_of(spark, d), "rms", "mean").select("file_id", "frame", F.round("mean", 6).alias("mean"))
 
-def _snap_all(spark, d):
-    """As energy_offset_snap, for all frames."""
+
+def _snaps(spark, d):
     frames = frames_of(spark, d)
     ends = frames.select((F.col("frame") * 100_000 + F.col("file_id")).alias("note_id"), "file_id", "frame")
     return dynamics.snap_offsets(ends, frames, tolerance=3).select("note_id", "file_id", "frame_end")
 
 
-QUERIES["energy_offset_snap_all"] = _snap_all
+for _name in ("energy_offset_snap", "energy_offset_snap_all"):
+    query(
+        _name,
+        ", n2 as (select frame * 100000 + file_id as note_id, file_id, frame, rms from frames), c as (select n2.note_id, n2.frame, min(f.frame) as \"to\" from n2 join frames f on f.file_id = n2.file_id and f.frame between n2.frame - 5 and n2.frame + 4 and f.rms < 0.3 * n2.rms group by all) select n2.note_id, n2.file_id, coalesce(case when abs(c.\"to\" - c.frame) <= 3 then c.\"to\" end, n2.frame) as frame_end from n2 left join c on c.note_id = n2.note_id",
+        _FRAMES,
+    )(_snaps)
 
 
 _SNR = ", pc as (select file_id, quantile_cont(rms, 0.25) as p25, quantile_cont(rms, 0.75) as p75 from frames group by file_id)"
@@ -712,31 +739,41 @@ QUERIES["notes_per_hand"] = lambda spark, d: _hands(spark, d).groupBy("file_id",
 
 
 _NGRAM = """, arr as (select file_id, list(pitch order by start_tick, note_id) as p, list(start_tick order by start_tick, note_id) as s, count(*) as n from notes group by file_id),
-f0 as (select *, unnest(range(0, n - len + 1, case when n > 500 then 2 else 1 end)) as pos from (select *, unnest(range(8, 21)) as len from arr) where len < n),
+f0 as (select *, unnest(range(0, n - len + 1)) as pos from (select *, unnest(range(8, 21)) as len from arr) where len < n),
 f1 as (select file_id, pos, len, list_transform(range(1, len), lambda i: p[pos + i + 1] - p[pos + i]) as ivs, list_transform(range(1, len), lambda i: s[pos + i + 1] - s[pos + i]) as ioi, p[pos + 1] as p0 from f0),
 fr as (select file_id, pos::int as pos, len::int as len, ivs, list_transform(ioi, lambda x: round_even(x / greatest(list_min(ioi), case when list_min(ioi) > 0 then 0 else 1 end), 0)::int) as rhythm, p0 from f1),
 cn as (select file_id, len, ivs, rhythm, p0, count(*) as cnt, min(pos) as first_pos from fr group by all)"""
 _TOP = ", tp as (select *, cast(row_number() over (partition by file_id order by cnt desc, len, first_pos) as int) as rank from cn), top as (select * from tp where rank <= 100)"
 
 
-@query("ngram_count", " select file_id, len, array_to_string(ivs, ' ') as ivs, p0, array_to_string(rhythm, ' ') as rhythm, cnt, first_pos from cn", _NGRAM)
-def _(spark, d):
-    rows = phrases.pattern_counts(phrases.frames(notes_of(spark, d)))
+_COUNTED = " select file_id, len, array_to_string(ivs, ' ') as ivs, p0, array_to_string(rhythm, ' ') as rhythm, cnt, first_pos from cn"
+
+
+def _counts(spark, d, **options):
+    rows = phrases.pattern_counts(phrases.windows(notes_of(spark, d), **options))
     return rows.select("file_id", "len", F.array_join("ivs", " ").alias("ivs"), "p0", F.array_join("rhythm", " ").alias("rhythm"), "cnt", "first_pos")
 
 
-@query("ngram_rhythm_norm", " select file_id, pos, len, array_to_string(rhythm, ' ') as rhythm from fr where len = 8", _NGRAM)
+for _name in ("ngram_count", "ngram_count_all"):
+    query(_name, _COUNTED, _NGRAM)(_counts)
+
+
+@query("ngram_count_sparse", _COUNTED, _NGRAM.replace("range(0, n - len + 1)", "range(0, n - len + 1, case when n > 500 then 2 else 1 end)"))
 def _(spark, d):
-    return phrases.frames(notes_of(spark, d), 8, 8).select("file_id", "pos", "len", F.array_join("rhythm", " ").alias("rhythm"))
+    return _counts(spark, d, sparse_above=500)
 
 
-#: As ngram_rhythm_norm, for lengths 8 to 20.
-QUERIES["ngram_rhythm_norm_all"] = lambda spark, d: phrases.frames(notes_of(spark, d)).select("file_id", "pos", "len", F.array_join("rhythm", " ").alias("rhythm"))
+def _rhythms(spark, d):
+    return phrases.frames(notes_of(spark, d)).select("file_id", "pos", "len", F.array_join("rhythm", " ").alias("rhythm"))
+
+
+for _name in ("ngram_rhythm_norm", "ngram_rhythm_norm_all"):
+    query(_name, " select file_id, pos, len, array_to_string(rhythm, ' ') as rhythm from fr", _NGRAM)(_rhythms)
 
 
 @query("top100_patterns", " select file_id, rank, len, p0, array_to_string(ivs, ' ') as ivs, cnt from top", _NGRAM + _TOP)
 def _(spark, d):
-    rows = phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes_of(spark, d))))
+    rows = phrases.best_patterns(notes_of(spark, d))
     return rows.select("file_id", "rank", "len", "p0", F.array_join("ivs", " ").alias("ivs"), "cnt")
 
 
@@ -748,7 +785,7 @@ def _(spark, d):
     _NGRAM + _TOP,
 )
 def _(spark, d):
-    return phrases.similar_pairs(phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes_of(spark, d)))))
+    return phrases.similar_pairs(phrases.best_patterns(notes_of(spark, d)))
 
 
 @query(
@@ -760,7 +797,7 @@ def _(spark, d):
     _NGRAM + _TOP,
 )
 def _(spark, d):
-    rows = phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes_of(spark, d))))
+    rows = phrases.best_patterns(notes_of(spark, d))
     return rows.select("file_id", "rank", F.round(phrases.score(F.col("cnt"), F.col("ivs"), F.col("rhythm"), F.col("p0")), 6).alias("score"))
 
 
@@ -773,7 +810,7 @@ def _(spark, d):
 )
 def _(spark, d):
     notes = notes_of(spark, d)
-    top = phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes))).select("file_id", "rank", "len", "p0", "ivs")
+    top = phrases.best_patterns(notes).select("file_id", "rank", "len", "p0", "ivs")
     return phrases.first_occurrence(notes, top)
 
 
@@ -796,7 +833,7 @@ b as (select *, row_number() over (partition by file_id order by score desc, lea
 
 @query("phrase_leader_groups", " recursive:select file_id, leader, members, frequency from led", _NGRAM + _TOP + _LED)
 def _(spark, d):
-    return phrases.leader_groups(phrases.top_patterns(phrases.pattern_counts(phrases.frames(notes_of(spark, d)))))
+    return phrases.leader_groups(phrases.best_patterns(notes_of(spark, d)))
 
 
 @query("best_phrases", " recursive:select file_id, place as rank, score, frequency, len, p0, array_to_string(ivs, ' ') as ivs, case when members = 1 then 'exact' else 'similar' end as pattern_type from b where place <= 5", _NGRAM + _TOP + _LED + _SCORED)
@@ -804,13 +841,6 @@ def _(spark, d):
     return phrases.best_phrases(notes_of(spark, d)).withColumn("ivs", F.array_join("ivs", " "))
 
 
-@query("ngram_count_all", " select file_id, len, array_to_string(ivs, ' ') as ivs, p0, array_to_string(rhythm, ' ') as rhythm, cnt, first_pos from cn", _NGRAM.replace("range(0, n - len + 1, case when n > 500 then 2 else 1 end)", "range(0, n - len + 1)"))
-def _(spark, d):
-    rows = phrases.pattern_counts(phrases.frames(notes_of(spark, d), step=1))
-    return rows.select("file_id", "len", F.array_join("ivs", " ").alias("ivs"), "p0", F.array_join("rhythm", " ").alias("rhythm"), "cnt", "first_pos")
-
-
-
 # Scalar functions
 
 
@@ -886,7 +916,6 @@ def _(spark, d):
 
 QUERIES["synth_render"] = lambda spark, d: _audio(spark, d).groupBy("file_id", "sr").agg(F.sum("samples").alias("samples"), F.round(F.max(F.array_max(F.slice("y", F.col("lead") + 1, F.col("samples").cast("int")))).cast("double"), 4).alias("peak"))
 QUERIES["wav_frames"] = lambda spark, d: signal.frames(_audio(spark, d)).groupBy("file_id").agg(F.count("*").alias("frames"), F.round(F.max("rms"), 6).alias("rms"))
-QUERIES["peak_pick"] = lambda spark, d: hands.peaks(dynamics.peak_threshold(frames_of(spark, d)))
 @query(
     "pedal_refine_audio",
     """, zs as (select file_id, frame, ((rms - avg(rms) over w) / (stddev_pop(rms) over w + 1e-8) + (velocity - avg(velocity) over w) / (stddev_pop(velocity) over w + 1e-8)) / 2 as z from frames window w as (partition by file_id)),
@@ -902,4 +931,25 @@ def _(spark, d):
 
 
 QUERIES["transcribe_backend"] = lambda spark, d: signal.transcribe(signal.separate(_audio(spark, d)))
-QUERIES["band_energy"] = lambda spark, d: signal.band_energy(signal.frames(_audio(spark, d), spectra=True), seconds_of(notes_of(spark, d))).withColumn("energy", F.round("energy", 4))
+QUERIES["band_energy"] = lambda spark, d: signal.note_features(_audio(spark, d), seconds_of(notes_of(spark, d))).select("note_id", F.round("energy", 4).alias("energy"))
+
+
+def _written_audio(spark, d):
+    """Recordings of all notes, and the notes of track 0 as what was written of them."""
+    return _audio(spark, d), seconds_of(notes_of(spark, d)).where("track = 0")
+
+
+@query("quality_of_audio")
+def _(spark, d):
+    rows = flows.quality_of_audio(*_written_audio(spark, d))
+    return rows.select("file_id", *(F.round(c, 6).alias(c) for c in ("f1", "pitch", "chroma", "polyphony", "rhythm", "score")), "rating")
+
+
+@query("velocity_of_audio")
+def _(spark, d):
+    return flows.enhance_velocities(*_written_audio(spark, d)).select("note_id", "velocity")
+
+
+@query("timing_of_audio")
+def _(spark, d):
+    return flows.refine_timing(*_written_audio(spark, d)).select("note_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))

@@ -171,8 +171,8 @@ def test_snaps_and_rhythms_of_all_rows(spark):
     d = "/root/testdata/sf0.001"
     rows = lambda name: set(map(tuple, catalog.QUERIES[name](spark, d).collect()))
     snapped, rhythms = rows("energy_offset_snap_all"), rows("ngram_rhythm_norm_all")
-    assert rows("energy_offset_snap") < snapped and len(snapped) == catalog.frames_of(spark, d).count()
-    assert rows("ngram_rhythm_norm") < rhythms and {r[2] for r in rhythms} == set(range(8, 21))
+    assert rows("energy_offset_snap") == snapped and len(snapped) == catalog.frames_of(spark, d).count()
+    assert rows("ngram_rhythm_norm") == rhythms and {r[2] for r in rhythms} == set(range(8, 21))
 
 
 def test_pulses(spark):
