@@ -1,15 +1,20 @@
 """License scan by conditional compression.
 
-Every word that licenses use is laid on the same word of each template (on any such word of a template of one or two), which gives a
-window of the text, across lines, of the template's length and some words on both sides. Where the window has enough of the template's words, both are compared word by
-word, and the template whose words the window holds in order, up to ``missing`` of them and in a span that isn't much longer, is
-confirmed if its raw zstandard dictionary saves bytes of that span; a template of fewer than EXACT words must stand there as it is. The differences in wording are exact: a run of words of the
-template and the words in the text instead.
-
-Confirmed notices that don't overlap are all reported; of those that do, the one that holds most words. Nulls and empties: a null
-or empty text has no notice; a null doc_id stays null; repeated rows give their findings each; ties go to the template that comes
-first; no rows give no rows. Extra columns are ignored. Notices are looked for in whole texts; equal windows are compared once a
-worker.
+Words that licenses use mark candidate blocks of a text, across lines and comment marks: a stretch of words of some lengths of a template,
+for each class of template lengths. A block is compressed alone and with each template of the class as a raw zstandard dictionary. A
+template goes on if it saves ``SHARE`` of what it saves of its own text at least; those are ranked by the bytes that they save, and in
+that order confirmed by wording: laid on the same words of the block, a template must stand there with all but ``missing`` of its words,
+in order, in a span that isn't much longer; one of fewer than EXACT words must stand there as it is. A place that a template has taken isn't
+tried again. Differences in wording are exact: a run of words of the template and the words in the text instead.
+
+Words that tell licenses apart (their names, versions, clauses, and negations) must not differ at all: not be missing, changed or added in
+the span, nor may a negation stand before it in the same sentence. So another version or variant, for which there is no template, gives no
+name rather than a wrong one. SPDX lines name whatever they say.
+
+Confirmed notices that don't overlap are all reported; of those that do, the one that saves most bytes of its span. Nulls and empties: a
+null or empty text has no notice; a null doc_id stays null; repeated rows give their findings each; ties go to the template that
+comes first; no rows give no rows. Extra columns are ignored. Notices are looked for in whole texts; equal blocks are ranked, and equal
+windows compared, once a worker.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from cantora.llm.common import slices, table, texts
 
 MISSING, CACHE = 0.15, 50_000
 EXACT = 6  # templates of fewer words are found in their wording only
+#: Of what a template saves of its own text, what it must save of a block; and the longest template of each class of lengths.
+SHARE, CLASSES = 0.3, (6, 14, 30, 60, 120, 1_000)
 TRIGGERS = ("licens", "licenc", "copyright", "warrant", "redistribut", "spdx-")
 PAIRS = {("permission", "is"), ("permission", "to"), ("rights", "reserved"), ("public", "domain"), ("creative", "commons")}
 _MAYBE = re.compile("|".join((*TRIGGERS, *(b if b not in ("is", "to") else a for a, b in sorted(PAIRS)))))
@@ -62,9 +69,20 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved.",
-    "SPDX-MIT": "SPDX-License-Identifier: MIT",
-    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-1.1-notice": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "SPDX": "SPDX-License-Identifier:",
 }
+#: Parts of words that tell licenses apart, and words that turn a notice round.
+TELLING = frozenset("apache mit bsd isc gnu general lesser affero private mozilla eclipse creative commons cc nc sa nd attribution sharealike noncommercial noderivatives noderivs proprietary commercial".split())
+NEGATIONS = frozenset("not no never neither nor without isn aren wasn weren".split())
+_SPDX = re.compile(r"\W*([\w.+-]+(?: +(?:AND|OR|WITH) +[\w.+-]+)*)")
 _WORD = re.compile(r"\w[\w.+/-]*\w|\w")
 
 
@@ -76,19 +94,63 @@ def triggers_of(words: list[str]) -> list[int]:
     return [i for i, w in enumerate(words) if any(t in w for t in TRIGGERS) or (i + 1 < len(words) and (w, words[i + 1]) in PAIRS)]
 
 
-class Scanner:
-    def __init__(self, templates: dict[str, str], missing: float = MISSING):
+def tells(word: str) -> bool:
+    return not TELLING.isdisjoint(re.split(r"\W+", word)) or word in NEGATIONS
+
+
+def telling_words(words: list[str]) -> list[bool]:
+    """Words of a template that must stand in a text: telling ones, and versions."""
+    version = [any(c.isdigit() for c in w) and ("." in w or (i and words[i - 1] in ("version", "v"))) for i, w in enumerate(words)]
+    return [v or tells(w) for v, w in zip(version, words, strict=True)]
+
+
+def _compressor(known=None):
+    """Literals are kept as they are, so that what a dictionary saves are the bytes of its matches, whatever else a block holds."""
+    import zstandard as zstd
+
+    plain = zstd.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=14, search_log=1, strategy=zstd.STRATEGY_FAST, target_length=1, min_match=4, write_checksum=False, write_content_size=False, write_dict_id=False)
+    return zstd.ZstdCompressor(compression_params=plain, dict_data=known)
+
+
+class Template:
+    def __init__(self, name: str, text: str, plain):
         import zstandard as zstd
 
-        self.missing = missing
-        self.plain = zstd.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
-        self.templates = []
-        for name, text in templates.items():
-            known = zstd.ZstdCompressionDict(text.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            words = words_of(text)
-            at = triggers_of(words) or list(range(len(words)))
-            self.templates.append((name, words, Counter(words), at, zstd.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        self.name, self.words = name, words_of(text)
+        self.bag, self.telling = Counter(self.words), telling_words(self.words)
+        self.at = triggers_of(self.words) or list(range(len(self.words)))
+        own = " ".join(self.words).encode()
+        known = zstd.ZstdCompressionDict(own, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        self.compressor = _compressor(known)
+        self.own = len(plain.compress(own)) - len(self.compressor.compress(own))
+
+
+class Scanner:
+    def __init__(self, templates: dict[str, str], missing: float = MISSING, share: float = SHARE):
+        self.missing, self.share = missing, share
+        self.plain = _compressor()
+        self.templates = [Template(name, text, self.plain) for name, text in templates.items()]
+        self.classes = [(most, [k for k, t in enumerate(self.templates) if less < len(t.words) <= most]) for less, most in zip((0, *CLASSES), CLASSES, strict=False)]
         self.seen: dict[tuple, tuple | None] = {}
+        self.ranks: dict[tuple, list[int]] = {}
+
+    def saved(self, k: int, raw: bytes) -> int:
+        """Bytes that a template saves of a text."""
+        return len(self.plain.compress(raw)) - len(self.templates[k].compressor.compress(raw))
+
+    def rank(self, block: tuple[str, ...], among: list[int]) -> list[int]:
+        """Templates that save enough of a block, by the bytes they save."""
+        key = (among[0], block)
+        if key not in self.ranks:
+            if len(self.ranks) >= CACHE:
+                self.ranks.clear()
+            raw, found = " ".join(block).encode("utf-8", "replace"), []
+            for k in among:
+                saved = self.saved(k, raw)
+                if saved > 0 and saved >= self.share * self.templates[k].own:
+                    found.append((-saved, k))
+            self.ranks[key] = [k for _, k in sorted(found)]
+        return self.ranks[key]
 
     def align(self, k: int, found: tuple[str, ...]) -> tuple[int, int, int, str] | None:
         """Where the template's words begin and end in a window, their number, and the differences; None if it isn't confirmed."""
@@ -99,9 +161,9 @@ class Scanner:
         return self.seen[k, found]
 
     def _align(self, k: int, found: tuple[str, ...]) -> tuple[int, int, int, str] | None:
-        _, wanted, bag, _, _ = self.templates[k]
-        least = (1 - self.missing) * len(wanted)
-        if sum((bag & Counter(found)).values()) < least:
+        template = self.templates[k]
+        wanted, least = template.words, (1 - self.missing) * len(template.words)
+        if sum((template.bag & Counter(found)).values()) < least:
             return None
         ops = SequenceMatcher(None, wanted, found, autojunk=False).get_opcodes()
         inside = [o for o in ops if o[0] == "equal"]
@@ -109,6 +171,9 @@ class Scanner:
         if not inside or held < least or inside[-1][4] - inside[0][3] > (1.5 * len(wanted) + 2 if len(wanted) >= EXACT else len(wanted)):
             return None
         changes = [o for o in ops if o[0] != "equal" and not (o[0] == "insert" and (o[4] <= inside[0][3] or o[3] >= inside[-1][4]))]
+        for _, i, j, x, y in changes:
+            if any(template.telling[i:j]) or any(tells(w) for w in found[max(x, inside[0][3]) : min(y, inside[-1][4])]):
+                return None
         return inside[0][3], inside[-1][4], held, "; ".join(f"{' '.join(wanted[o[1] : o[2]]) or '-'} -> {' '.join(found[o[3] : o[4]]) or '-'}" for o in changes)
 
     def scan(self, text: str) -> list[tuple]:
@@ -117,42 +182,60 @@ class Scanner:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         words = [text[i:j].lower() for i, j in spans]
+        triggers = triggers_of(words)
         found: dict[tuple[int, int, int], tuple[int, str]] = {}
-        whole: dict[int, list[tuple[int, int]]] = {}
-        for t in triggers_of(words):
-            for k, (_, wanted, bag, at, _) in enumerate(self.templates):
-                n = len(wanted)
-                if any(i <= t < j for i, j in whole.get(k, ())):
-                    continue
-                around = Counter(words[max(0, t - 2 * n) : t + 2 * n])
-                if sum((bag & around).values()) < (1 - self.missing) * n:
-                    continue
-                # a notice of many trigger words has some that are unchanged
-                for p in at if len(at) <= 2 else [p for p in at if wanted[p] == words[t]]:
-                    # close to the template's length first, so that a stray word before it doesn't stretch it
-                    for slack in (0, n // 4 + 1, n // 2 + 1):
-                        begin = max(0, t - p - slack)
-                        one = self.align(k, tuple(words[begin : max(0, t - p + n + slack)]))
-                        if one:
-                            i, j, held, changes = one
-                            found[begin + i, begin + j, k] = held, changes
-                            if held == n:
-                                whole.setdefault(k, []).append((begin + i, begin + j))
-                                break
+        for most, among in self.classes:
+            nth = 0
+            while among and nth < len(triggers):
+                # a block around the triggers of the next ``most`` words
+                first, end = triggers[nth], nth
+                while end < len(triggers) and triggers[end] <= first + most:
+                    end += 1
+                here, nth = triggers[nth:end], end
+                low, high = max(0, first - 3 * most // 2 - 2), here[-1] + 3 * most // 2 + 2
+                taken: list[tuple[int, int]] = []
+                for k in self.rank(tuple(words[low:high]), among):
+                    for t in here:
+                        if not any(i <= t < j for i, j in taken):
+                            self._confirm(k, t, words, found, taken)
         ranked = []
         for (i, j, k), (held, changes) in found.items():
-            raw = text[spans[i][0] : spans[j - 1][1]].encode("utf-8", "replace")
-            share = 1 - len(self.templates[k][4].compress(raw)) / len(self.plain.compress(raw))
-            if share > 0:
-                ranked.append((-held, -held / len(self.templates[k][1]), j - i, -share, k, i, j, changes))
+            before = words[max(0, i - 2) : i]
+            if not NEGATIONS.isdisjoint(before) and not re.search(r"[.!?;:]|\n\s*\n", text[spans[i - len(before)][0] : spans[i][0]]):
+                continue
+            raw = " ".join(words[i:j]).encode("utf-8", "replace")
+            ranked.append((-self.saved(k, raw), -held / len(self.templates[k].words), j - i, k, i, j, held, changes))
         out, taken = [], []
         breaks = [m.start() for m in re.finditer("\n", text)]
-        for _, held, _, share, k, i, j, changes in sorted(ranked):
+        for saved, _, _, k, i, j, held, changes in sorted(ranked):
             if all(j <= a or i >= b for a, b in taken):
                 taken.append((i, j))
-                out.append((i, (bisect(breaks, spans[i][0]), bisect(breaks, spans[j - 1][0]), self.templates[k][0], -share, -held, changes)))
+                name = self.templates[k].name
+                if name == "SPDX":
+                    said = _SPDX.match(text, spans[j - 1][1])
+                    if not said or "\n" in text[spans[j - 1][1] : said.start(1)]:
+                        continue
+                    name = f"SPDX-{said[1]}"
+                whole = len(self.plain.compress(" ".join(words[i:j]).encode("utf-8", "replace")))
+                out.append((i, (bisect(breaks, spans[i][0]), bisect(breaks, spans[j - 1][0]), name, -saved / whole, held / len(self.templates[k].words), changes)))
         return [row for _, row in sorted(out)]
 
+    def _confirm(self, k: int, t: int, words: list[str], found: dict, taken: list) -> None:
+        template = self.templates[k]
+        n = len(template.words)
+        # a notice of many trigger words has some that are unchanged
+        for p in template.at if len(template.at) <= 2 else [p for p in template.at if template.words[p] == words[t]]:
+            # close to the template's length first, so that a stray word before it doesn't stretch it
+            for slack in (0, n // 4 + 1, n // 2 + 1):
+                begin = max(0, t - p - slack)
+                one = self.align(k, tuple(words[begin : max(0, t - p + n + slack)]))
+                if one:
+                    i, j, held, changes = one
+                    found[begin + i, begin + j, k] = held, changes
+                    if held == n:
+                        taken.append((begin + i, begin + j))
+                        return
+
 
 _FOUND = "doc_id long, first_line long, last_line long, license string, saved double, held double, differences string"
 
