@@ -1,8 +1,8 @@
 r"""Line dedup with a log-template tree of fixed depth.
 
 A line's variable fields (URLs, addresses, words with digits) become ``<*>``. Its leaf in the tree is its number of tokens and
-its three leading tokens. Two lines of a leaf are similar if at least ``similar`` of their tokens agree in place and at most MOST
-differ. Each line joins the most frequent line of its leaf that is similar to it (ties: the smaller hash), the hub; a hub and what
+its three leading tokens. Two lines of a leaf are similar if at least ``similar`` of their tokens agree in place, however long they
+are. Each line joins the most frequent line of its leaf that is similar to it (ties: the smaller hash), the hub; a hub and what
 joins it form a template, whose places that differ are variable too. A template that stands in ``min_docs`` documents or more is
 recurring: its lines are dropped from all documents but the one with the smallest doc_id, so that nothing is lost altogether.
 Lines of a template that have LONG constant tokens or more in common with its hub are recurring in ``long_docs`` documents already.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from cantora.llm.common import Scratch, bounded, fresh, table
 
-MIN_DOCS, MIN_TOKENS, SIMILAR, MOST = 10, 3, 0.8, 31
+MIN_DOCS, MIN_TOKENS, SIMILAR = 10, 3, 0.8
 LEAD, LONG, LONG_DOCS, SHORT_DOCS = 3, 50, 2, 100
 GROUP = 1_000
 VARIABLE = r"(?<!\S)(?:(?:https?://|www\.)\S+|[^\s\d@]*+[\d@]\S*)"  # possessive, so that a word is read once
@@ -73,20 +73,19 @@ def _marks(text: Column, min_tokens: int) -> Column:
 @cache
 def may_differ(n: int, similar: float) -> int:
     """In how many places two similar lines of n tokens may differ."""
-    differ = 0
-    while differ < MOST and n - differ - 1 >= similar * n:
+    differ = max(0, int((1 - similar) * n) - 1)
+    while n - differ - 1 >= similar * n:
         differ += 1
     return differ
 
 
-@cache
-def _runs(n: int, similar: float) -> list[list[int]]:
-    """Places of a line of n tokens, the ones after the leading ones cut into one piece more than may differ: two similar lines of a leaf
-    agree on one of these. None if no place may differ."""
+def _runs(n: int, similar: float) -> list[tuple[int, int]]:
+    """Places (from, to) of a line of n tokens, the ones after the leading ones cut into one piece more than may differ: two similar lines
+    of a leaf agree on one of these. None if no place may differ."""
     differ = may_differ(n, similar)
     first = min(LEAD, n)
     cuts = [first + (n - first) * k // (differ + 1) for k in range(differ + 2)]
-    return [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)] if differ else []
+    return list(zip(cuts, cuts[1:], strict=False)) if differ else []
 
 
 _DEALT = "key long, solid boolean, leaf long, line long, n long"
@@ -97,18 +96,24 @@ def _deal(similar: float):
 
     solid: so few places are left that all lines of a key are similar."""
 
+    def dealt(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for leaf, line, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = np.array(tokens, np.int64)
-                differ = may_differ(len(tokens), similar)
-                for k, places in enumerate(_runs(len(tokens), similar)):
-                    piece = xxhash.xxh3_64_intdigest(np.concatenate((np.array([leaf, k, len(tokens)], np.int64), tokens[places])).tobytes())
-                    out.append((piece - (1 << 63), len(tokens) - LEAD - len(places) <= differ, leaf, line, n))
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _DEALT.split(", ")])
+                raw, count = np.array(tokens, np.int64).tobytes(), len(tokens)
+                differ = may_differ(count, similar)
+                for k, (i, j) in enumerate(_runs(count, similar)):
+                    piece = xxhash.xxh3_64_intdigest(np.array([leaf, k, count], np.int64).tobytes() + raw[8 * i : 8 * j])
+                    out.append((piece - (1 << 63), count - LEAD - (j - i) <= differ, leaf, line, n))
+                if len(out) >= 20_000:
+                    yield dealt(out)
+                    out = []
+            yield dealt(out)
 
     return run
 
