@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_SCOPE: ContextVar[list[Scratch] | None] = ContextVar("scratches of the block", default=None)
+
+
 class Scratch:
     """Tables written in the shared folder, which cut lineage and survive lost executors.
 
-    free() removes one when nothing reads it any longer, drop_since() all of the scratches opened since then; the rest goes when the
-    session's JVM ends.
+    free() removes one when nothing reads it any longer; what scratches hold that are opened within a scope() goes at its end, whatever
+    other threads open meanwhile; the rest goes when the session's JVM ends.
     """
 
-    opened: list[Scratch] = []
-
     def __init__(self, spark: SparkSession):
-        self.opened.append(self)
+        if (scope := _SCOPE.get()) is not None:
+            scope.append(self)
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         self.spark = spark
@@ -70,12 +74,18 @@ class Scratch:
         """df written, then as bounded() gives it."""
         return bounded(self.keep(df, name))
 
-    @classmethod
-    def drop_since(cls, mark: int) -> None:
-        """Removes what scratches hold that were opened after the first ``mark`` ones."""
-        for scratch in cls.opened[mark:]:
-            scratch._fs().delete(scratch._path(scratch.root), True)
-        del cls.opened[mark:]
+    @staticmethod
+    @contextmanager
+    def scope() -> Iterator[None]:
+        """What this thread's scratches of the block hold is removed behind it."""
+        mine: list[Scratch] = []
+        token = _SCOPE.set(mine)
+        try:
+            yield
+        finally:
+            _SCOPE.reset(token)
+            for scratch in mine:
+                scratch._fs().delete(scratch._path(scratch.root), True)
 
     def free(self, *tables: DataFrame) -> None:
         for df in tables:

@@ -33,3 +33,35 @@ def test_stages(spark, tmp_path):
     assert seen["benchmark"] == seen["near_duplicates"] - {202} == seen["packing"]
     assert docs.groupBy("sequence_id").agg({"length": "sum"}).where(f"`sum(length)` > {packing.LENGTH}").count() == 0
     assert corpus_pipeline.run(spark, d).count() == docs.count() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_edges(spark, tmp_path):
+    """An empty table; null ids and texts, repeats and clashing columns."""
+    d = str(tmp_path)
+    kinds = "doc_id long, text string, node string, quality int, _quality double, h1 long"
+    text = " ".join(f"word{chr(97 + k % 26)}" for k in range(60))
+    rows = [(None, text + " one two three", "a", 1, 0.5, 7), (None, None, "b", None, None, None), (1, text, "c", 0, 0.1, 8), (1, text, "c", 0, 0.1, 8), (2, "", None, 1, 0.2, 9), (3, "other words " * 9, "z", 2, 0.3, 1)]
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, given in (("none", []), ("some", rows)):
+        docs = spark.createDataFrame(given, kinds)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, d).write.parquet(f"{d}/{name}{k}")
+            columns, docs = docs.columns, spark.read.parquet(f"{d}/{name}{k}")
+            assert k == 4 or docs.columns == columns
+            if k == 2:
+                assert docs.where("doc_id = 1").count() <= 1
+        assert (docs.count() == 0) == (name == "none")
+
+
+def test_scratches_of_other_threads_stay(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from cantora.llm.common import Scratch
+
+    with Scratch.scope():
+        mine = Scratch(spark).keep(spark.range(3), "mine")
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(lambda: Scratch(spark).keep(spark.range(5), "other")).result()
+        assert mine.count() == 3
+    assert other.count() == 5 and not spark._jvm.java.io.File(mine._cantora_path.removeprefix("file:")).exists()
