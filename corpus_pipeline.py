@@ -1,4 +1,9 @@
-"""Raw documents to packed training sequences: quality, line dedup, near-dedup, decontamination, packing."""
+"""Raw documents to packed training sequences: quality, line dedup, near-dedup, decontamination, packing.
+
+Each stage gives its operator's results for nulls, empty and very long texts, ties and repeats: a null text is an empty one, an empty or
+blank text passes unless the classifier rejects it, a null doc_id is a document of its own, rows that repeat a doc_id and a
+text are one from the near-duplicates on, and an empty table gives an empty one. Columns of any name and type pass through all but the last.
+"""
 
 from __future__ import annotations
 
@@ -73,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, mark = docs, len(Scratch.opened)
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        Scratch.drop_since(mark)
+        before = docs
+        with Scratch.scope():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
         scratch.free(before)
     return STAGES[-1][1](spark, docs, sf_dir)
