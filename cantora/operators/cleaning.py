@@ -63,17 +63,16 @@ def merge_rapid(notes: DataFrame, least_ms: float = 30, ms_per_tick: float = 2.3
     return rows.groupBy(*keys, "island", "pair").agg(F.min("start_tick").alias("start_tick"), F.max_by("end_tick", at).alias("end_tick"), F.min_by("velocity", at).alias("velocity"), F.min_by("channel", at).alias("channel"), F.count("*").alias("joined")).drop("island", "pair")
 
 
-def correction_stats(notes: DataFrame, min_ms: float = 120) -> DataFrame:
-    """Counters of a correction run, a row a file."""
-    rows = with_reason(notes)
-    kept = F.col("reason") == "kept"
-    counts = rows.groupBy("file_id").agg(
+def correction_stats(notes: DataFrame, min_ms: float = 120, within_ms: float = 50) -> DataFrame:
+    """Counters of a correction run, a row a file. merged: kept notes that join the one before them."""
+    rows = with_reason(notes).withColumn("_kept", F.col("reason") == "kept")
+    gap = F.col("start_tick") - F.lag("end_tick").over(Window.partitionBy("file_id", "pitch", "_kept").orderBy("start_tick", "note_id"))
+    return rows.withColumn("_joins", F.col("_kept") & gap.between(0, int(within_ms / M.ms_per_tick() + 1e-9))).groupBy("file_id").agg(
         F.count("*").alias("total"),
         *(F.count_if(F.col("reason") == r).alias(f"removed_{r}") for r in ("quiet", "range", "short")),
-        F.count_if(kept & (F.col("dur_ticks") * F.lit(M.ms_per_tick()) < min_ms)).alias("extended"),
+        F.count_if(F.col("_kept") & (F.col("dur_ticks") * F.lit(M.ms_per_tick()) < min_ms)).alias("extended"),
+        F.count_if("_joins").alias("merged"),
     )
-    merged = merge_legato(kept_notes(notes)).groupBy("file_id").agg(F.sum(F.col("merged") - 1).alias("merged"))
-    return counts.join(merged, "file_id", "left").withColumn("merged", F.coalesce("merged", F.lit(0).cast("long")))
 
 
 def pitch_class_histogram(notes: DataFrame) -> DataFrame:

@@ -27,11 +27,16 @@ def _played(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("kind").isin("note_on", "note_off")).withColumn("on", is_on())
 
 
-def pair_last_on_wins(messages: DataFrame) -> DataFrame:
-    """An off closes the message before it if that is an on; struck again, a pitch forgets its first on; open notes are dropped."""
+def pair_last_on_wins(messages: DataFrame, channel_of: str = "on", velocity_of: str = "on") -> DataFrame:
+    """An off closes the message before it if that is an on; struck again, a pitch forgets its first on; open notes are dropped.
+
+    channel_of and velocity_of say whose they are: the on's, or those of what closes it ("off"), whose velocity is 64 for a note_off and
+    0 for a note_on of velocity 0."""
     rows = _played(messages).select("*", F.lag("on").over(by_pitch()).alias("p_on"), F.lag("abs_tick").over(by_pitch()).alias("start_tick"), F.lag("velocity").over(by_pitch()).alias("p_velocity"), F.lag("channel").over(by_pitch()).alias("p_channel"))
     rows = rows.where(~F.col("on") & F.col("p_on"))
-    return rows.select("file_id", "track", F.col("p_channel").alias("channel"), "pitch", F.col("p_velocity").alias("velocity"), "start_tick", F.col("abs_tick").alias("end_tick"), (F.col("abs_tick") - F.col("start_tick")).alias("dur_ticks"), F.col("seq").alias("emit_seq"))
+    channel = F.col("p_channel" if channel_of == "on" else "channel")
+    velocity = F.col("p_velocity") if velocity_of == "on" else F.when(F.col("kind") == "note_off", 64).otherwise(0).cast("int")
+    return rows.select("file_id", "track", channel.alias("channel"), "pitch", velocity.alias("velocity"), "start_tick", F.col("abs_tick").alias("end_tick"), (F.col("abs_tick") - F.col("start_tick")).alias("dur_ticks"), F.col("seq").alias("emit_seq"))
 
 
 def pair_retrigger(messages: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +79,9 @@ def report(scores: DataFrame) -> DataFrame:
 
 def overall(f1: DataFrame, pitch: DataFrame, chroma: DataFrame, poly: DataFrame, rhythm: DataFrame) -> DataFrame:
     """One row a file: the five measures, their weighted sum and its rating."""
-    rows = f1.select("file_id", "f1").join(pitch, "file_id", "full").join(chroma, "file_id", "full").join(poly.select("file_id", F.col("score").alias("polyphony")), "file_id", "full").join(rhythm, "file_id", "full")
+    measures = {"f1": f1, "pitch": pitch, "chroma": chroma, "polyphony": poly.withColumnRenamed("score", "polyphony"), "rhythm": rhythm}
+    one = lambda name, rows: rows.select("file_id", *((F.col(c) if c == name else F.lit(None)).cast("double").alias(c) for c in measures))
+    rows = reduce(DataFrame.unionByName, (one(*m) for m in measures.items())).groupBy("file_id").agg(*(F.max(c).alias(c) for c in measures))
     rows = rows.na.fill(0.0, ["f1", "pitch", "chroma", "polyphony"]).na.fill(0.5, ["rhythm"])
     rows = rows.withColumn("score", M.overall_score(*(F.col(c) for c in ("f1", "pitch", "chroma", "polyphony", "rhythm"))))
     return rows.withColumn("rating", M.rating(F.col("score")))

@@ -3,13 +3,15 @@
 Audio is rows of whole recordings (file_id, sr, y) or of their chunks of at most CHUNK frames: file_id, sr, hop, first (frame), lead,
 samples, length (of the recording), y. A chunk's own samples are y[lead : lead + samples]; y has besides what its frames and the one before its first read.
 
-The recording's onset strength, tempo and chroma are plain spectral approximations, not those of any audio library.
+The recording's onset strength and the chroma of features() are plain spectral approximations, not those of any audio library; compare()
+uses the chroma of a constant-Q bank.
 """
 
 from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SR, HOP, N_FFT, CHUNK = 22_050, 512, 2048, 512
-_CHUNK = "file_id int, sr int, hop int, first long, lead int, samples long, length long, y array<float>"
+CHUNKS = "file_id int, sr int, hop int, first long, lead int, samples long, length long, y array<float>"
 
 
 def stft(y: np.ndarray, n_fft: int = N_FFT, hop: int = HOP, padded: bool = False) -> np.ndarray:
@@ -29,6 +31,11 @@ def stft(y: np.ndarray, n_fft: int = N_FFT, hop: int = HOP, padded: bool = False
     return np.abs(np.fft.rfft(frames * window, axis=1)).T
 
 
+def flux(mag: np.ndarray) -> np.ndarray:
+    """What magnitudes (bins x frames) gain from frame to frame, 0 in the first."""
+    return np.maximum(0, np.diff(mag, axis=1, prepend=mag[:, :1])).sum(axis=0)
+
+
 def features(y: np.ndarray, sr: int = SR, hop: int = HOP, padded: bool = False) -> dict[str, np.ndarray]:
     """rms, env (positive flux), centroid and rolloff of each frame, and chroma (12 x frames, largest 1)."""
     y = np.asarray(y, np.float64) if padded else np.pad(np.asarray(y, np.float64), N_FFT // 2)
@@ -36,13 +43,58 @@ def features(y: np.ndarray, sr: int = SR, hop: int = HOP, padded: bool = False)
     freq = np.fft.rfftfreq(N_FFT, 1 / sr)
     windows = np.lib.stride_tricks.sliding_window_view(y, N_FFT)[::hop][: mag.shape[1]]
     total = mag.sum(axis=0) + 1e-12
-    flux = np.maximum(0, np.diff(mag, axis=1, prepend=mag[:, :1])).sum(axis=0)
     rolled = np.cumsum(mag, axis=0) >= 0.85 * total
     pitch = np.round(12 * np.log2(np.maximum(freq, 1e-6) / 440)).astype(int) + 69
     chroma = np.zeros((12, mag.shape[1]))
     heard = (freq > 27) & (freq < 4200)
     np.add.at(chroma, (pitch % 12)[heard], mag[heard])
-    return {"rms": np.sqrt((windows**2).mean(axis=1)), "env": flux, "centroid": (freq[:, None] * mag).sum(axis=0) / total, "rolloff": freq[rolled.argmax(axis=0)], "chroma": chroma / np.maximum(chroma.max(axis=0), 1e-12), "mag": mag}
+    return {"rms": np.sqrt((windows**2).mean(axis=1)), "env": flux(mag), "centroid": (freq[:, None] * mag).sum(axis=0) / total, "rolloff": freq[rolled.argmax(axis=0)], "chroma": chroma / np.maximum(chroma.max(axis=0), 1e-12), "mag": mag}
+
+
+#: The constant-Q bank: octaves from the lowest frequency (C1), bins of each, and what lies on both sides of the frames that are asked for.
+OCTAVES, PER_OCTAVE, LOWEST, REACH = 7, 36, 440 * 2 ** (-45 / 12), 36_864
+
+
+@lru_cache(4)
+def _kernels(sr: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and sines (samples x bins) of the top octave in Hann windows of Q periods, around the middle."""
+    freq = LOWEST * 2 ** (OCTAVES - 1 + np.arange(PER_OCTAVE) / PER_OCTAVE)
+    width = sr / freq / (2 ** (1 / PER_OCTAVE) - 1)
+    half = 1 << int(np.ceil(np.log2(width.max() / 2)))
+    n = np.arange(-half, half)[:, None]
+    window = np.where(np.abs(n) < width / 2, 0.5 + 0.5 * np.cos(2 * np.pi * n / width), 0.0)
+    window /= window.sum(axis=0)
+    return window * np.cos(2 * np.pi * freq * n / sr), window * np.sin(2 * np.pi * freq * n / sr)
+
+
+@lru_cache(1)
+def _half_band() -> np.ndarray:
+    n = np.arange(-15, 16)
+    taps = 0.5 * np.sinc(0.5 * n) * np.kaiser(31, 9)
+    return taps / taps.sum()
+
+
+def constant_q(y: np.ndarray, count: int, sr: int = SR, hop: int = HOP) -> np.ndarray:
+    """Magnitudes (bins x frames) of geometrically spaced bins at ``count`` frames, the first of which is REACH samples from the start of y,
+    which goes on as far behind the last. The bank of the top octave serves all, on a signal of half the rate for each octave down; y
+    starts at a multiple of 2^6 samples of its recording, so parts of it give what the whole gives."""
+    if hop % (1 << OCTAVES - 1):
+        raise ValueError("every octave halves the hop")
+    (cosines, sines), out, x = _kernels(sr), [], np.asarray(y, np.float64)
+    half = len(cosines) // 2
+    for octave in range(OCTAVES):
+        at = (REACH >> octave) - half + (hop >> octave) * np.arange(count)
+        frames = np.lib.stride_tricks.sliding_window_view(x, 2 * half)[at]
+        out.append(np.sqrt((frames @ cosines) ** 2 + (frames @ sines) ** 2).T)
+        x = np.convolve(x, _half_band(), "same")[::2]
+    return np.concatenate(out[::-1])
+
+
+def pitch_classes(bins: np.ndarray) -> np.ndarray:
+    """Chroma (12 x frames, largest 1) of constant-Q bins: each class has the bins nearest to it in all octaves."""
+    per = PER_OCTAVE // 12
+    folded = np.roll(bins.reshape(OCTAVES, PER_OCTAVE, -1).sum(axis=0), per // 2, axis=0).reshape(12, per, -1).sum(axis=1)
+    return folded / np.maximum(folded.max(axis=0), 1e-12)
 
 
 def tempo(env: np.ndarray, sr: int = SR, hop: int = HOP) -> float:
@@ -57,6 +109,34 @@ def tempo(env: np.ndarray, sr: int = SR, hop: int = HOP) -> float:
     return float(bpm[fit][np.argmax(corr[1:][fit] * np.exp(-0.5 * (np.log2(bpm[fit] / 120)) ** 2))]) if fit.any() else 120.0
 
 
+def tempos(frames: DataFrame, value: str = "env", sr: int = SR, hop: int = HOP, usual: float = 120.0, most: float = 320.0) -> DataFrame:
+    """file_id, tempo (beats a minute) of onset strengths, from a tempogram: autocorrelations of windows of 8 s that overlap by half, each
+    scaled to its largest, averaged a recording; of all lags the one of the largest logarithm, less the square of its octaves
+    from the usual tempo by half. Without any rise the usual tempo. Windows are the unit of work, lags of the average."""
+    half = int(4 * sr / hop)
+    at = F.expr(f"cast(frame div {half} as long)")
+    rows = frames.select("file_id", "frame", F.col(value).cast("double").alias("v"), F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0")
+    # a window that only the end of a recording reaches is part of the one before
+    last = F.max("frame").over(Window.partitionBy("file_id"))
+    rows = rows.withColumn("_last", last).where((F.col("window") == 0) | (F.col("window") * half + half <= F.col("_last")))
+    rows = rows.groupBy("file_id", "window").agg(F.array_sort(F.collect_list(F.struct("frame", "v"))).alias("of")).select("file_id", F.col("of.v").alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(2 * half) / (2 * half))
+        for batch in batches:
+            for file_id, v in zip(batch["file_id"], batch["v"], strict=True):
+                x = np.asarray(v) * hann[: len(v)]
+                auto = np.fft.irfft(np.abs(np.fft.rfft(x, 4 * half)) ** 2)[1 : 2 * half]
+                top = np.abs(auto).max()
+                yield pd.DataFrame({"file_id": file_id, "lag": np.arange(1, 2 * half), "auto": auto / top if top > 0 else 0.0})
+
+    mean = rows.mapInPandas(run, "file_id int, lag int, auto double").groupBy("file_id", "lag").agg(F.avg("auto").alias("auto"))
+    bpm = F.lit(60.0 * sr / hop) / F.col("lag")
+    score = F.log1p(1e6 * F.greatest(F.col("auto"), F.lit(0.0))) - 0.5 * F.pow(F.log2(bpm) - F.log2(F.lit(usual)), 2)
+    best = F.max_by(bpm, F.struct(F.when(bpm <= most, score).alias("score"), (-F.col("lag")).alias("lag")))
+    return mean.groupBy("file_id").agg(F.when(F.max("auto") > 0, best).otherwise(F.lit(usual)).alias("tempo"))
+
+
 def _mix(notes: pd.DataFrame, length: int, first: int, last: int, sr: int) -> np.ndarray:
     """Samples first to last of a recording of ``length`` samples, 0 outside it, before they are scaled."""
     y = np.zeros(last - first)
@@ -94,34 +174,34 @@ def render(notes: DataFrame, sr: int = SR) -> DataFrame:
     return notes.select("file_id", "pitch", "velocity", "start_s", "end_s").groupBy("file_id").applyInPandas(run, "file_id int, sr int, y array<float>")
 
 
-def _bounds(first: int, length: int, hop: int) -> tuple[int, int, int, int]:
-    """lead, samples, and the places where y begins and ends, of the chunk at a frame."""
+def bounds(first: int, length: int, hop: int, beyond: int = N_FFT // 2) -> tuple[int, int, int, int]:
+    """lead, samples, and the places where y begins and ends, of the chunk at a frame; beyond: what y has on both sides of its frames."""
     count = min(CHUNK, 1 + length // hop - first)
-    lead = N_FFT // 2 + (hop if first else 0)
+    lead = beyond + (hop if first else 0)
     begin = first * hop - lead
-    return lead, max(0, min((first + CHUNK) * hop, length) - first * hop), begin, (first + count - 1) * hop + N_FFT // 2
+    return lead, max(0, min((first + CHUNK) * hop, length) - first * hop), begin, (first + count - 1) * hop + beyond
 
 
-def _pieces(notes: DataFrame, sr: int, hop: int) -> DataFrame:
+def _pieces(notes: DataFrame, sr: int, hop: int, beyond: int) -> DataFrame:
     """Notes with each chunk (of CHUNK frames) whose samples or frames they reach, beyond a recording's end as well."""
     of = lambda sample: F.floor(sample / (CHUNK * hop)).cast("long")
-    reach = F.sequence(F.greatest(of(F.floor(F.col("start_s") * sr) - N_FFT // 2), F.lit(0)), of(F.floor(F.col("end_s") * sr) + hop + N_FFT // 2))
+    reach = F.sequence(F.greatest(of(F.floor(F.col("start_s") * sr) - beyond), F.lit(0)), of(F.floor(F.col("end_s") * sr) + hop + beyond))
     return notes.where("end_s > start_s").withColumn("chunk", F.explode(reach))
 
 
-def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
+def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP, beyond: int = N_FFT // 2) -> DataFrame:
     """Chunks of what render() gives. The notes of each chunk are mixed twice: for the recording's peak, and to be scaled by it."""
     notes = notes.select("file_id", "pitch", "velocity", "start_s", "end_s")
     lengths = notes.groupBy("file_id").agg((F.floor(F.max("end_s") * sr) + 1).cast("long").alias("length"))
     last = F.floor(F.floor(F.col("length") / hop) * hop / (CHUNK * hop)).cast("long")
-    rows = _pieces(notes, sr, hop).join(lengths, "file_id").where(F.col("chunk") <= last)
+    rows = _pieces(notes, sr, hop, beyond).join(lengths, "file_id").where(F.col("chunk") <= last)
     rows = rows.select(*notes.columns, "length", "chunk")
     silent = lengths.select("file_id", *[F.lit(0).cast(notes.schema[c].dataType).alias(c) for c in notes.columns[1:]], "length").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.unionByName(silent)
 
     def mixed(group: pd.DataFrame) -> tuple[int, int, int, np.ndarray]:
         first, length = int(group["chunk"].iloc[0]) * CHUNK, int(group["length"].iloc[0])
-        lead, samples, begin, end = _bounds(first, length, hop)
+        lead, samples, begin, end = bounds(first, length, hop, beyond)
         return first, lead, samples, _mix(group.sort_values(["start_s", "pitch"]), length, begin, end, sr)
 
     def loudest(group: pd.DataFrame) -> pd.DataFrame:
@@ -133,10 +213,10 @@ def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
         return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "length": int(group["length"].iloc[0]), "y": [(y / top if top > 0 else y).astype(np.float32)]})
 
     tops = rows.groupBy("file_id", "chunk").applyInPandas(loudest, "file_id int, top double").groupBy("file_id").agg(F.max("top").alias("top"))
-    return rows.join(tops, "file_id").groupBy("file_id", "chunk").applyInPandas(scaled, _CHUNK)
+    return rows.join(tops, "file_id").groupBy("file_id", "chunk").applyInPandas(scaled, CHUNKS)
 
 
-def chunks(audio: DataFrame, hop: int = HOP) -> DataFrame:
+def chunks(audio: DataFrame, hop: int = HOP, beyond: int = N_FFT // 2) -> DataFrame:
     """Whole recordings as chunks; chunks as they are."""
     if "first" in audio.columns:
         return audio
@@ -145,11 +225,11 @@ def chunks(audio: DataFrame, hop: int = HOP) -> DataFrame:
         for batch in batches:
             for file_id, sr, y in zip(batch["file_id"], batch["sr"], batch["y"], strict=True):
                 for first in range(0, 1 + len(y) // hop, CHUNK):
-                    lead, samples, begin, end = _bounds(first, len(y), hop)
+                    lead, samples, begin, end = bounds(first, len(y), hop, beyond)
                     part = np.pad(np.asarray(y[max(begin, 0) : end], np.float32), (max(-begin, 0), max(end - len(y), 0)))
                     yield pd.DataFrame({"file_id": [file_id], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "length": len(y), "y": [part]})
 
-    return audio.select("file_id", "sr", "y").mapInPandas(run, _CHUNK)
+    return audio.select("file_id", "sr", "y").mapInPandas(run, CHUNKS)
 
 
 def frames(audio: DataFrame, hop: int = HOP, spectra: bool = False) -> DataFrame:
@@ -177,24 +257,29 @@ def onset_strength(frames: DataFrame, hop: int = HOP) -> DataFrame:
 
 
 def compare(audio: DataFrame, notes: DataFrame, sr: int = SR, hop: int = HOP) -> DataFrame:
-    """A row a frame of each recording: file_id, frame, length of the recording in samples, its env, and similarity, the cosine (0 at least; null where one is
-    silent) of its chroma and that of the notes (file_id, pitch, velocity, start_s, end_s) rendered to the recording's length.
+    """A row a frame of each recording: file_id, frame, length of the recording in samples, its env, and similarity, the
+    cosine (0 at least; null where one is silent) of its constant-Q chroma and that of the notes (file_id, pitch, velocity, start_s,
+    end_s) rendered to the recording's length. audio: whole recordings, or chunks with REACH samples beyond their frames.
 
     Chunks of recordings meet the notes that reach them, so each sample is rendered and transformed once, and frames leave as
     two numbers. Neither number depends on how loud the rendering is, so it isn't scaled."""
-    own = chunks(audio, hop).withColumn("chunk", F.floor(F.col("first") / CHUNK).cast("long"))
-    pieces = _pieces(notes.select("file_id", "pitch", "velocity", "start_s", "end_s"), sr, hop)
+    own = chunks(audio, hop, REACH).withColumn("chunk", F.floor(F.col("first") / CHUNK).cast("long"))
+    pieces = _pieces(notes.select("file_id", "pitch", "velocity", "start_s", "end_s"), sr, hop, REACH)
 
     def run(heard: pd.DataFrame, written: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for file_id, first, length, y in zip(heard["file_id"], heard["first"], heard["length"], heard["y"], strict=True):
-            _, _, begin, end = _bounds(first, length, hop)
-            a, b = features(y, sr, hop, padded=True), features(_mix(written.sort_values(["start_s", "pitch"]), length, begin, end, sr), sr, hop, padded=True)
+        for file_id, first, lead, length, y in zip(heard["file_id"], heard["first"], heard["lead"], heard["length"], heard["y"], strict=True):
             skip = int(first > 0)
-            size = np.sqrt((a["chroma"] ** 2).sum(axis=0) * (b["chroma"] ** 2).sum(axis=0))[skip:]
-            both = (a["chroma"] * b["chroma"]).sum(axis=0)[skip:]
-            near = np.divide(both, size, out=np.full(len(both), np.nan), where=size > 0)
-            out.append(pd.DataFrame({"file_id": file_id, "frame": first + np.arange(len(both)), "length": length, "env": a["env"][skip:], "similarity": near}))
+            if lead != REACH + hop * skip:
+                raise ValueError("chunks must have REACH samples beyond their frames")
+            _, _, begin, end = bounds(first, length, hop, REACH)
+            count, near = min(CHUNK, 1 + length // hop - first), REACH - N_FFT // 2
+            env = flux(stft(y[near : len(y) - near], hop=hop, padded=True))[skip:]
+            mine = _mix(written.sort_values(["start_s", "pitch"]), length, begin, end, sr)
+            a, b = (pitch_classes(constant_q(np.asarray(x)[hop * skip :], count, sr, hop)) for x in (y, mine))
+            size = np.sqrt((a**2).sum(axis=0) * (b**2).sum(axis=0))
+            cosine = np.divide((a * b).sum(axis=0), size, out=np.full(count, np.nan), where=size > 0)
+            out.append(pd.DataFrame({"file_id": file_id, "frame": first + np.arange(count), "length": length, "env": env, "similarity": cosine}))
         return pd.concat(out) if out else pd.DataFrame(columns=["file_id", "frame", "length", "env", "similarity"])
 
     found = own.groupBy("file_id", "chunk").cogroup(pieces.groupBy("file_id", "chunk")).applyInPandas(run, "file_id int, frame long, length long, env double, similarity double")
@@ -217,7 +302,7 @@ def note_features(audio: DataFrame, notes: DataFrame, sr: int = SR, hop: int = H
         out = [] if len(heard) else [pd.DataFrame(beyond)]
         for file_id, first, length, y in zip(heard["file_id"], heard["first"], heard["length"], heard["y"], strict=True):
             mag = stft(y, hop=hop, padded=True)
-            env = np.maximum(0, np.diff(mag, axis=1, prepend=mag[:, :1])).sum(axis=0)[int(first > 0) :]
+            env = flux(mag)[int(first > 0) :]
             mag = mag[:, int(first > 0) :].astype(np.float32)
             last, every = length // hop, [None] * len(env)
             if first + len(env) > last:

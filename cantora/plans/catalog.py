@@ -113,6 +113,16 @@ def _(spark, d):
     return pairing.pair_last_on_wins(messages_of(spark, d))
 
 
+@query(
+    "pair_as_closed",
+    """, p as (select *, lag(is_on) over w as p_on, lag(abs_tick) over w as start_tick from played2 window w as (partition by file_id, track, pitch order by seq))
+    select file_id, track, channel, pitch, case when kind = 'note_off' then 64 else 0 end as velocity, start_tick, abs_tick as end_tick, seq as emit_seq from p where not is_on and p_on""",
+    _MESSAGES,
+)
+def _(spark, d):
+    return pairing.pair_last_on_wins(messages_of(spark, d), "off", "off").drop("dur_ticks")
+
+
 @query(
     "pair_retrigger",
     """, p as (select *, lead(is_on) over w as n_on, lead(abs_tick) over w as n_tick, lead(channel) over w as n_channel from played2 window w as (partition by file_id, track, pitch order by seq))
@@ -716,23 +726,57 @@ def _(spark, d):
     return hands.median_split(notes_of(spark, d))
 
 
-@query(
-    "anchor_groups",
-    """recursive:, o as (select file_id, start_tick, note_id, row_number() over (partition by file_id order by start_tick, note_id) as i from notes),
-    a as (select file_id, min(start_tick) as anchor, 1 as grp from o group by file_id union all select a.file_id, (select min(start_tick) from o where o.file_id = a.file_id and o.start_tick > a.anchor + 48), a.grp + 1 from a where a.anchor is not null)
-    select o.file_id, o.note_id, max(a.grp) as "group" from o join a on a.file_id = o.file_id and a.anchor <= o.start_tick group by o.file_id, o.note_id""",
-)
+_GROUPS = """, o as (select file_id, start_tick, note_id, row_number() over (partition by file_id order by start_tick, note_id) as i from notes),
+    a as (select file_id, min(start_tick) as anchor, 1 as grp from o group by file_id union all select a.file_id, (select min(start_tick) from o where o.file_id = a.file_id and o.start_tick > a.anchor + 48), a.grp + 1 from a where a.anchor is not null),
+    grouped as materialized (select o.file_id, o.note_id, max(a.grp) as grp from o join a on a.file_id = o.file_id and a.anchor <= o.start_tick group by o.file_id, o.note_id)"""
+
+
+@query("anchor_groups", 'recursive: select file_id, note_id, grp as "group" from grouped', _GROUPS)
 def _(spark, d):
     return temporal.anchor_groups(notes_of(spark, d), 48, ["file_id"], "start_tick", "note_id").select("file_id", "note_id", "group")
 
 
+def _cost(hand: str, loud: str, across: str) -> str:
+    """What a hand (its last five pitches and groups) asks for the chord x.m, x.v of group x.grp."""
+    p, g = f"{hand}p", f"{hand}g"
+    weight, jump = f"pow(0.9, x.grp - {g}[i])", f"abs(x.m - {p}[i])"
+    step = f"case when {jump} <= 2 then {jump} when {jump} <= 7 then 2 * {jump} else 3 * {jump} end"
+    flow = f"list_sum(list_transform(range(1, len({p}) + 1), lambda i: {weight} * ({step}))) / list_sum(list_transform(range(1, len({p}) + 1), lambda i: {weight}))"
+    wide = f"case when greatest(list_max({p}), x.m) - least(list_min({p}), x.m) > 12 then 50 else 0 end"
+    return f"case when len({p}) = 0 then abs(x.m - x.split) else 0.7::double * ({flow}) + {wide} + 0.3::double * ({loud}) + (1 - 0.7::double - 0.3::double) * (abs(x.m - x.split) + case when {across} then 5 else 0 end) end"
+
+
+_HANDS = (
+    _GROUPS
+    + f""", sp as (select file_id, greatest(48, least(72, cast(trunc(quantile_cont(pitch, 0.5)) as int))) as split from notes group by file_id),
+    gl as materialized (select file_id, grp, any_value(split) as split, list(pitch order by start_tick, note_id) as ps, list(note_id order by start_tick, note_id) as ids, avg(pitch) as m, avg(velocity) as v from grouped join notes using (file_id, note_id) join sp using (file_id) group by file_id, grp),
+    walk as (
+      select file_id, 0::bigint as grp, []::int[] as lp, []::bigint[] as lg, []::int[] as rp, []::bigint[] as rg, []::bigint[] as ids, []::boolean[] as lefts from sp
+      union all
+      select y.file_id, y.grp, list_concat(lp, ls)[-5:], list_concat(lg, list_transform(ls, lambda p: y.grp))[-5:], list_concat(rp, rs)[-5:], list_concat(rg, list_transform(rs, lambda p: y.grp))[-5:], y.ids, y.lefts
+      from (
+        select z.*, list_filter(z.ps, lambda p, i: z.lefts[i]) as ls, list_filter(z.ps, lambda p, i: not z.lefts[i]) as rs from (
+          select x.file_id, x.grp, x.ps, x.ids, w.lp, w.lg, w.rp, w.rg,
+            case when len(x.ps) > 1 and list_max(x.ps) - list_min(x.ps) > 12 then list_transform(x.ps, lambda p: p < x.split)
+            else list_transform(x.ps, lambda p: x.m < x.split - 5 or (x.m <= x.split + 5 and {_cost("l", "10 * x.v / 127", "x.m >= x.split")} < {_cost("r", "10 * (1 - x.v / 127)", "x.m < x.split")})) end as lefts
+          from walk w join gl x on x.file_id = w.file_id and x.grp = w.grp + 1
+        ) z
+      ) y
+    ), taken as (select file_id, unnest(ids) as note_id, unnest(lefts) as is_left from walk)"""
+)
+
+
 def _hands(spark, d):
     notes = notes_of(spark, d)
     return hands.separate(notes, temporal.anchor_groups(notes, 48, ["file_id"], "start_tick", "note_id"), hands.median_split(notes))
 
 
-QUERIES["hands_assign"] = _hands
-QUERIES["notes_per_hand"] = lambda spark, d: _hands(spark, d).groupBy("file_id", "track").agg(F.count("*").alias("notes"))
+query("hands_assign", "recursive: select note_id, file_id, case when is_left then 'left' else 'right' end as hand, is_left::int as track from taken", _HANDS)(_hands)
+
+
+@query("notes_per_hand", "recursive: select file_id, is_left::int as track, count(*) as notes from taken group by all", _HANDS)
+def _(spark, d):
+    return _hands(spark, d).groupBy("file_id", "track").agg(F.count("*").alias("notes"))
 
 
 # Phrases
@@ -941,7 +985,8 @@ def _written_audio(spark, d):
 
 @query("quality_of_audio")
 def _(spark, d):
-    rows = flows.quality_of_audio(*_written_audio(spark, d))
+    _, written = _written_audio(spark, d)
+    rows = flows.quality_of_audio(signal.render_chunks(seconds_of(notes_of(spark, d)), beyond=signal.REACH), written)
     return rows.select("file_id", *(F.round(c, 6).alias(c) for c in ("f1", "pitch", "chroma", "polyphony", "rhythm", "score")), "rating")
 
 
@@ -953,3 +998,9 @@ def _(spark, d):
 @query("timing_of_audio")
 def _(spark, d):
     return flows.refine_timing(*_written_audio(spark, d)).select("note_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+@query("parameters_of_audio")
+def _(spark, d):
+    rows = flows.parameters_of_audio(_audio(spark, d), seconds=None)
+    return rows.select("file_id", *(F.round(c, 6).alias(c) for c in ("snr", "tempo", "onset", "frame", "length")))

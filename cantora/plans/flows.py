@@ -62,6 +62,17 @@ def refine_timing(audio: DataFrame, notes: DataFrame, onset_s: float = 0.05, off
     return rows.withColumn("end_s", F.when(F.col("end_s") - F.col("start_s") < least_s, F.col("start_s") + least_s).otherwise(F.col("end_s")))
 
 
+def parameters_of_audio(audio: DataFrame, seconds: float | None = 30.0, **defaults) -> DataFrame:
+    """file_id, snr, tempo and the thresholds and minimum length that suit a recording, by so many seconds from its start (all, if None)."""
+    chunked = signal.chunks(audio)
+    if seconds is not None:
+        chunked = chunked.where(F.col("first") * F.col("hop") < seconds * F.col("sr"))
+    frames = signal.frames(chunked).select("file_id", "frame", "t", "rms", "env")
+    frames = (frames if seconds is None else frames.where(F.col("t") < seconds)).persist()
+    stats = dynamics.energy_percentiles(frames).join(signal.tempos(signal.onset_strength(frames)), "file_id")
+    return dynamics.adaptive_parameters(stats, **defaults).select("file_id", "snr", "tempo", "onset", "frame", "length")
+
+
 def paired_embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two series of vector frames for each of eight files."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantora.sources import layout
+
 META = {0x03: "track_name", 0x2F: "end_of_track", 0x51: "set_tempo", 0x58: "time_signature", 0x59: "key_signature"}
 KINDS = {0x8: "note_off", 0x9: "note_on", 0xA: "polytouch", 0xB: "control_change", 0xC: "program_change", 0xD: "aftertouch", 0xE: "pitchwheel"}
 SCHEMA = "file_id int, tpb int, track int, seq int, delta long, abs_tick long, kind string, channel int, pitch int, velocity int, control int, value int, tempo int, text string"
@@ -40,6 +42,8 @@ def parse(content: bytes) -> Iterator[dict]:
     while at + 8 <= len(content):
         name, size = struct.unpack(">4sI", content[at : at + 8])
         data, at = content[at + 8 : at + 8 + size], at + 8 + size
+        if at > len(content):
+            raise ValueError("a chunk ends beyond the file")
         if name != b"MTrk":
             continue
         track, i, seq, tick, status = track + 1, 0, 0, 0, 0
@@ -73,22 +77,26 @@ def parse(content: bytes) -> Iterator[dict]:
 
 
 def messages(files: DataFrame) -> DataFrame:
-    """Messages of rows (file_id, content)."""
+    """Messages of rows (file_id, content). A file that isn't a whole MIDI file is one row of kind "malformed" that says why in text."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file_id, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_pylist([{"file_id": file_id} | row for row in parse(content)], schema)
+                try:
+                    rows = list(parse(content or b""))
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    rows = [{"kind": "malformed", "text": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist([{"file_id": file_id} | row for row in rows], schema)
 
     return files.select("file_id", "content").mapInArrow(run, SCHEMA)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """MIDI files of a path, numbered by a hash of their names."""
+    """Messages of the MIDI files of a path, numbered by layout.numbered()."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mid").load(path)
-    return messages(files.selectExpr("cast(pmod(xxhash64(path), 2147483647) as int) as file_id", "content"))
+    return messages(files.join(layout.numbered(files), "path"))
 
 
 def build(tracks: list[list[tuple[int, bytes]]], tpb: int) -> bytes:

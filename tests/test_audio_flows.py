@@ -119,6 +119,39 @@ def rendered(written, f, length):
     return out / np.abs(out).max()
 
 
+def whole_chroma(y):
+    count = 1 + len(y) // 512
+    return signal.pitch_classes(signal.constant_q(np.pad(y, (signal.REACH, signal.REACH + 512)), count))
+
+
+def test_constant_q_is_the_direct_transform():
+    """Each bin's sum over its own window at the full rate, without octaves."""
+    rng = np.random.default_rng(1)
+    y = np.pad(rng.normal(0, 0.1, 60_000) + np.sin(2 * np.pi * 261.63 * np.arange(60_000) / 22_050), (signal.REACH, signal.REACH))
+    got = signal.constant_q(y, 100)
+    assert got.shape == (252, 100)
+    for k in (0, 7, 40, 100, 108, 150, 215, 251):
+        freq = signal.LOWEST * 2 ** (k / 36)
+        width = 22_050 / freq / (2 ** (1 / 36) - 1)
+        n = np.arange(-int(width / 2), int(width / 2) + 1)
+        window = 0.5 + 0.5 * np.cos(2 * np.pi * n / width)
+        for t in (0, 31, 60, 99):
+            at = signal.REACH + 512 * t
+            wanted = abs((y[at + n] * window * np.exp(-2j * np.pi * freq * n / 22_050)).sum()) / window.sum()
+            assert got[k, t] == pytest.approx(wanted, rel=0.02, abs=2e-4)
+    assert (signal.pitch_classes(got)[:, 20:90].argmax(axis=0) == 0).all()  # a C
+    with pytest.raises(ValueError, match="halves the hop"):
+        signal.constant_q(y, 3, hop=96)
+
+
+def test_constant_q_of_parts_is_that_of_the_whole():
+    rng = np.random.default_rng(2)
+    y = np.pad(rng.normal(0, 1, 400_000), (signal.REACH, signal.REACH))
+    whole = signal.constant_q(y, 700)
+    part = signal.constant_q(y[512 * 300 : 512 * 420 + 2 * signal.REACH], 120)
+    assert np.allclose(part, whole[:, 300:420], rtol=1e-6, atol=1e-9)
+
+
 def later(env):
     return np.concatenate(([0.0, 0.0], env))[: len(env)]
 
@@ -127,10 +160,10 @@ def test_quality_of_audio(music):
     recording, audio, notes, written = music
     got = {r["file_id"]: r for r in flows.quality_of_audio(recording, notes).collect()}
     for f, y in audio.items():
-        a, b = signal.features(y), signal.features(rendered(written, f, len(y)))
-        near = []
-        for k in range(a["chroma"].shape[1]):
-            p, q = a["chroma"][:, k], b["chroma"][:, k]
+        a, near = signal.features(y), []
+        one, two = (whole_chroma(x) for x in (y, rendered(written, f, len(y))))
+        for k in range(one.shape[1]):
+            p, q = one[:, k], two[:, k]
             if p.any() and q.any():
                 near.append(max(0, p @ q / np.sqrt((p @ p) * (q @ q))))
         assert got[f]["chroma"] == pytest.approx(np.mean(near), abs=1e-4) and 0.3 < got[f]["chroma"] < 1
@@ -200,3 +233,41 @@ def test_note_features_meet_band_energies(spark, music):
     old = {r["note_id"]: r["energy"] for r in signal.band_energy(signal.frames(recording, spectra=True), notes).collect()}
     new = {r["note_id"]: r["energy"] for r in signal.note_features(recording, notes).collect()}
     assert new.keys() == old.keys() and all(new[k] == pytest.approx(old[k], abs=1e-3) for k in old)
+
+
+def plain_tempo(env):
+    half = 172
+    starts = [0] + [w * half for w in range(1, len(env)) if w * half + half <= len(env) - 1]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(2 * half) / (2 * half))
+    total = np.zeros(2 * half - 1)
+    for a in starts:
+        x = np.array(env[a : a + 2 * half])
+        x = x * hann[: len(x)]
+        auto = np.array([x[: len(x) - k] @ x[k:] if k < len(x) else 0.0 for k in range(1, 2 * half)])
+        total += auto / auto.max() if auto.max() > 0 else 0
+    bpm = 60 * 22_050 / 512 / np.arange(1, 2 * half)
+    score = np.log1p(1e6 * np.maximum(total / len(starts), 0)) - 0.5 * (np.log2(bpm) - np.log2(120)) ** 2
+    return bpm[np.argmax(np.where(bpm <= 320, score, -np.inf))] if total.max() > 0 else 120.0
+
+
+def test_tempos(spark):
+    rng, data = random.Random(3), {0: [0.0] * 50, 1: [1.0]}
+    for k, beat in enumerate((16, 22, 33), 2):
+        data[k] = [(1.0 if i % beat == 0 else 0.0) + 0.1 * rng.random() for i in range(1_000 + 100 * k)]
+    got = {r["file_id"]: r["tempo"] for r in signal.tempos(frame_rows(spark, data)).collect()}
+    assert got == {k: pytest.approx(plain_tempo(x)) for k, x in data.items()}
+    assert got[0] == 120 and got[3] == pytest.approx(60 * 22_050 / 512 / 22)
+
+
+def test_parameters_of_audio(music):
+    recording, audio, _, _ = music
+    got = {r["file_id"]: r for r in flows.parameters_of_audio(recording).collect()}
+    part = {r["file_id"]: r for r in flows.parameters_of_audio(recording, seconds=2.0).collect()}
+    for f, y in audio.items():
+        a = signal.features(y)
+        env = later(a["env"])
+        for n, r in ((len(env), got[f]), (int(np.ceil(2.0 * 22_050 / 512)), part[f])):
+            low, high = np.percentile(a["rms"][:n], [25, 75])
+            assert r["snr"] == pytest.approx(high / (low + 1e-6), rel=1e-4) and r["tempo"] == pytest.approx(plain_tempo(env[:n]))
+            assert r["onset"] == pytest.approx(0.6 if r["snr"] < 3 else 0.45 if r["snr"] > 10 else 0.5) and r["frame"] == pytest.approx(r["onset"] - 0.2)
+            assert r["length"] == pytest.approx(97.7 if r["tempo"] > 140 else 147.7 if r["tempo"] < 80 else 127.7)

@@ -106,3 +106,12 @@ def test_best_patterns(spark):
 def test_no_notes(spark):
     none = spark.createDataFrame([], NOTES)
     assert temporal.anchor_groups(none, 48, ["file_id"], "start_tick", "note_id").count() == phrases.windows(none).count() == phrases.best_phrases(none).count() == 0
+
+
+def test_pairs_as_closed(spark):
+    from cantora.operators import pairing
+
+    rows = [(0, 0, 1, 0, "note_on", 60, 90, 1), (0, 0, 2, 5, "note_off", 60, 33, 2), (0, 0, 3, 9, "note_on", 62, 80, 1), (0, 0, 4, 12, "note_on", 62, 0, 3)]
+    messages = spark.createDataFrame(rows, "file_id int, track int, seq long, abs_tick long, kind string, pitch int, velocity int, channel int")
+    pairs = lambda *how: sorted((r["pitch"], r["channel"], r["velocity"]) for r in pairing.pair_last_on_wins(messages, *how).collect())
+    assert pairs() == [(60, 1, 90), (62, 1, 80)] and pairs("off", "off") == [(60, 2, 64), (62, 3, 0)] and pairs("off") == [(60, 2, 90), (62, 3, 80)]
