@@ -37,7 +37,7 @@ def parse(content: bytes) -> Iterator[dict]:
     """Messages of all tracks, with running status."""
     if content[:4] != b"MThd":
         raise ValueError("not a MIDI file")
-    size, _, _, tpb = struct.unpack(">IHHH", content[4:14])
+    size, _, tracks, tpb = struct.unpack(">IHHH", content[4:14])
     at, track = 8 + size, -1
     while at + 8 <= len(content):
         name, size = struct.unpack(">4sI", content[at : at + 8])
@@ -74,6 +74,8 @@ def parse(content: bytes) -> Iterator[dict]:
                 row |= {"kind": KINDS[high], "channel": status & 15}
                 row |= {"pitch": one, "velocity": two} if high in (0x8, 0x9, 0xA) else {"control": one, "value": two} if high == 0xB else {"value": one if two is None else one | two << 7}
             yield row
+    if track + 1 < tracks:
+        raise ValueError("fewer tracks than the header says")
 
 
 def messages(files: DataFrame) -> DataFrame:
