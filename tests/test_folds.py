@@ -103,6 +103,22 @@ def test_best_patterns(spark):
     assert every == {key: (n, first[key]) for key, n in counts.items()}
 
 
+def test_first_occurrences_are_not_broadcast(spark, tmp_path):
+    """Thirteen windows a note, which a planner takes for as many rows as notes, must not be what a join sends to the driver."""
+    spark.createDataFrame(rows_of(), NOTES).write.parquet(str(tmp_path / "notes"))
+    notes = spark.read.parquet(str(tmp_path / "notes"))
+    every = sorted(plain_windows(rows_of(), 8, 20, 1, False), key=lambda w: w[1])
+    wanted = {}
+    for rank, (f, _, size, ivs, _, p0) in enumerate(every[::97]):
+        wanted[f, rank] = min(w[1] for w in every if (w[0], w[2], w[3], w[5]) == (f, size, ivs, p0))
+    rows = [(f, rank, size, p0, list(ivs)) for rank, (f, _, size, ivs, _, p0) in enumerate(every[::97])]
+    spark.createDataFrame(rows, "file_id int, rank int, len int, p0 int, ivs array<int>").write.parquet(str(tmp_path / "patterns"))
+    found = phrases.first_occurrence(notes, spark.read.parquet(str(tmp_path / "patterns")))
+    assert {(r["file_id"], r["rank"]): r["pos"] for r in found.collect()} == wanted
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line and "len#" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
 def test_no_notes(spark):
     none = spark.createDataFrame([], NOTES)
     assert temporal.anchor_groups(none, 48, ["file_id"], "start_tick", "note_id").count() == phrases.windows(none).count() == phrases.best_phrases(none).count() == 0
