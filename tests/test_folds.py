@@ -77,6 +77,25 @@ def test_windows(notes, step, transposed):
     assert got == sorted(plain_windows(rows_of(), 3, 9, step, transposed))
 
 
+def test_folds_over_rows_joined_by_their_keys(spark, tmp_path):
+    """Too large for a broadcast by its estimate, the other side of a join by the keys turns out small: rows below are then read as they
+    were written, not by key. Small tables hide that, as they are read in one part unless told otherwise."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in conf}
+    spark.createDataFrame(rows_of(), NOTES).repartition(6).write.parquet(str(tmp_path / "notes"))
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        notes = spark.read.parquet(str(tmp_path / "notes"))
+        got = sorted((r["file_id"], r["pos"], r["len"], tuple(r["ivs"]), tuple(r["rhythm"]), r["p0"]) for r in phrases.frames(notes, 3, 9).collect())
+        joined = notes.join(notes.groupBy("file_id").count(), "file_id")
+        groups = {r["note_id"]: r["group"] for r in temporal.anchor_groups(joined, 48, ["file_id"], "start_tick", "note_id").collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == sorted(plain_windows(rows_of(), 3, 9, 1, False)) and groups == plain_groups(rows_of(), 48)
+
+
 def test_sparse_windows(notes):
     got = Counter((r["file_id"], r["pos"] % 2) for r in phrases.windows(notes, 8, 8, sparse_above=100, arrays=False).collect())
     assert got == {(0, 0): 147, (3, 0): 27, (3, 1): 26}
