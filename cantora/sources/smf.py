@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import struct
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantora.operators import temporal
 from cantora.sources import layout
 
 META = {0x03: "track_name", 0x2F: "end_of_track", 0x51: "set_tempo", 0x58: "time_signature", 0x59: "key_signature"}
 KINDS = {0x8: "note_off", 0x9: "note_on", 0xA: "polytouch", 0xB: "control_change", 0xC: "program_change", 0xD: "aftertouch", 0xE: "pitchwheel"}
+BATCH = 10_000
 SCHEMA = "file_id int, tpb int, track int, seq int, delta long, abs_tick long, kind string, channel int, pitch int, velocity int, control int, value int, tempo int, text string"
 
 
@@ -79,7 +82,9 @@ def parse(content: bytes) -> Iterator[dict]:
 
 
 def messages(files: DataFrame) -> DataFrame:
-    """Messages of rows (file_id, content). A file that isn't a whole MIDI file is one row of kind "malformed" that says why in text."""
+    """Messages of rows (file_id, content). A file that isn't a whole MIDI file is one row of kind "malformed" that says why in text.
+
+    Files are parsed twice, to know that they are whole and for their rows, of which a batch is held at a time."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
 
@@ -87,10 +92,12 @@ def messages(files: DataFrame) -> DataFrame:
         for batch in batches:
             for file_id, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows = list(parse(content or b""))
+                    deque(parse(content or b""), 0)
+                    rows = parse(content)
                 except (ValueError, IndexError, KeyError, struct.error) as e:
-                    rows = [{"kind": "malformed", "text": f"{type(e).__name__}: {e}"}]
-                yield pa.RecordBatch.from_pylist([{"file_id": file_id} | row for row in rows], schema)
+                    rows = iter([{"kind": "malformed", "text": f"{type(e).__name__}: {e}"}])
+                while part := list(islice(rows, BATCH)):
+                    yield pa.RecordBatch.from_pylist([{"file_id": file_id} | row for row in part], schema)
 
     return files.select("file_id", "content").mapInArrow(run, SCHEMA)
 
@@ -101,29 +108,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return messages(files.join(layout.numbered(files), "path"))
 
 
+def _file(bodies: list[bytes], tpb: int) -> bytes:
+    """A file of format 1 from tracks without their ends."""
+    end = b"\x00\xff\x2f\x00"
+    return b"".join([b"MThd", struct.pack(">IHHH", 6, 1, len(bodies), tpb), *(x for body in bodies for x in (b"MTrk", struct.pack(">I", len(body) + len(end)), body, end))])
+
+
 def build(tracks: list[list[tuple[int, bytes]]], tpb: int) -> bytes:
     """A file of format 1 from (delta, message) lists."""
-    chunks = []
-    for events in tracks:
-        body = b"".join(number(delta) + message for delta, message in events) + b"\x00\xff\x2f\x00"
-        chunks.append(b"MTrk" + struct.pack(">I", len(body)) + body)
-    return b"MThd" + struct.pack(">IHHH", 6, 1, len(tracks), tpb) + b"".join(chunks)
+    return _file([b"".join(number(delta) + message for delta, message in events) for events in tracks], tpb)
 
 
 def write(events: DataFrame, tpb: int = 220, tempo: int = 500_000, rebase: bool = False) -> DataFrame:
-    """file_id, content of events (file_id, track, seq, delta, pitch, velocity, is_off); rebase starts each track at 0."""
+    """file_id, content of events (file_id, track, seq, delta, pitch, velocity, is_off); rebase starts each track at 0. Of a file only
+    its bytes are held."""
+    schema = pa.schema([("file_id", pa.int32()), ("content", pa.binary())])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        tracks = []
-        for _, rows in group.sort_values(["track", "seq"]).groupby("track"):
-            first = [(0, b"\xff\x51\x03" + tempo.to_bytes(3, "big"))] if not tracks else []
-            deltas = rows["delta"].tolist()
-            if rebase and deltas:
-                deltas[0] = 0
-            tracks.append(first + [(int(d), bytes([0x80 if off else 0x90, int(p), 0 if off else int(v)])) for d, p, v, off in zip(deltas, rows["pitch"], rows["velocity"], rows["is_off"], strict=True)])
-        return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "content": [build(tracks, tpb)]})
+    def fold(state: tuple[int, int | None, list[bytearray]] | None, batch: pa.RecordBatch | None):
+        if batch is None:
+            return None, pa.RecordBatch.from_pylist([{"file_id": state[0], "content": _file(state[2], tpb)}], schema)
+        file_id, last, bodies = state or (batch.column(0)[0].as_py(), None, [])
+        for track, delta, pitch, velocity, off in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5, 6)), strict=True):
+            if not bodies or track != last:
+                bodies.append(bytearray(b"" if bodies else number(0) + meta(0x51, tempo.to_bytes(3, "big"))))
+                last, delta = track, 0 if rebase else delta
+            bodies[-1] += number(int(delta)) + bytes([0x80 if off else 0x90, int(pitch), 0 if off else int(velocity)])
+        return (file_id, last, bodies), None
 
-    return events.select("file_id", "track", "seq", "delta", "pitch", "velocity", "is_off").groupBy("file_id").applyInPandas(run, "file_id int, content binary")
+    rows = events.select("file_id", "track", "seq", "delta", "pitch", "velocity", "is_off").where("track is not null")
+    return temporal.folded(rows, ["file_id"], ["track", "seq"], fold, "file_id int, content binary")
 
 
 def meta(kind: int, body: bytes) -> bytes:
@@ -134,18 +147,21 @@ def write_track(notes: DataFrame, key: str, head: list[bytes], tpb: int = 480, r
     """key, content: a file of one track for each key, with these metas first. notes: key, pitch, velocity, start_tick, end_tick;
     at equal ticks ons come first, then by pitch; rebase starts at 0."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        first = int(group["start_tick"].min()) if rebase else 0
-        rows = zip(group["start_tick"], group["end_tick"], group["pitch"], group["velocity"], strict=True)
-        events = sorted(e for s, t, p, v in rows for e in ((int(s) - first, 0, int(p), int(v)), (int(t) - first, 1, int(p), 0)))
-        track, at = [(0, m) for m in head], 0
-        for tick, off, pitch, velocity in events:
-            track.append((tick - at, bytes([0x80 if off else 0x90, pitch, velocity])))
+    kind = notes.schema[key].dataType.simpleString()
+    both = F.array(*(F.struct(F.col(tick).cast("long").alias("tick"), F.lit(off).alias("off"), velocity.cast("int").alias("velocity")) for tick, off, velocity in (("start_tick", 0, F.col("velocity")), ("end_tick", 1, F.lit(0)))))
+
+    def fold(state: tuple[pa.Array, int, bytearray] | None, batch: pa.RecordBatch | None):
+        if batch is None:
+            return None, pa.RecordBatch.from_arrays([state[0], pa.array([_file([state[2]], tpb)], pa.binary())], [key, "content"])
+        ticks = batch.column(2).to_pylist()
+        of, at, body = state or (batch.column(0)[:1], ticks[0] if rebase else 0, bytearray(b"".join(number(0) + m for m in head)))
+        for pitch, tick, off, velocity in zip(batch.column(1).to_pylist(), ticks, *(batch.column(k).to_pylist() for k in (3, 4)), strict=True):
+            body += number(tick - at) + bytes([0x80 if off else 0x90, int(pitch), velocity])
             at = tick
-        return pd.DataFrame({key: [group[key].iloc[0]], "content": [build([track], tpb)]})
+        return (of, at, body), None
 
-    kind = notes.schema[key].dataType.simpleString()
-    return notes.select(key, "pitch", "velocity", "start_tick", "end_tick").groupBy(key).applyInPandas(run, f"{key} {kind}, content binary")
+    rows = notes.select(key, "pitch", F.explode(both).alias("e")).select(key, "pitch", "e.*")
+    return temporal.folded(rows, [key], ["tick", "off", "pitch", "velocity"], fold, f"{key} {kind}, content binary")
 
 
 def write_chords(voiced: DataFrame, velocity: int = 80, bpm: int = 120, tpb: int = 480) -> DataFrame:

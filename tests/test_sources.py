@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,49 @@ def test_malformed_midi_costs_a_row(spark):
     by = {r["file_id"]: (r["n"], r["bad"]) for r in got.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "malformed").alias("bad")).collect()}
     assert by == {0: (3, 0)} | {i + 1: (1, 1) for i in range(len(bad))} | {99: (1, 1)}
     assert all(r["text"] for r in got.where("kind = 'malformed'").collect())
+
+
+class Taken:
+    """A table of files that gives back what is run over it."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_long_midi_files_are_read_in_parts():
+    events = [(k % 300, bytes([0x90, k % 128, 1 + k % 127])) for k in range(2 * smf.BATCH + 7)]
+    files = pa.RecordBatch.from_pylist([{"file_id": 3, "content": smf.build([events, events[:5]], 220)}, {"file_id": 4, "content": smf.build([events], 220)[:-9]}])
+    parts = list(smf.messages(Taken())(iter([files])))
+    rows = [r for part in parts for r in part.to_pylist()]
+    assert max(part.num_rows for part in parts) == smf.BATCH
+    assert [(r["delta"], r["pitch"], r["velocity"]) for r in rows if r["track"] == 0 and r["kind"] == "note_on"] == [(d, m[1], m[2]) for d, m in events]
+    assert len(rows) == len(events) + 5 + 2 + 1 and [(r["file_id"], r["kind"]) for r in rows][-1] == (4, "malformed")
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_midi_files_are_written_in_parts(spark, batch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    events = [(f, track, k, 7 * k % 400, 40 + k, 1 + 9 * k % 127, k % 2) for f in (0, 1) for track in (0, 2) for k in range(11 + f)]
+    notes = [(f"p{f}", 40 + 7 * k % 20, 50 + k, 100 + 30 * k, 160 + 30 * k) for f in (0, 1) for k in range(8 + f)]
+    try:
+        spark.conf.set(name, batch)
+        table = spark.createDataFrame(events, "file_id int, track int, seq long, delta long, pitch int, velocity int, is_off int").repartition(3)
+        files = {rebase: {r["file_id"]: bytes(r["content"]) for r in smf.write(table, rebase=rebase).collect()} for rebase in (False, True)}
+        tracks = {r["phrase"]: bytes(r["content"]) for r in smf.write_phrases(spark.createDataFrame(notes, "phrase string, pitch int, velocity int, start_tick long, end_tick long").repartition(3)).collect()}
+    finally:
+        spark.conf.set(name, before)
+    for rebase in files:
+        for f in (0, 1):
+            message = lambda r: (r[3] if r[2] or not rebase else 0, bytes([0x80 if r[6] else 0x90, r[4], 0 if r[6] else r[5]]))
+            of = [[message(r) for r in events if r[:2] == (f, track)] for track in (0, 2)]
+            assert files[rebase][f] == smf.build([[(0, smf.meta(0x51, (500_000).to_bytes(3, "big"))), *of[0]], of[1]], 220)
+    for f in (0, 1):
+        at, wanted = 100, [(0, smf.meta(0x03, b"Musical Phrase")), (0, smf.meta(0x51, (500_000).to_bytes(3, "big")))]
+        for tick, off, p, v in sorted(e for key, p, v, s, t in notes if key == f"p{f}" for e in ((s, 0, p, v), (t, 1, p, 0))):
+            wanted.append((tick - at, bytes([0x80 if off else 0x90, p, v])))
+            at = tick
+        assert tracks[f"p{f}"] == smf.build([wanted], 480)
