@@ -138,25 +138,62 @@ def tempos(frames: DataFrame, value: str = "env", sr: int = SR, hop: int = HOP,
 
 
 def _mix(notes: pd.DataFrame, length: int, first: int, last: int, sr: int) -> np.ndarray:
-    """Samples first to last of a recording of ``length`` samples, 0 outside it, before they are scaled."""
+    """Samples first to last of a recording of ``length`` samples, 0 outside it, before they are scaled. A pitch whose notes have more
+    samples than twice the stretch they lie in is added as a whole."""
     y = np.zeros(last - first)
-    for pitch, velocity, start, end in zip(notes["pitch"], notes["velocity"], notes["start_s"], notes["end_s"], strict=True):
-        begin, stop = int(start * sr), min(int(end * sr), length)
-        n = stop - begin
-        i, j = max(begin, first) - begin, min(stop, last) - begin
-        if n <= 0 or i >= j:
-            continue
-        wave = velocity / 127 * 0.1 * np.sin(2 * np.pi * 440 * 2 ** ((pitch - 69) / 12) * np.arange(i, j) / sr)
-        attack, release = min(int(0.01 * sr), n // 4), min(int(0.05 * sr), n // 4)
-        if i < attack:
-            wave[: attack - i] *= np.linspace(0, 1, attack)[i:j]
-        if j > n - release:
-            k = max(i, n - release)
-            wave[k - i :] *= np.linspace(1, 0, release)[k - (n - release) : j - (n - release)]
-        y[begin + i - first : begin + j - first] += wave
+    begin, stop = (notes["start_s"].to_numpy() * sr).astype(np.int64), np.minimum((notes["end_s"].to_numpy() * sr).astype(np.int64), length)
+    reached = np.flatnonzero((stop > begin) & (begin < last) & (stop > first))
+    begin, stop, pitch = begin[reached], stop[reached], notes["pitch"].to_numpy()[reached]
+    loud, n = notes["velocity"].to_numpy()[reached] / 127 * 0.1, stop - begin
+    attack, release = np.minimum(int(0.01 * sr), n // 4), np.minimum(int(0.05 * sr), n // 4)
+    low, high = np.maximum(begin, first), np.minimum(stop, last)
+    order, dense = np.argsort(pitch, kind="stable"), False
+    for own in np.split(order, np.flatnonzero(np.diff(pitch[order])) + 1) if len(order) else ():
+        part = y[low[own].min() - first : high[own].max() - first]
+        turn = 2 * np.pi * 440 * 2 ** ((pitch[own[0]] - 69) / 12) / sr
+        if (high[own] - low[own]).sum() > 2 * len(part):
+            dense = True
+            _add_all(part, turn, begin[own] - low[own].min(), n[own], loud[own], attack[own], release[own])
+        else:
+            for k in own:
+                y[low[k] - first : high[k] - first] += _wave(turn, low[k] - begin[k], high[k] - begin[k], n[k], loud[k], attack[k], release[k])
+    if dense:
+        # sums of envelopes are rounded, silence is 0
+        count = np.bincount(np.maximum(begin + (attack > 0) - first, 0).clip(max=len(y)), minlength=len(y) + 1) - np.bincount((stop - (release > 1) - first).clip(0, len(y)), minlength=len(y) + 1)
+        y[np.cumsum(count)[:-1] == 0] = 0
     return y
 
 
+def _wave(turn: float, i: int, j: int, n: int, loud: float, attack: int, release: int) -> np.ndarray:
+    """Samples i to j of a note of n samples."""
+    wave = loud * np.sin(turn * np.arange(i, j))
+    if i < attack:
+        wave[: attack - i] *= np.linspace(0, 1, attack)[i:j]
+    if j > n - release:
+        k = max(i, n - release)
+        wave[k - i :] *= np.linspace(1, 0, release)[k - (n - release) : j - (n - release)]
+    return wave
+
+
+def _add_all(y: np.ndarray, turn: float, begin: np.ndarray, n: np.ndarray, loud: np.ndarray, attack: np.ndarray, release: np.ndarray) -> None:
+    """Adds all notes of a pitch to y, where each begins at its place (below 0 if before y).
+
+    They are shifts of one sine, so their sum is its sine and cosine, each times a sum of envelopes. Envelopes are straight between
+    four bends, so their sum is that of the bends, summed twice: a note costs its bends, not its samples."""
+    up = np.where(attack > 0, 1, 0), np.where(attack > 0, np.maximum(attack, 2), 1)
+    down = np.where(release > 1, n - release + 1, n), np.where(release > 1, n, n + 1)
+    rise, fall = loud / (up[1] - up[0]), loud / (down[1] - down[0])
+    at, bend = np.concatenate((*up, *down)) + np.tile(begin, 4), np.concatenate((rise, -rise, -fall, fall))
+    inside, early = at < len(y), at < 0
+    # the angles of 512 samples, turned on by as many at a time
+    circle = (np.exp(1j * turn * 512 * np.arange(-(-len(y) // 512)))[:, None] * np.exp(1j * turn * np.arange(512))).reshape(-1)[: len(y)]
+    for wave, shift in ((circle.imag, np.cos(turn * begin)), (-circle.real, np.sin(turn * begin))):
+        w = bend * np.tile(shift, 4)
+        slope = np.cumsum(np.bincount(np.maximum(at, 0)[inside], w[inside], len(y)))
+        slope[0] -= (w * at)[early].sum()
+        y += wave * np.cumsum(slope)
+
+
 def synthesise(notes: pd.DataFrame, length: int, sr: int = SR) -> np.ndarray:
     """Sines with a linear attack of 10 ms and release of 50 ms (a quarter of a note at most), then scaled to a peak of 1."""
     y = _mix(notes, length, 0, length, sr)

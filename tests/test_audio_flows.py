@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,22 @@ def rendered(written, f, length):
     return out / np.abs(out).max()
 
 
+@pytest.mark.parametrize("longest", [2.0, 0.02, 0.001])
+def test_many_notes_cost_their_bends(monkeypatch, longest):
+    """Notes that lie over one another are added a pitch at a time, and give what they give one by one."""
+    rng = random.Random(9)
+    waves, one = [], signal._wave
+    monkeypatch.setattr(signal, "_wave", lambda turn, i, j, *note: waves.append(j - i) or one(turn, i, j, *note))
+    rows = [(k, 0, 0, 0, rng.choice([45, 60, 77]), rng.randrange(1, 128), 0, start := 0.5 * (k % 2) + rng.random() * max(longest, 0.02) / 4, start + rng.random() * longest) for k in range(3_000)]
+    length = 40_000
+    notes = pd.DataFrame([(r[4], r[5], r[7], r[8]) for r in rows], columns=["pitch", "velocity", "start_s", "end_s"])
+    y, wanted = signal.synthesise(notes, length), rendered(rows, 0, length)
+    assert np.abs(y - wanted).max() < 1e-9 and ((y == 0) == (wanted == 0)).all()
+    assert longest < 1 or not waves
+    part = signal._mix(notes, length, 9_000, 31_000, 22_050)
+    assert np.abs(part / np.abs(signal._mix(notes, length, 0, length, 22_050)).max() - wanted[9_000:31_000]).max() < 1e-9
+
+
 def whole_chroma(y):
     count = 1 + len(y) // 512
     return signal.pitch_classes(signal.constant_q(np.pad(y, (signal.REACH, signal.REACH + 512)), count))
