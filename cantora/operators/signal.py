@@ -227,7 +227,10 @@ def _pieces(notes: DataFrame, sr: int, hop: int, beyond: int) -> DataFrame:
 
 
 def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP, beyond: int = N_FFT // 2) -> DataFrame:
-    """Chunks of what render() gives. The notes of each chunk are mixed twice: for the recording's peak, and to be scaled by it."""
+    """Chunks of what render() gives. The notes of each chunk are mixed twice: for the recording's peak, and to be scaled by it.
+
+    Chunks are dealt out in so many parts: a few notes are much work, so that parts must not be put together by their bytes, and a join by
+    recordings would leave all chunks of one in one task."""
     notes = notes.select("file_id", "pitch", "velocity", "start_s", "end_s")
     lengths = notes.groupBy("file_id").agg((F.floor(F.max("end_s") * sr) + 1).cast("long").alias("length"))
     last = F.floor(F.floor(F.col("length") / hop) * hop / (CHUNK * hop)).cast("long")
@@ -235,6 +238,7 @@ def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP, beyond: int =
     rows = rows.select(*notes.columns, "length", "chunk")
     silent = lengths.select("file_id", *[F.lit(0).cast(notes.schema[c].dataType).alias(c) for c in notes.columns[1:]], "length").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     rows = rows.unionByName(silent)
+    parts = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def mixed(group: pd.DataFrame) -> tuple[int, int, int, np.ndarray]:
         first, length = int(group["chunk"].iloc[0]) * CHUNK, int(group["length"].iloc[0])
@@ -249,8 +253,9 @@ def render_chunks(notes: DataFrame, sr: int = SR, hop: int = HOP, beyond: int =
         top = group["top"].iloc[0]
         return pd.DataFrame({"file_id": [group["file_id"].iloc[0]], "sr": sr, "hop": hop, "first": first, "lead": lead, "samples": samples, "length": int(group["length"].iloc[0]), "y": [(y / top if top > 0 else y).astype(np.float32)]})
 
-    tops = rows.groupBy("file_id", "chunk").applyInPandas(loudest, "file_id int, top double").groupBy("file_id").agg(F.max("top").alias("top"))
-    return rows.join(tops, "file_id").groupBy("file_id", "chunk").applyInPandas(scaled, CHUNKS)
+    dealt = lambda df: df.repartition(parts, "file_id", "chunk").groupBy("file_id", "chunk")
+    tops = dealt(rows).applyInPandas(loudest, "file_id int, top double").groupBy("file_id").agg(F.max("top").alias("top"))
+    return dealt(rows.join(tops, "file_id")).applyInPandas(scaled, CHUNKS)
 
 
 def chunks(audio: DataFrame, hop: int = HOP, beyond: int = N_FFT // 2) -> DataFrame:

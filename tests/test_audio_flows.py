@@ -288,3 +288,11 @@ def test_parameters_of_audio(music):
             assert r["snr"] == pytest.approx(high / (low + 1e-6), rel=1e-4) and r["tempo"] == pytest.approx(plain_tempo(env[:n]))
             assert r["onset"] == pytest.approx(0.6 if r["snr"] < 3 else 0.45 if r["snr"] > 10 else 0.5) and r["frame"] == pytest.approx(r["onset"] - 0.2)
             assert r["length"] == pytest.approx(97.7 if r["tempo"] > 140 else 147.7 if r["tempo"] < 80 else 127.7)
+
+
+def test_chunks_of_a_recording_are_dealt_out(spark):
+    """Few notes are much work: parts put together by their bytes, or dealt by recordings, were one task."""
+    rows = [(0, 60 + k % 12, 80, 2.0 * k, 2.0 * k + 1.5) for k in range(60)]
+    notes = spark.createDataFrame(rows, "file_id int, pitch int, velocity int, start_s double, end_s double")
+    got = signal.render_chunks(notes).select("first", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r["first"] for r in got) == [signal.CHUNK * k for k in range(11)] and len({r["part"] for r in got}) > 1
