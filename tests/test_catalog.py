@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["ngram_rhythm_norm"])
+@pytest.mark.parametrize("name", ["ngram_rhythm_norm", "ngram_rhythm_norm_all"])
 def test_query_on_events_in_parts(spark, tmp_path, name):
     """Copies of the events with shifted keys, in several files. A side of a join that is too large for a broadcast by its estimate turns out
     small, as on large tables, so that rows stay in the parts in which they were written."""
